@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import literal, text_or_empty
 
 #: Above every rank.
 NONE = 2**31 - 1
@@ -31,11 +31,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _slots(pairs: DataFrame, key: str, value: str, n: int) -> Column:
-    """A scalar: array of n small maps, a key's map being at its hash modulo n."""
+    """A literal array of n small maps; a key's map is at its hash modulo n."""
     spark = pairs.sparkSession
-    small = pairs.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("slot")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("small"))
+    small = pairs.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("slot")).agg(F.collect_list(F.struct(key, value)).alias("small"))
     every = spark.range(n).select(F.col("id").cast("int").alias("slot")).join(small, "slot", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "small"))), lambda x: x["small"]).alias("slots")).scalar()
+    in_order = F.array_sort(F.collect_list(F.struct("slot", "small")), lambda a, b: a["slot"] - b["slot"])
+    return literal(every.agg(F.transform(in_order, lambda x: F.map_from_entries(x["small"])).alias("slots")))
 
 
 def _find(slots: Column, key: Column, n: int) -> Column:
@@ -103,7 +104,7 @@ class ByteBpe:
         table = spark.createDataFrame(list(ranks.items()), "piece binary, rank int")
         self.ranks = _slots(table, "piece", "rank", RANK_SLOTS)
         size = max(ranks.values(), default=-1) + 1
-        self.pieces = spark.range(size).join(table, F.col("id") == F.col("rank"), "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.hex("piece").alias("piece")))), lambda x: x["piece"]).alias("pieces")).scalar()
+        self.pieces = literal(spark.range(size).join(table, F.col("id") == F.col("rank"), "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.hex("piece").alias("piece")))), lambda x: x["piece"]).alias("pieces")))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as ClassicColumn
 
 _FOLDERS: dict[str, str] = {}
 
@@ -52,3 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def literal(df: DataFrame) -> Column:
+    """The value of a one-row, one-column DataFrame as a literal.
+
+    Unlike a scalar subquery it may stand inside higher-order functions, and
+    unlike F.lit it holds the value in Spark's own binary form: it is built in
+    the JVM, sent once to an executor for each stage, and plans don't print it.
+    """
+    jvm = df.sparkSession._jvm
+    value = df._jdf.queryExecution().executedPlan().executeCollect()[0].getArray(0)
+    kind = df._jdf.schema().apply(0).dataType()
+    expression = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, kind)
+    return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
