@@ -7,12 +7,18 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 
+import veldt
+
 _FOLDERS: dict[str, str] = {}
 
+#: Executors get this package's functions with the task, so they need no copy of it.
+cloudpickle.register_pickle_by_value(veldt)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by any path that Spark's readers open."""

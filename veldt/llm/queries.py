@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, toxicity
+from . import byte_bpe, licenses, mixing, toxicity
 from .common import table
 from .token_counts import token_counts
 
@@ -28,6 +28,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(bpe.decode(bpe.encode(documents))).drop("text", "ids", "decoded")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(documents, public_tokenizers.path("word_bpe_49k.json")).drop("text")
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_toxicity": op3_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_license_scan": op8_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 

@@ -199,11 +199,11 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float
     window. All rows stay; columns of these two names are replaced. One pass
     without a shuffle, and no state beyond the two dictionaries.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped = documents.sparkSession.sparkContext.broadcast((model.toxic, model.ordinary, model.weights, model.bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shipped.value
+        own = ToxicityModel(*shipped.value)
         compressors = own.compressors()
         for texts in batches:
             found = np.array([features(t, compressors) for t in texts]).reshape(-1, FEATURES)
