@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, licenses, mixing, toxicity
+from . import byte_bpe, licenses, mixing, near_duplicates, toxicity
 from .common import table
 from .token_counts import token_counts
 
@@ -32,6 +32,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(documents, public_tokenizers.path("word_bpe_49k.json")).drop("text")
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 
