@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, licenses, mixing, near_duplicates, toxicity
+from . import byte_bpe, fingerprints, inner_product, licenses, mixing, near_duplicates, toxicity
 from .common import table
 from .token_counts import token_counts
 
@@ -22,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_toxicity": op3_toxicity,
+    "op4_nearest": op4_nearest,
     "op6_fingerprints": op6_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
