@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, inner_product, licenses, mixing, near_duplicates, toxicity, warc
-from .common import table
+from . import byte_bpe, fingerprints, inner_product, licenses, mixing, near_duplicates, shards, toxicity, warc
+from .common import shared_folder, table
 from .token_counts import token_counts
 
 
@@ -31,6 +32,17 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four arrivals, told apart by a hash of the id, appended and compacted; one row for each document stored."""
+    documents = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for arrival in range(4):
+        store.append(documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == arrival))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "shard", "shard_size", "since", "arrival")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op3_toxicity": op3_toxicity,
     "op4_nearest": op4_nearest,
+    "op5_shard_compaction": op5_shard_compaction,
     "op6_fingerprints": op6_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_license_scan": op8_license_scan,
