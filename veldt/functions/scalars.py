@@ -155,16 +155,17 @@ def log_gamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (z + F.lit(0.5)) * F.log(t) - t + F.log(total)
 
 
-def gamma_cdf(x: Column, shape: Column, scale: Column, terms: int = 256) -> Column:
+def gamma_cdf(x: Column, shape: Column, scale: Column, most_terms: int = 400) -> Column:
     """Regularised lower incomplete gamma function by its power series; 0 at or below 0.
 
-    Terms shrink once their number exceeds x / scale; far in the upper tail,
+    Terms shrink once their number exceeds x / scale, so as many are taken as
+    that and a margin of its root ask for; far in the upper tail,
     beyond 160 scales and 4 shapes, the value is 1 to double precision.
     """
     z = x / scale
     # term n over term n - 1 is z / (shape + n)
     series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
+        F.sequence(F.lit(1), F.least(F.lit(most_terms), F.ceil(F.greatest(z, F.lit(0.0)) + F.lit(10.0) * F.sqrt(F.greatest(z, F.lit(0.0)) + F.lit(1.0)) + F.lit(25.0)).cast("int"))),
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
         lambda s, n: F.struct((s["term"] * z / (shape + n)).alias("term"), (s["total"] + s["term"] * z / (shape + n)).alias("total")),
         lambda s: s["total"],
