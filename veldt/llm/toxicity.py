@@ -25,6 +25,8 @@ from .common import text_or_empty
 #: Below 64 bytes zstandard leaves literals as they are, so lengths show matches alone.
 WINDOW, STRIDE = 60, 40
 GRAM = 5
+#: zstandard looks for no match that begins in the last 8 bytes.
+PADDING = b" " * 12
 FEATURES = 5
 
 
@@ -66,6 +68,7 @@ def features(text: str, compressors: tuple[zstandard.ZstdCompressor, zstandard.Z
     data = text.lower().encode("utf-8", "replace")
     if not data:
         return [0.0] * FEATURES
+    data += PADDING
     top: list[int] = []
     saving = windows = 0
     for at in range(0, len(data), STRIDE * 4096):  # very long texts in parts of bounded memory
