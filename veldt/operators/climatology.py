@@ -45,10 +45,10 @@ def reduced(total: Column, n: Column, rules: dict[str, str] = RULES) -> Column:
     return F.when(F.col("variable").isin(*summed), total).otherwise(F.try_divide(total, n))
 
 
-def annual(parts: DataFrame) -> DataFrame:
+def annual(parts: DataFrame, effective_from: dict[str, int] = EFFECTIVE_FROM) -> DataFrame:
     """cell_id, variable, year and value from monthly parts; years before a variable's first are left out."""
     late = F.lit(False)
-    for variable, first in EFFECTIVE_FROM.items():
+    for variable, first in effective_from.items():
         late = late | ((F.col("variable") == variable) & (F.col("year") < first))
     return parts.filter(~late).groupBy("cell_id", "variable", "year").agg(reduced(F.sum("total"), F.sum("n")).alias("value"))
 

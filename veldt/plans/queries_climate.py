@@ -339,10 +339,7 @@ def season_days(t: Tables) -> DataFrame:
 
 @query("flt_08", "SELECT variable, count(*) AS n FROM annual_cell WHERE variable <> 'evap_pan' OR year >= 1997 GROUP BY variable")
 def effective_years(t: Tables) -> DataFrame:
-    from unittest.mock import patch
-
-    with patch.dict(C.EFFECTIVE_FROM, {"evap_pan": 1997}):
-        return C.annual(t.parts).groupBy("variable").agg(F.count("*").alias("n"))
+    return C.annual(t.parts, {"evap_pan": 1997}).groupBy("variable").agg(F.count("*").alias("n"))
 
 
 @query("join_17", "SELECT cell_id, date, (max_temp + min_temp) / 2 AS tmean, daily_rain - evap_pan AS balance FROM obs", "tmean balance")
