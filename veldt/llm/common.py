@@ -73,3 +73,24 @@ def literal(df: DataFrame) -> Column:
     kind = df._jdf.schema().apply(0).dataType()
     expression = jvm.org.apache.spark.sql.catalyst.expressions.Literal(value, kind)
     return ClassicColumn(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+
+#: Bits of a member filter: at most 8 MB of them.
+MOST_BITS = 1 << 26
+
+
+def member_filter(ids: DataFrame, column: str) -> Column:
+    """A condition on `column` that holds for every id of ids, and for few others.
+
+    A bitmap with one hash and 16 bits an id or more, up to MOST_BITS; beyond
+    that more others pass, and none of the ids is lost. It spares a join the
+    shuffle of rows that have no partner.
+    """
+    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+    words = ids.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one(at)).alias("bits"))
+    every = ids.sparkSession.range(bits // 64).select(F.col("id").alias("word")).join(words, "word", "left")
+    rows = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    bitmap = literal(every.agg(F.transform(rows, lambda x: x["bits"]).alias("bitmap")))
+    return F.get(bitmap, F.shiftright(at, 6).cast("int")).bitwiseAND(one(at)) != 0

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import member_filter, text_or_empty, written
 from .components import components
 
 _P, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -293,7 +293,8 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest()) -> DataFrame:
                     rows.append((rep, component, k1, k2, copies, len(found), found.astype("<u8").tobytes()))
             yield pd.DataFrame(rows, columns=["rep", "component", "k1", "k2", "copies", "n_shingles", "shingles"])
 
-    members = df.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).join(wanted, "rep")
+    sought = member_filter(wanted.select("rep"), "rep")  # or every text would be shuffled
+    members = df.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).filter(sought).join(wanted, "rep")
     members = members.mapInPandas(exact, "rep long, component long, k1 long, k2 long, copies long, n_shingles long, shingles binary")
     members = written(members.dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "near-members")
     units = _in_blocks(members, "component", "n_shingles", forest.block_shingles, 4 * forest.block_rows)
