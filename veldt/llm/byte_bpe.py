@@ -1,10 +1,11 @@
 """Byte-level BPE by higher-order functions.
 
-Each match of the pattern is encoded by folding ranked merges over its bytes;
-ranks come from a literal map, cut by hash into small maps because Spark
-looks a key up in a map by going through it. Frequent distinct words are
-folded once and kept in a second such map; a document's other words are folded
-where they stand. So no word, however rare or frequent, is shuffled.
+Each match of the pattern is encoded by folding ranked merges over its bytes.
+The ranks of pairs come from a literal map, cut by hash into small maps
+because Spark looks a key up in a map by going through it. Frequent distinct
+words are folded once and kept in a second such map, with the words that are
+pieces themselves; a document's other words are folded where they stand. So
+no word, however rare or frequent, is shuffled.
 
 Decoding turns ids into the bytes of their pieces and concatenates these.
 """
@@ -21,8 +22,10 @@ from .common import literal, text_or_empty
 
 #: Above every rank.
 NONE = 2**31 - 1
-RANK_SLOTS = 1 << 15
-WORD_SLOTS = 1 << 17
+PAIR_SLOTS = 1 << 16
+WORD_SLOTS = 1 << 18
+#: A pair's key is left * PAIR_BASE + right.
+PAIR_BASE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,69 +33,76 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def _slots(pairs: DataFrame, key: str, value: str, n: int) -> Column:
-    """A literal array of n small maps; a key's map is at its hash modulo n."""
+def _slots(pairs: DataFrame, key: str, value: str, n: int, uses: Column | None = None) -> DataFrame:
+    """One row: an array of n small maps; a key's map is at its hash modulo n.
+
+    Within a map the keys of most uses come first, where they are found soonest.
+    """
     spark = pairs.sparkSession
-    small = pairs.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("slot")).agg(F.collect_list(F.struct(key, value)).alias("small"))
+    small = pairs.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("slot")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-uses if uses is not None else F.lit(0)).alias("order"), key, value))), lambda x: F.struct(x[key].alias(key), x[value].alias(value))).alias("small"))
     every = spark.range(n).select(F.col("id").cast("int").alias("slot")).join(small, "slot", "left")
     in_order = F.array_sort(F.collect_list(F.struct("slot", "small")), lambda a, b: a["slot"] - b["slot"])
-    return literal(every.agg(F.transform(in_order, lambda x: F.map_from_entries(x["small"])).alias("slots")))
+    return every.agg(F.transform(in_order, lambda x: F.map_from_entries(x["small"])).alias("slots"))
 
 
 def _find(slots: Column, key: Column, n: int) -> Column:
     return F.element_at(F.get(slots, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), key)
 
 
+def _is_text(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _let(value: Column, use) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """Ids of one word given as binary.
+def fold(word: Column, pairs: Column, letters: Column) -> Column:
+    """Ids of one word, a string that is no piece itself.
 
-    The state holds the parts and, for each, the rank of joining it to its
-    right neighbour. A step joins the leftmost pair of lowest rank; two ranks
-    change by it. Steps after the last possible merge change nothing. The time
-    grows with the square of a word's bytes.
+    The state holds the ids of the parts and, for each, the rank of joining
+    it to its right neighbour, which is the id of what the join makes. A step
+    joins the leftmost pair of lowest rank; two ranks change by it. Steps
+    after the last possible merge change nothing. The time grows with the
+    square of a word's bytes.
     """
 
     def rank(a: Column, b: Column) -> Column:
-        return F.coalesce(_find(ranks, F.concat(a, b), RANK_SLOTS), F.lit(NONE))
+        return F.coalesce(_find(pairs, a.cast("long") * F.lit(PAIR_BASE) + b, PAIR_SLOTS), F.lit(NONE))
 
     def step(state: Column, _: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def join(at: Column) -> Column:  # at: place of the left part, from 1
-            merged = F.concat(F.get(p, at - 1), F.get(p, at))
-            return _let(
-                merged,
-                lambda m: F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"),
-                    F.concat(
-                        F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), m)))).otherwise(F.slice(r, F.lit(1), F.lit(0))),
-                        F.array(F.when(at + 1 < F.size(p), rank(m, F.get(p, at + 1))).otherwise(F.lit(NONE))),
-                        F.slice(r, at + 2, F.size(r)),
-                    ).alias("r"),
-                ),
+        def joined(low: Column, at: Column) -> Column:  # at: place of the left part, from 1
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, F.size(p))).alias("p"),
+                F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(rank(F.get(p, at - 2), low), F.when(at + 1 < F.size(p), rank(low, F.get(p, at + 1))).otherwise(F.lit(NONE))), F.slice(r, at + 2, F.size(r))))
+                .otherwise(F.concat(F.array(F.when(F.size(p) > 2, rank(low, F.get(p, F.lit(2)))).otherwise(F.lit(NONE))), F.slice(r, F.lit(3), F.size(r))))
+                .alias("r"),
             )
 
-        return _let(F.array_min(r), lambda low: F.when(low == NONE, state).otherwise(_let(F.array_position(r, low).cast("int"), join)))
+        return _let(F.array_min(r), lambda low: F.when(low == NONE, state).otherwise(_let(F.array_position(r, low).cast("int"), lambda at: joined(low, at))))
 
     def run(parts: Column) -> Column:
         first = F.transform(parts, lambda x, i: F.when(i + 1 < F.size(parts), rank(x, F.get(parts, i + 1))).otherwise(F.lit(NONE)))
-        steps = F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2)))
-        return F.aggregate(steps, F.struct(parts.alias("p"), first.alias("r")), step, lambda s: F.transform(s["p"], lambda x: _find(ranks, x, RANK_SLOTS)))
+        steps = F.slice(parts, F.lit(2), F.size(parts))
+        return F.aggregate(steps, F.struct(parts.alias("p"), first.alias("r")), step, lambda s: s["p"])
+
+    def start(latin: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(latin)), lambda i: F.get(letters, F.ascii(F.substring(latin, i, F.lit(1)))))
 
-    whole = _find(ranks, word, RANK_SLOTS)
-    parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    return _let(whole, lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(_let(parts, run)))
+    return _let(_let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), start), run)
 
 
 class ByteBpe:
     """Encoder and decoder for one rank file and pattern."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, cached_words: int = 1 << 18, cache_documents: int = 1 << 15):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, cached_words: int = 1 << 19, cache_documents: int = 1 << 15):
         """cached_words, cache_documents: bounds of the cache of folded words
 
         and of the documents it is filled from. They change the time that
@@ -101,10 +111,20 @@ class ByteBpe:
         self.pattern = f"(?U){pattern}"
         self.cached_words, self.cache_documents = cached_words, cache_documents
         ranks = read_ranks(path)
+        single = [ranks.get(bytes([b])) for b in range(256)]
+        if None in single or max(ranks.values()) >= PAIR_BASE:
+            raise ValueError("a byte has no piece, or a rank is too large")
         table = spark.createDataFrame(list(ranks.items()), "piece binary, rank int")
-        self.ranks = _slots(table, "piece", "rank", RANK_SLOTS)
-        size = max(ranks.values(), default=-1) + 1
-        self.pieces = literal(spark.range(size).join(table, F.col("id") == F.col("rank"), "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.hex("piece").alias("piece")))), lambda x: x["piece"]).alias("pieces")))
+        self.letters = literal(spark.createDataFrame([(single,)], "letters array<int>"))
+        cut = table.select("rank", "piece", F.explode(F.sequence(F.lit(1), F.octet_length("piece"))).alias("at")).filter(F.col("at") < F.octet_length("piece"))
+        cut = cut.select("rank", F.substring("piece", F.lit(1), F.col("at")).alias("left"), F.substring("piece", F.col("at") + 1, F.octet_length("piece")).alias("right"))
+        pairs = cut.join(table.select(F.col("piece").alias("left"), F.col("rank").alias("a")), "left").join(table.select(F.col("piece").alias("right"), F.col("rank").alias("b")), "right")
+        self.pairs = literal(_slots(pairs.select((F.col("a").cast("long") * PAIR_BASE + F.col("b")).alias("pair"), "rank"), "pair", "rank", PAIR_SLOTS))
+        texts = [(piece.decode(), rank) for piece, rank in ranks.items() if _is_text(piece)]
+        self.whole = spark.createDataFrame(texts, "word string, rank int").select("word", F.array("rank").alias("ids"))
+        size = max(ranks.values()) + 1
+        by_id = spark.range(size).join(table, F.col("id") == F.col("rank"), "left")
+        self.pieces = literal(by_id.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.decode("piece", "ISO-8859-1").alias("piece")))), lambda x: x["piece"]).alias("pieces")))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
@@ -114,7 +134,9 @@ class ByteBpe:
         some = df.sample(min(1.0, self.cache_documents / max(rows, 1)), seed=7) if rows > self.cache_documents else df
         counted = some.select(F.explode(F.array_distinct(self.words(text_or_empty(column)))).alias("word")).groupBy("word").count()
         frequent = counted.filter(F.octet_length("word") <= 64).orderBy(F.desc("count"), "word").limit(self.cached_words)
-        return _slots(frequent.select("word", fold(F.encode("word", "UTF-8"), self.ranks).alias("ids")), "word", "ids", WORD_SLOTS)
+        both = frequent.repartition(64).join(self.whole, "word", "full")
+        ids = F.coalesce("ids", fold(F.col("word"), self.pairs, self.letters))
+        return literal(_slots(both.select("word", ids.alias("ids"), "count"), "word", "ids", WORD_SLOTS, F.coalesce("count", F.lit(0))))
 
     def encode(self, df: DataFrame, column: str = "text", out: str = "ids") -> DataFrame:
         """df with the ids of each whole text, an array<int>.
@@ -123,14 +145,14 @@ class ByteBpe:
         replaced; all rows stay.
         """
         known = self.cache(df, column)
-        ids = F.transform(self.words(text_or_empty(column)), lambda w: F.coalesce(_find(known, w, WORD_SLOTS), fold(F.encode(w, "UTF-8"), self.ranks)))
+        ids = F.transform(self.words(text_or_empty(column)), lambda w: F.coalesce(_find(known, w, WORD_SLOTS), fold(w, self.pairs, self.letters)))
         return df.withColumn(out, F.flatten(ids))
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
-        """df with the bytes that the ids stand for; null for null or unknown ids."""
+        """df with the bytes that the ids stand for; null for null ids and where an id lies beyond the last rank."""
+        known = (F.size(ids) == 0) | ((F.array_min(ids) >= 0) & (F.array_max(ids) < F.size(self.pieces)))
         pieces = F.transform(F.col(ids), lambda i: F.get(self.pieces, i))
-        known = F.forall(pieces, lambda x: x.isNotNull())
-        return df.withColumn(out, F.when(known, F.unhex(F.array_join(pieces, ""))))
+        return df.withColumn(out, F.when(known, F.encode(F.array_join(pieces, ""), "ISO-8859-1")))
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -138,7 +160,7 @@ def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFr
     return df.withColumns(
         {
             "n_tokens": F.size(ids).cast("long"),
-            "ids_sha256": F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256),
+            "ids_sha256": F.sha2(F.btrim(F.to_json(ids), F.lit("[]")).cast("binary"), 256),
             "decoded_sha256": F.sha2(F.col(decoded), 256),
         }
     )
