@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veldt.llm import fingerprints, near_duplicates
 from veldt.llm.components import components
@@ -154,6 +155,25 @@ def test_fingerprints(spark):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_fingerprints_weigh_repeats(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=8))
+    pairs = []
+    for k in range(40):
+        body = " ".join(word() for _ in range(64))
+        passages = [" ".join(word() for _ in range(8)) for _ in range(2)]
+        times = r.choice([(40, 40), (200, 200), (40, 4)])
+        a, b = (" ".join([body] + [passages[i * (k % 2)]] * n) for i, n in enumerate(times))
+        pairs.append((2 * k, a, b))
+    texts = spark.createDataFrame([row for k, a, b in pairs for row in ((k, a), (k + 1, b))], "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(texts, ["doc_id"]).collect()}
+    assert all(len(p) == 6 * fingerprints.SLOTS and fingerprints.EMPTY not in p for p in prints.values())
+    shown = spark.createDataFrame([(k, prints[k], prints[k + 1]) for k, _, _ in pairs], "k long, a string, b string")
+    got = {r["k"]: r["x"] for r in shown.select("k", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    errors = np.array([got[k] - generalised(a, b) for k, a, b in pairs])
+    assert abs(errors.mean()) < 0.03 and abs(errors).max() < 0.25
+
+
 def test_one_document_is_its_own_next(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     assert fingerprints.edit_likeness(df).first()["near_next"] == 1.0

@@ -1,13 +1,15 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions.
 
 Terms are five-word shingles, weighted by how often a text repeats them. A
-term's gamma-distributed numbers come from its hash alone; with its weight
-they give the term a level and a value, and the term of least value is the
-sample. Two texts draw the same sample with a probability equal to the
-generalised Jaccard similarity of their weights.
-
-The terms are dealt by hash over the slots of the fingerprint and each slot
-samples its own, so that a term's numbers are drawn once and not once a slot.
+sample is a (term, level) pair with a level of 1 to the term's weight: each
+slot of the fingerprint draws one number for every such pair of a text, and
+the least draw is its sample. Two texts draw the same sample with a
+probability equal to the generalised Jaccard similarity of their weights.
+
+Weights are counts, so the levels can be listed: there are as many as the
+text has shingles, and one hash is a draw. Ioffe's scheme, which jumps over
+levels by gamma-distributed numbers, has the same collision rate but needs
+five numbers and their logarithms for each draw.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .common import written
 
 SLOTS = 64
 WORDS = 5
-#: An empty slot; never the code of a sample.
+#: A slot of a text without words; never the code of a sample.
 EMPTY = "------"
 
 
@@ -56,51 +58,30 @@ def weighted(terms: Column) -> Column:
     return F.when(repeats, F.get(F.transform(F.array(F.array_sort(terms)), counted), F.lit(0))).otherwise(once)
 
 
-def _uniform(term: Column, k: int) -> Column:
-    """In (0, 1), from the k-th hash of the term."""
-    return (F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
-
-
-def sample_key(term: Column, weight: Column) -> Column:
-    """A long whose minimum over a slot's terms is the slot's sample.
-
-    The upper bits are the logarithm of the sampled value, ordered; the lower
-    24 are a hash of the term and its level, which the fingerprint keeps.
-    r and c are Gamma(2, 1), b is uniform, as in Ioffe's scheme:
-    level t = floor(ln(weight) / r + b), value c / exp(r (t - b) + r).
-    """
-    r = -F.log(_uniform(term, 1)) - F.log(_uniform(term, 2))
-    c = -F.log(_uniform(term, 3)) - F.log(_uniform(term, 4))
-    b = _uniform(term, 5)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    value = F.log(c) - r * (t - b + F.lit(1.0))
-    ordered = F.floor((F.greatest(F.least(value, F.lit(4000.0)), F.lit(-4000.0)) + F.lit(4096.0)) * F.lit(2.0**26)).cast("long")
-    return F.shiftleft(ordered, 24).bitwiseOR(F.pmod(F.xxhash64(term, t.cast("long")), F.lit(1 << 24)))
+def levels(terms: Column) -> Column:
+    """A hash of each (term, level), level = 1 to the term's weight: as many as there are terms with repeats."""
+    once = F.transform(terms, lambda x: F.xxhash64(x, F.lit(1)))
+    several = F.flatten(F.transform(weighted(terms), lambda x: F.transform(F.sequence(F.lit(1), x["weight"]), lambda k: F.xxhash64(x["term"], k))))
+    return F.when(F.size(F.array_distinct(terms)) < F.size(terms), several).otherwise(once)
 
 
 def samples(texts: DataFrame, keys: list[str], column: str, slots: int = SLOTS) -> DataFrame:
-    """keys, slot and sample: the least sample key of each slot that a text fills.
+    """keys and fingerprint: each slot's least draw over all levels of all terms of the text.
 
-    A text without words gives one row with a null sample. Each task keeps
-    one sample a slot before rows are exchanged by the keys; where texts is
-    dealt by some of the keys already there is no exchange.
+    A text without words has empty slots only. Each task keeps one row of
+    draws a text before rows are exchanged by the keys; where texts is dealt
+    by some of the keys already there is no exchange.
     """
-    term, weight = F.col("w.term"), F.col("w.weight")
-    dealt = texts.select(*keys, F.explode_outer(weighted(shingles(F.col(column)))).alias("w"))
-    dealt = dealt.select(*keys, F.pmod(F.xxhash64(term, F.lit(0)), F.lit(slots)).cast("int").alias("slot"), sample_key(term, weight).alias("sample"))
-    return dealt.groupBy(*keys, "slot").agg(F.min("sample").alias("sample"))
-
-
-def printed(when: Column, slots: int = SLOTS) -> Column:
-    """An aggregate over the samples of a text: six hexadecimal digits for each slot."""
-    code = F.lower(F.lpad(F.hex(F.col("sample").bitwiseAND(F.lit((1 << 24) - 1))), 6, "0"))
-    filled = F.map_from_entries(F.collect_list(F.when(when & F.col("sample").isNotNull(), F.struct("slot", code))))
-    return F.get(F.transform(F.array(filled), lambda m: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(EMPTY))), "")), F.lit(0))
+    each = texts.select(*keys, F.explode_outer(F.get(F.transform(F.array(shingles(F.col(column))), levels), F.lit(0))).alias("level"))
+    least = [F.min(F.xxhash64("level", F.lit(k))).alias(f"draw_{k}") for k in range(slots)]
+    drawn = each.groupBy(*keys).agg(F.count("level").alias("n"), *least)
+    codes = [F.lower(F.lpad(F.hex(F.col(f"draw_{k}").bitwiseAND(F.lit((1 << 24) - 1).cast("long"))), 6, "0")) for k in range(slots)]
+    return drawn.select(*keys, F.when(F.col("n") > 0, F.concat(*codes)).otherwise(F.lit(EMPTY * slots)).alias("fingerprint"))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], column: str = "text", slots: int = SLOTS) -> DataFrame:
     """keys and fingerprint of each text; keys must tell the rows apart."""
-    return samples(texts, keys, column, slots).groupBy(*keys).agg(printed(F.lit(True), slots).alias("fingerprint"))
+    return samples(texts, keys, column, slots)
 
 
 def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
@@ -165,8 +146,9 @@ def edit_likeness(df: DataFrame, slots: int = SLOTS) -> DataFrame:
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     keys = ["range", "place", "doc_id", "n_chars", "edited_sha256"]
     both = rows.select(*keys, F.posexplode(F.array("text", "edited")).alias("version", "words"))
-    per_slot = samples(both, [*keys, "version"], "words", slots)
-    prints = per_slot.groupBy(*keys).agg(printed(F.col("version") == 0, slots).alias("fingerprint"), printed(F.col("version") == 1, slots).alias("edited_fingerprint"))
+    each = samples(both, [*keys, "version"], "words", slots)
+    of = lambda k: F.max(F.when(F.col("version") == k, F.col("fingerprint")))
+    prints = each.groupBy(*keys).agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
     prints = written(prints, "fingerprints")
     head_prints = prints.filter("place = 1").select(F.col("range").alias("of"), F.col("fingerprint").alias("head_print"))
     head_prints = follows.join(head_prints, F.col("follows") == F.col("of")).select("range", "head_print")
