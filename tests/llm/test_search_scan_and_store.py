@@ -76,6 +76,16 @@ def test_license_places_and_labels(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_notices_broken_at_each_word():
+    scanner = licenses.Scanner({}, licenses.TEMPLATES, licenses.PHRASES, 0.8)
+    for label, notice in licenses.TEMPLATES:
+        parts = notice.split()
+        for before in (0, 3, 40):
+            for k in range(1, len(parts)):
+                text = "w " * before + " ".join(parts[:k]) + "\n# " + " ".join(parts[k:]) + " v" * 40
+                assert scanner.matches(text, licenses.words(text)).get(label) == 1.0
+
+
 def test_filters_lose_no_block():
     r = random.Random(1)
     tokens = [f"t{i}".encode() for i in range(30)]

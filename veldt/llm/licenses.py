@@ -41,7 +41,7 @@ TEMPLATES: Sequence[tuple[str, str]] = (
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _FOLD_KEEPING_LINES = bytes(0x0A if b == 0x0A else c for b, c in enumerate(_FOLD))
 
-#: Templates of more tokens than this are also sought in windows that span lines.
+#: Templates of at most so many tokens are sought in spanning windows of their own length.
 LINE_TOKENS = 16
 
 
@@ -77,6 +77,8 @@ class Scanner:
             for position, token in enumerate(template.prefix):
                 self.index.setdefault(token, []).append((k, position))
         self.span = max((len(words(notice)) for _, notice in templates), default=1)
+        #: words of each short template, repeats counted, with its prefix and its place
+        self.short = [(len(words(notice)), frozenset(t.prefix), k) for k, (t, (_, notice)) in enumerate(zip(self.templates, (x for x in templates if words(x[1])))) if len(t.tokens) <= LINE_TOKENS]
         self.phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
         for phrase, label in phrases.items():
             own = words(phrase)
@@ -109,8 +111,9 @@ class Scanner:
     def matches(self, text: str, tokens: list[bytes]) -> dict[str, float]:
         """The largest containment of each label that reaches the threshold in some block.
 
-        Blocks are lines, and, for templates of more than LINE_TOKENS tokens,
-        overlapping windows of twice the longest template.
+        Blocks are lines and overlapping windows that span lines: of twice the
+        longest template, and for templates of at most LINE_TOKENS tokens of
+        twice their own length.
         """
         best: dict[str, float] = {}
         if self.index.keys().isdisjoint(tokens):
@@ -134,6 +137,18 @@ class Scanner:
                     share = sum(1 for t in template.tokens if t in own)
                     if share >= template.needed:
                         best[template.label] = max(best.get(template.label, 0.0), share / len(template.tokens))
+        present = set(tokens)
+        for n, prefix, k in self.short:
+            template = self.templates[k]
+            if prefix.isdisjoint(present) or sum(1 for t in template.tokens if t in present) < template.needed:
+                continue
+            # the windows that start at multiples of n and hold a prefix token
+            at = {i // n for i, t in enumerate(tokens) if t in prefix}
+            for start in {q * n for x in at for q in (x - 1, x) if q >= 0}:
+                own = set(tokens[start : start + 2 * n])
+                share = sum(1 for t in template.tokens if t in own)
+                if share >= template.needed:
+                    best[template.label] = max(best.get(template.label, 0.0), share / len(template.tokens))
         return best
 
     def scan(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
