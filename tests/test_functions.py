@@ -40,6 +40,14 @@ def test_gamma_cdf_closed_forms(spark):
         assert r["p"] == pytest.approx(1 - math.exp(-z) * (1 if r["a"] == 1 else 1 + z), abs=1e-12)
 
 
+def test_gamma_cdf_of_large_shapes(spark):
+    rows = [(a * m, a) for a in (0.1, 0.7, 5.0, 99.0, 150.0, 1000.0, 20000.0) for m in (0.5, 0.9, 0.99, 1.0, 1.01, 1.1, 1.5, 3.0, 20.0)]
+    for r in spark.createDataFrame(rows, "x double, a double").select("x", "a", S.gamma_cdf(F.col("x"), F.col("a"), F.lit(1.0)).alias("p")).collect():
+        top = int(r["x"] + 20 * math.sqrt(r["x"]) + 200)
+        want = math.fsum(math.exp((r["a"] + n) * math.log(r["x"]) - r["x"] - math.lgamma(r["a"] + n + 1)) for n in range(top))
+        assert r["p"] == pytest.approx(want, abs=1e-8)
+
+
 def test_gdd_keeps_missing(spark):
     df = spark.createDataFrame([(20.0, 10.0), (None, 10.0), (5.0, -9.0), (40.0, 20.0)], "a double, b double")
     got = [r[0] for r in df.select(S.daily_gdd(F.col("a"), F.col("b"), 10.0, 30.0)).collect()]

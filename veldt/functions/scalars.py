@@ -155,20 +155,23 @@ def log_gamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (z + F.lit(0.5)) * F.log(t) - t + F.log(total)
 
 
-def gamma_cdf(x: Column, shape: Column, scale: Column, most_terms: int = 400) -> Column:
-    """Regularised lower incomplete gamma function by its power series; 0 at or below 0.
+def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
+    """Regularised lower incomplete gamma function; 0 at or below 0.
 
-    Terms shrink once their number exceeds x / scale, so as many are taken as
-    that and a margin of its root ask for; far in the upper tail,
-    beyond 160 scales and 4 shapes, the value is 1 to double precision.
+    By its power series up to z = x / scale = shape + 1 and by the continued
+    fraction of the upper function beyond. Either needs some roots of the
+    shape as terms.
     """
     z = x / scale
+    terms = F.ceil(F.lit(10.0) * F.sqrt(F.greatest(shape, F.lit(0.0)) + F.lit(1.0)) + F.lit(60.0)).cast("int")
     # term n over term n - 1 is z / (shape + n)
     series = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.lit(most_terms), F.ceil(F.greatest(z, F.lit(0.0)) + F.lit(10.0) * F.sqrt(F.greatest(z, F.lit(0.0)) + F.lit(1.0)) + F.lit(25.0)).cast("int"))),
+        F.sequence(F.lit(1), terms),
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
         lambda s, n: F.struct((s["term"] * z / (shape + n)).alias("term"), (s["total"] + s["term"] * z / (shape + n)).alias("total")),
         lambda s: s["total"],
     )
-    value = F.exp(shape * F.log(z) - z - log_gamma(shape + F.lit(1.0))) * series
-    return F.when(x <= 0, F.lit(0.0)).when((z > 160) & (z > 4 * shape), F.lit(1.0)).when(x.isNotNull(), F.least(value, F.lit(1.0)))
+    fraction = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), z + F.lit(2.0) * terms + F.lit(1.0) - shape, lambda f, n: z + F.lit(2.0) * n - F.lit(1.0) - shape - n * (n - shape) / f)
+    front = F.exp(shape * F.log(z) - z - log_gamma(shape + F.lit(1.0)))
+    upper = F.lit(1.0) - front * shape / fraction
+    return F.when(x <= 0, F.lit(0.0)).when(z > shape + F.lit(1.0), F.greatest(upper, F.lit(0.0))).when(x.isNotNull(), F.least(front * series, F.lit(1.0)))
