@@ -56,7 +56,7 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN, cached_words=4)  # most words are folded where they stand
+    bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN, kept_words=4)  # most words are folded where they stand
     rows = byte_bpe.digests(bpe.decode(bpe.encode(docs))).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:

@@ -81,9 +81,26 @@ def test_odd_ids_and_empty_tables(spark):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
-def test_prefix_is_shortened_to_the_target():
+def test_one_id_with_different_texts(spark):
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[100:140])
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (1, b)], "doc_id long, text string")
+    found = near_duplicates.near_duplicates(df)
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_texts"]) for r in found.collect()) == [(1, 1, 1, 0), (1, 1, 1, 0), (1, 1, 1, 1), (2, 1, 1, 1)]
+    assert sorted(r["text"] for r in near_duplicates.one_of_each(df, found).collect()) == sorted([a, b])
+
+
+def test_prefixes_shorten_until_the_target_is_met(spark):
+    r = random.Random(8)
+    docs = []
+    for c in range(150):  # pairs at about 0.82
+        base = [r.choice(WORDS) for _ in range(100)]
+        docs += [" ".join(base), " ".join(base[:-10] + r.choices(WORDS, k=10))]
     forest = near_duplicates.Forest()
-    assert forest.recall(forest.prefix) >= forest.target_recall > forest.recall(forest.prefix + 1)
+    prints = near_duplicates.fingerprints(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), forest)
+    edges = near_duplicates.candidates(prints.select(F.col("doc_id").alias("rep"), "sig"), forest).collect()
+    met = {tuple(sorted(e)) for e in edges}
+    assert sum((2 * c, 2 * c + 1) in met for c in range(150)) >= 149
+    assert forest.meets(8, 0.8) < forest.target_recall < forest.meets(5, 0.8)
 
 
 def test_shingle_hashes_follow_words():

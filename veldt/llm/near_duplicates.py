@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
-Texts of equal word sequences form one class, which a representative stands
-for. Each tree of the forest is a prefix trie of part of the signature; a
-prefix is shortened from the tree's whole depth until pairs at the threshold
-meet in some tree with the target probability. What meets is compared by
+Texts of equal word sequences are one text with copies. Each tree of the
+forest is a prefix trie of part of the signature: texts lie sorted by their
+path in it, and those of equal prefixes meet. The search begins with prefixes
+of a tree's whole depth and shortens them, level by level, until what was
+found shows that the target recall is met. What meets is compared by
 signature, then verified on the exact shingle sets. Large groups are compared
 in blocks: pairs are counted where they are found, and never listed.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import member_filter, text_or_empty, written
@@ -33,22 +34,15 @@ class Forest:
     words: int = 5
     trees: int = 24
     depth: int = 8
-    target_recall: float = 0.999
+    target_recall: float = 0.9999
     #: Pairs below this estimate aren't verified; six standard errors below 0.8.
     doubtful: float = 0.6
     block_rows: int = 512
     block_shingles: int = 1 << 20
 
-    def recall(self, length: int, similarity: float | None = None) -> float:
-        return 1 - (1 - (similarity or self.threshold) ** length) ** self.trees
-
-    @property
-    def prefix(self) -> int:
-        """The longest prefix that meets the target recall at the threshold."""
-        length = self.depth
-        while length > 1 and self.recall(length) < self.target_recall:
-            length -= 1
-        return length
+    def meets(self, length: int, similarity: float | np.ndarray) -> float | np.ndarray:
+        """The probability that two texts of this similarity share a prefix of the length in some tree."""
+        return 1 - (1 - similarity**length) ** self.trees
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,21 +111,25 @@ def seeds(n: int) -> np.ndarray:
     return np.stack([x[:n], x[n:] | np.uint64(1)], 1)
 
 
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
 def fingerprints(df: DataFrame, forest: Forest) -> DataFrame:
-    """doc_id, k1, k2 (the word sequence), n_shingles and sig of each row."""
+    """doc_id, text_hash, k1, k2 (the word sequence), n_shingles and sig of each row."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, own = Shingler(forest.words), seeds(forest.trees * forest.depth)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 words = shingler.words(text)
                 shingles = shingler.shingles(words)
-                rows.append((doc_id, *shingler.identity(words), len(shingles), signature(shingles, own)))
-            out = pd.DataFrame(rows, columns=["doc_id", "k1", "k2", "n_shingles", "sig"])
+                rows.append((doc_id, text_hash, *shingler.identity(words), len(shingles), signature(shingles, own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "k1", "k2", "n_shingles", "sig"])
             yield out.astype({"doc_id": "Int64"})
 
-    return df.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(make, "doc_id long, k1 long, k2 long, n_shingles int, sig binary")
+    return df.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), text_or_empty().alias("text")).mapInPandas(make, "doc_id long, text_hash long, k1 long, k2 long, n_shingles int, sig binary")
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -169,14 +167,14 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _in_blocks(members: DataFrame, group: str, weight: str, most: int, rows: int) -> DataFrame:
+def _in_blocks(members: DataFrame, group: list[str], weight: str, most: int, rows: int) -> DataFrame:
     """members with i and j: the pair of blocks of its group in which a row is compared.
 
     A group of more than `rows` rows or `most` weight is dealt into blocks by
     hash; each pair of blocks is one unit of work. Every other group is the
     one block 0, 0.
     """
-    sizes = members.groupBy(group).agg(F.greatest(F.ceil(F.sum(weight) / most), F.ceil(F.count("*") / rows)).cast("int").alias("blocks"), F.count("*").alias("in_group"))
+    sizes = members.groupBy(*group).agg(F.greatest(F.ceil(F.sum(weight) / most), F.ceil(F.count("*") / rows)).cast("int").alias("blocks"), F.count("*").alias("in_group"))
     dealt = members.join(sizes.filter("in_group > 1").drop("in_group"), group)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -184,29 +182,74 @@ def _in_blocks(members: DataFrame, group: str, weight: str, most: int, rows: int
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def _estimated(forest: Forest) -> Callable:
-    """Edges between rows of a bucket whose signatures agree well enough."""
+def _estimated(forest: Forest, length: int) -> Callable:
+    """Edges between rows of a bucket whose signatures agree well enough.
+
+    Also counts, once for each pair that meets anywhere at this length, in the
+    first tree where it does: the pairs at the threshold by their estimate,
+    and how many pairs of that similarity there are for each one that meets.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple[int, int]] = []
-        for group in _groups(batches, ["bucket", "i", "j"]):
+        met = there = 0.0
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(found, columns=["a", "b"]).astype("Int64").drop_duplicates()
+            return pd.concat([out.assign(met=0.0, there=0.0), pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "met": [met], "there": [there]})])
+
+        for group in _groups(batches, ["tree", "prefix", "i", "j"]):
             group = group.sort_values("rep")
-            reps = group["rep"].to_numpy()
-            sigs = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(group), -1)
+            reps, own, tree = group["rep"].to_numpy(), group["own"].to_numpy(), int(group["tree"].iloc[0])
+            apart = group["i"].iloc[0] != group["j"].iloc[0]
+            sigs = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(group), forest.trees, forest.depth)
             linked = np.zeros((len(group),) * 2, bool)
             for r in range(len(group)):
-                linked[r] = (sigs[r] == sigs).mean(1) >= forest.doubtful
+                same = sigs[r] == sigs
+                agree = same.mean((1, 2))
+                linked[r] = agree >= forest.doubtful
+                new = np.flatnonzero(agree[:r] >= forest.threshold)
+                if len(new):
+                    if apart:
+                        new = new[own[new] != own[r]]
+                    new = new[same[new, :, :length].all(2).argmax(1) == tree]
+                    met += len(new)
+                    there += float((1 / forest.meets(length, agree[new])).sum())
             for r, root in enumerate(roots(linked)):
                 if root != r:
                     found.append((reps[r], reps[root]))
             if len(found) > 100_000:
-                yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
-                found = []
-        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64").drop_duplicates()
+                yield flush()
+                found, met, there = [], 0.0, 0.0
+        yield flush()
 
     return compare
 
 
+def candidates(texts: DataFrame, forest: Forest) -> DataFrame:
+    """Edges a, b between texts (rep, sig) that met in the forest and may be linked.
+
+    Prefixes begin at the depth of the trees. Of the pairs found at a length,
+    each stands for 1 / meets(length, similarity) pairs that are there. While
+    what was found is less than the target's share of that sum, prefixes get
+    shorter by one.
+    """
+    width = 2 * forest.depth
+    tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
+    paths = texts.select("rep", tree, "sig").withColumn("path", F.substring(F.col("sig"), F.col("tree") * width + 1, F.lit(width)))
+    for length in range(forest.depth, 0, -1):
+        bucket = paths.select("rep", "tree", F.substring("path", 1, 2 * length).alias("prefix"), F.lit(1).alias("one"))
+        units = _in_blocks(bucket, ["tree", "prefix"], "one", forest.block_rows, forest.block_rows)
+        units = written(units.select("tree", "prefix", "i", "j", "own", "rep"), "near-units")
+        keys = ["tree", "prefix", "i", "j"]
+        met = units.join(texts.select("rep", "sig"), "rep").repartition(*keys).sortWithinPartitions(*keys)
+        edges = written(met.mapInPandas(_estimated(forest, length), "a long, b long, met double, there double"), "near-edges")
+        seen = edges.agg(F.sum("met").alias("met"), F.sum("there").alias("there")).first()
+        if (seen["met"] or 0.0) >= forest.target_recall * (seen["there"] or 0.0):
+            break
+    return edges.filter("a is not null").select("a", "b").distinct()
+
+
 def shared(sets: list[np.ndarray]) -> np.ndarray:
     """The matrix of intersection sizes of sorted sets."""
     n = len(sets)
@@ -253,7 +296,7 @@ def _verified(forest: Forest) -> Callable:
 
 
 def near_duplicates(df: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One row for each row of df: doc_id, class_id, text_id, n_links, n_texts.
+    """One row for each row of df: doc_id, class_id, text_id, n_links, n_texts, head, text_hash.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word
     shingles is the threshold or more. class_id is the smallest doc_id of what
@@ -261,26 +304,25 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest()) -> DataFrame:
     other rows that a row is linked to, copies too; n_texts counts different
     word sequences among these, without its own.
 
+    head says whether the row is its class's first by doc_id and text_hash;
+    text_hash is that of the text as it stands.
+
     Null texts count as empty. Texts without words have no shingle and are
     linked to each other only, as copies. Fewer than five words make one
-    shingle. Rows that repeat an id are rows of their own. Rows with a null id
-    take part in no class but their own: class_id and text_id are null and
-    the counts 0. Other columns of df are not looked at. No bucket is cut:
-    groups beyond a block's bounds are compared in pairs of blocks.
+    shingle. Rows that repeat an id are rows of their own, whatever their
+    texts. Rows with a null id take part in no class but their own: class_id
+    and text_id are null and the counts 0. Other columns of df are not looked
+    at. No bucket is cut: groups beyond a block's bounds are compared in pairs
+    of blocks.
     """
     prints = written(fingerprints(df, forest), "near-prints")
     known = prints.filter(F.col("doc_id").isNotNull())
-    texts = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "near-texts")
-    length, width = forest.prefix, 2 * forest.depth
-    tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
-    trie = texts.filter("n_shingles > 0").select("rep", "sig", tree)
-    path = F.xxhash64("tree", F.substring(F.col("sig"), F.col("tree") * width + 1, F.lit(2 * length)))
-    buckets = trie.select("rep", path.alias("bucket"), F.lit(1).alias("one"))
-    units = written(_in_blocks(buckets, "bucket", "one", forest.block_rows, forest.block_rows).select("bucket", "i", "j", "rep"), "near-units")
-    met = units.join(texts.select("rep", "sig"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    edges = written(met.mapInPandas(_estimated(forest), "a long, b long").distinct(), "near-edges")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    texts = known.groupBy("k1", "k2").agg(first, F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    texts = written(texts.withColumn("rep", F.monotonically_increasing_id()), "near-texts")  # the table keeps the numbers
+    edges = candidates(texts.filter("n_shingles > 0").select("rep", "sig"), forest)
     grouped = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("component"))
-    wanted = written(grouped.join(texts.select("rep", "k1", "k2", "copies"), "rep"), "near-wanted")
+    wanted = written(grouped.join(texts.select("rep", "k1", "k2", "copies", F.col("first.doc_id").alias("doc_id")), "rep"), "near-wanted")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(forest.words)
@@ -290,32 +332,41 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest()) -> DataFrame:
                 words = shingler.words(text)
                 if shingler.identity(words) == (k1, k2):
                     found = shingler.shingles(words)
-                    rows.append((rep, component, k1, k2, copies, len(found), found.astype("<u8").tobytes()))
-            yield pd.DataFrame(rows, columns=["rep", "component", "k1", "k2", "copies", "n_shingles", "shingles"])
-
-    sought = member_filter(wanted.select("rep"), "rep")  # or every text would be shuffled
-    members = df.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text")).filter(sought).join(wanted, "rep")
-    members = members.mapInPandas(exact, "rep long, component long, k1 long, k2 long, copies long, n_shingles long, shingles binary")
-    members = written(members.dropDuplicates(["rep", "k1", "k2"]).drop("k1", "k2"), "near-members")
-    units = _in_blocks(members, "component", "n_shingles", forest.block_shingles, 4 * forest.block_rows)
+                    rows.append((rep, component, copies, len(found), found.astype("<u8").tobytes()))
+            yield pd.DataFrame(rows, columns=["rep", "component", "copies", "n_shingles", "shingles"])
+
+    sought = member_filter(wanted.select("doc_id"), "doc_id")  # or every text would be shuffled
+    members = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).filter(sought).join(wanted, "doc_id")
+    members = members.mapInPandas(exact, "rep long, component long, copies long, n_shingles long, shingles binary")
+    members = written(members.dropDuplicates(["rep"]), "near-members")
+    units = _in_blocks(members, ["component"], "n_shingles", forest.block_shingles, 4 * forest.block_rows)
     units = units.select("component", "i", "j", "own", "rep", "copies", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = written(units.mapInPandas(_verified(forest), "rep long, texts long, documents long, root long"), "near-counted")
     links = counted.groupBy("rep").agg(F.sum("texts").alias("n_texts"), F.sum("documents").alias("linked"))
-    classes = components(counted.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    per_text = texts.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    per_text = per_text.select("k1", "k2", F.col("rep").alias("text_id"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
-    out = known.select("doc_id", "k1", "k2").join(per_text, ["k1", "k2"]).select("doc_id", "class_id", "text_id", "n_links", "n_texts")
-    lonely = prints.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
+    classes = components(counted.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "rep")
+    heads = texts.select("rep", "first").join(classes, "rep").groupBy("root").agg(F.min("first").alias("class_first"))
+    per_text = texts.select("k1", "k2", "rep", "first", "copies").join(links, "rep", "left").join(classes, "rep", "left").join(heads, "root", "left")
+    class_first = F.coalesce("class_first", "first")
+    per_text = per_text.select("k1", "k2", class_first.alias("class_first"), F.col("first.doc_id").alias("text_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
+    head = F.struct("doc_id", "text_hash") == F.col("class_first")
+    out = known.select("doc_id", "text_hash", "k1", "k2").join(per_text, ["k1", "k2"]).select("doc_id", F.col("class_first.doc_id").alias("class_id"), "text_id", "n_links", "n_texts", head.alias("head"), "text_hash")
+    null = F.lit(None).cast("long")
+    lonely = prints.filter(F.col("doc_id").isNull()).select("doc_id", null.alias("class_id"), null.alias("text_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"), F.lit(True).alias("head"), "text_hash")
     return out.unionByName(lonely)
 
 
 def one_of_each(df: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of df whose id is their class's: one document of each class, all its columns.
+    """The rows of df that head a class of near_duplicates(df): one document of each, all its columns.
 
-    Rows without an id stay. Of rows that repeat the id of a class one stays.
+    Rows without an id stay. Of rows that repeat the id and text of a head one
+    stays.
     """
-    heads = found.filter("doc_id = class_id").select("doc_id").distinct()
-    kept = df.join(heads, "doc_id", "left_semi")
-    if not heads.count() == kept.select("doc_id").count():
-        kept = kept.dropDuplicates(["doc_id"])
+    heads = found.filter(F.col("head") & F.col("doc_id").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    hashed = df.withColumn("near_text_hash", text_hash())
+    same = (F.col("near_head.doc_id") == F.col("near_row.doc_id")) & (F.col("near_head.text_hash") == F.col("near_text_hash"))
+    kept = hashed.alias("near_row").join(heads.alias("near_head"), same, "left_semi")
+    if heads.filter("rows > 1").isEmpty():
+        kept = kept.drop("near_text_hash")
+    else:
+        kept = kept.dropDuplicates(["doc_id", "near_text_hash"]).drop("near_text_hash")
     return kept.unionByName(df.filter(F.col("doc_id").isNull()))
