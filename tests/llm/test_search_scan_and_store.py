@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veldt.llm import inner_product, licenses, shards, toxicity
+from veldt.llm import inner_product, licenses, queries, shards, toxicity
 
 
 def test_search_recall_order_and_unusable_vectors(spark):
@@ -150,7 +150,7 @@ def test_shards_merge_without_losing_rows(spark, tmp_path):
     assert store.compact() == 5 and len(store.shards()) == 1 and store.shards()[0].arrival == 1
     assert sorted(r["doc_id"] for r in store.read().collect()) == list(range(90))
     assert store.read(3).count() == 90  # an old version can still be read
-    assert store.compact() == 5 and store.vacuum() >= len(before)
+    assert store.compact() == 5 and store.vacuum(keep=1) >= len(before)
     assert store.read().count() == 90 and set(docs.columns) < set(store.read().columns)
 
 
@@ -158,7 +158,7 @@ def test_commits_conflict(spark, tmp_path):
     store = shards.ShardStore(spark, (tmp_path / "s").as_uri())
     store.append(spark.range(3).coalesce(1))
     with pytest.raises(shards.Conflict):
-        store._publish(1, [])
+        store._publish(1, [], None)
     gone = store.shards()
     store.commit([], gone)
     with pytest.raises(shards.Conflict):
@@ -166,6 +166,40 @@ def test_commits_conflict(spark, tmp_path):
     assert store.shards(1) == gone and store.shards() == []
 
 
+def test_merged_shards_keep_their_arrival_and_stray_files_are_spared(spark, tmp_path):
+    store = shards.ShardStore(spark, (tmp_path / "s").as_uri(), small=1 << 20, target=1 << 20, fanout=2)
+    big = [(i, "".join(chr(97 + (i * 7919 + k * k * 31) % 26) for k in range(2000))) for i in range(40)]
+    schema = "doc_id long, text string"
+    store.append(spark.createDataFrame(big[:20], schema).coalesce(1))
+    store.append(spark.createDataFrame(big[20:], schema).coalesce(1))
+    for k in (100, 101):
+        store.append(spark.createDataFrame([(k, "x")], schema).coalesce(1))
+    stray = "data/stray.parquet"
+    store._fs.create(store._path(stray)).close()
+    store.compact()
+    assert sorted((s.arrival, s.rows) for s in store.shards()) == [(1, 40), (3, 2)]
+    store.vacuum(keep=1)
+    assert stray in [p for p, _ in store._files("data")] and store.read().count() == 42
+    store.vacuum(keep=1, spare_seconds=-10)
+    assert stray not in [p for p, _ in store._files("data")] and store.read().count() == 42
+
+
+def test_appended_shards_are_small(spark, tmp_path):
+    store = shards.ShardStore(spark, (tmp_path / "s").as_uri(), small=10_000)
+    store.append(spark.range(1000).select("id", F.lit("y" * 92).alias("text")).coalesce(1))
+    assert [s.rows for s in store.shards()] == [100] * 10
+
+
+@pytest.mark.parametrize("n", [0, 50])
+def test_op5_returns_every_document(spark, tmp_path, n):
+    rows = [(i % 45 if i else None, None if i % 9 == 0 else "é" * (i % 13)) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet((tmp_path / "documents.parquet").as_uri())
+    got = queries.op5_shard_compaction(spark, tmp_path.as_uri()).collect()
+    want = [(i, None if t is None else len(t.encode())) for i, t in rows]
+    assert sorted(((r["doc_id"], r["n_bytes"]) for r in got), key=str) == sorted(want, key=str)
+    assert all(1 <= r["arrival"] <= r["since"] for r in got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t, _ in toxic_corpus(600, 1)]
     rows += [(1000 + i, rows[i][1], "en", "s1", 1) for i in range(1, 10)]

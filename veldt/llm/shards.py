@@ -9,11 +9,13 @@ rename that fails if another writer has published the same number.
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -22,18 +24,29 @@ class Shard:
     size: int
     since: int  # version that made it
     arrival: int  # the first version whose rows it holds
+    rows: int = 0
 
 
 class Conflict(RuntimeError):
     """Another writer has published this version or taken away a shard being merged."""
 
 
+def _below_data(path: str) -> str:
+    return path.rsplit("data/", 1)[-1]
+
+
+def _file() -> Column:
+    """Of a row that is read: its shard's path below data/. Files of one job have one name in several folders."""
+    return F.substring_index(F.input_file_name(), "/data/", -1)
+
+
 class ShardStore:
     """Versions v1, v2, ... in `folder`, a path of any file system that Spark knows.
 
-    small: bytes of a row group; target: bytes of a merged shard, about.
-    fanout: shards of a tier that start a merge; a tier spans sizes within
-    this factor. Shards of half the target or more are finished.
+    small: bytes of an appended shard, before compression, at most about;
+    target: bytes of a merged shard, about. fanout: shards of a tier that
+    start a merge; a tier spans sizes within this factor. Shards of half the
+    target or more are finished.
     """
 
     def __init__(self, spark: SparkSession, folder: str, small: int = 4 << 20, target: int = 32 << 20, fanout: int = 4):
@@ -50,23 +63,24 @@ class ShardStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(self._path("manifest"))]
         return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
 
-    def shards(self, version: int | None = None) -> list[Shard]:
-        version = self.latest() if version is None else version
+    def _manifest(self, version: int) -> dict:
         if version == 0:
-            return []
+            return {"shards": [], "schema": None}
         stream = self._fs.open(self._path(f"manifest/v{version:08d}.json"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def _publish(self, version: int, shards: list[Shard]) -> int:
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**x) for x in self._manifest(self.latest() if version is None else version)["shards"]]
+
+    def _publish(self, version: int, shards: list[Shard], schema: str | None) -> int:
         jvm = self.spark._jvm
         draft, final = self._path(f"manifest/draft-{uuid.uuid4().hex}"), self._path(f"manifest/v{version:08d}.json")
         stream = self._fs.create(draft, False)
         try:
-            stream.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+            stream.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             stream.close()
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -81,16 +95,17 @@ class ShardStore:
             raise
         return version
 
-    def commit(self, added: list[Shard], removed: list[Shard], attempts: int = 10) -> int:
+    def commit(self, added: list[Shard], removed: list[Shard], schema: str | None = None, attempts: int = 10) -> int:
         """Publishes a version with these changes to the latest one; tries again after other writers' commits."""
         for _ in range(attempts):
             version = self.latest()
-            now = self.shards(version)
+            manifest = self._manifest(version)
+            now = [Shard(**x) for x in manifest["shards"]]
             gone = {s.path for s in removed}
             if not gone <= {s.path for s in now}:
                 raise Conflict("a shard to be replaced is no longer there")
             try:
-                return self._publish(version + 1, [s for s in now if s.path not in gone] + [Shard(s.path, s.size, version + 1, s.arrival or version + 1) for s in added])
+                return self._publish(version + 1, [s for s in now if s.path not in gone] + [replace(s, since=version + 1, arrival=s.arrival or version + 1) for s in added], schema or manifest["schema"])
             except Conflict:
                 continue
         raise Conflict(f"no commit in {attempts} attempts")
@@ -108,15 +123,20 @@ class ShardStore:
         root = self._fs.makeQualified(self._path()).toString().rstrip("/") + "/"
         return sorted((self._fs.makeQualified(self.spark._jvm.org.apache.hadoop.fs.Path(p)).toString().removeprefix(root), n) for p, n in found)
 
+    def _row_bytes(self, rows: DataFrame) -> float:
+        """Bytes of a row before compression, on average: of its strings and binaries, and 8 for each other column."""
+        sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in rows.schema]
+        return rows.agg(F.avg(sum(sizes, F.lit(0)))).first()[0] or 1.0
+
     def append(self, rows: DataFrame) -> int:
         """Writes rows as small shards, in the partitions they come in, without a shuffle; no rows make no shard."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").option("parquet.block.size", str(self.small)).parquet(f"{self.folder}/{folder}")
-        kept = self.spark.read.parquet(f"{self.folder}/{folder}")
-        files = self._files(folder)
-        if len(files) == 1 and kept.isEmpty():
-            files = []
-        return self.commit([Shard(p, n, 0, 0) for p, n in files], [])
+        most = max(1, int(self.small / self._row_bytes(rows)))
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", most).parquet(f"{self.folder}/{folder}")
+        kept = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{folder}")
+        counts = {r["file"]: r["rows"] for r in kept.groupBy(_file().alias("file")).agg(F.count("*").alias("rows")).collect()}
+        files = [(p, n, counts.get(_below_data(p), 0)) for p, n in self._files(folder)]
+        return self.commit([Shard(p, n, 0, 0, rows) for p, n, rows in files if rows], [], rows.schema.json())
 
     def plan(self) -> list[list[Shard]]:
         """Runs to merge: the shards of each tier that has `fanout` of them, cut where the target is reached."""
@@ -151,23 +171,31 @@ class ShardStore:
             return self.latest()
         merged = [s for run in runs for s in run]
         folder = f"data/{uuid.uuid4().hex}"
-        n = len(runs)
-        # for each run a key that hash partitioning sends to a partition of its own
-        keys = {r["at"]: r["key"] for r in self.spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("key")).collect()}
-        of = self.spark.createDataFrame([(s.path.rsplit("/", 1)[-1], keys.get(k, k)) for k, run in enumerate(runs) for s in run], "shard_file string, shard_run long")
-        rows = self._read(merged).withColumn("shard_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-        # of: one row for each shard of the plan, whatever the shards hold
-        rows = rows.join(F.broadcast(of), "shard_file").repartition(n, "shard_run").drop("shard_file", "shard_run")
-        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{folder}")
-        first = min(s.arrival for s in merged)
-        made = [Shard(p, size, 0, first) for p, size in self._files(folder)]
+        of = self.spark.createDataFrame([(_below_data(s.path), k) for k, run in enumerate(runs) for s in run], "shard_file string, shard_run int")
+        rows = self._read(merged).withColumn("shard_file", _file())
+        # of: one row for each shard of the plan, whatever the shards hold; a run lies in one partition, so it makes one file of its folder
+        rows = rows.join(F.broadcast(of), "shard_file").drop("shard_file").repartition(len(runs), "shard_run")
+        rows.write.option("compression", "zstd").partitionBy("shard_run").parquet(f"{self.folder}/{folder}")
+        made = []
+        for p, size in self._files(folder):
+            run = runs[int(p.rsplit("/", 2)[-2].removeprefix("shard_run="))]
+            made.append(Shard(p, size, 0, min(s.arrival for s in run), sum(s.rows for s in run)))
+        if len(made) != len(runs):
+            raise RuntimeError(f"{len(runs)} runs made {len(made)} files")
         return self.commit(made, merged)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes files that none of the last `keep` versions lists; returns how many."""
+    def vacuum(self, keep: int = 2, spare_seconds: int = 86_400) -> int:
+        """Deletes files that only versions before the last `keep` list; returns how many.
+
+        Files that no version lists may belong to a commit under way: they go
+        when they are older than spare_seconds.
+        """
         latest = self.latest()
-        used = {s.path for v in range(max(1, latest - keep + 1), latest + 1) for s in self.shards(v)}
-        gone = [p for p, _ in self._files("data") if p not in used]
+        listed = {v: {s.path for s in self.shards(v)} for v in range(1, latest + 1)}
+        used = set().union(*[listed[v] for v in listed if v > latest - keep])
+        old = set().union(*listed.values()) - used
+        before = time.time() - spare_seconds
+        gone = [p for p, _ in self._files("data") if p in old or p not in used and self._fs.getFileStatus(self._path(p)).getModificationTime() / 1000 < before]
         for p in gone:
             self._fs.delete(self._path(p), False)
         return len(gone)
@@ -176,10 +204,13 @@ class ShardStore:
         return self.spark.read.parquet(*[f"{self.folder}/{s.path}" for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with shard (its path), shard_size, since and arrival of each."""
-        shards = self.shards(version)
+        """The rows of a version with shard (its path), shard_size, since and arrival of each; none if it has no shard."""
+        manifest = self._manifest(self.latest() if version is None else version)
+        shards = [Shard(**x) for x in manifest["shards"]]
+        own = "shard string, shard_size long, since int, arrival int"
         if not shards:
-            raise ValueError("the store is empty")
-        listed = self.spark.createDataFrame([(s.path.rsplit("/", 1)[-1], s.path, s.size, s.since, s.arrival) for s in shards], "shard_file string, shard string, shard_size long, since int, arrival int")
-        rows = self._read(shards).withColumn("shard_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+            schema = StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType()
+            return self.spark.createDataFrame([], StructType([*schema.fields, *StructType.fromDDL(own).fields]))
+        listed = self.spark.createDataFrame([(_below_data(s.path), s.path, s.size, s.since, s.arrival) for s in shards], f"shard_file string, {own}")
+        rows = self._read(shards).withColumn("shard_file", _file())
         return rows.join(listed, "shard_file").drop("shard_file")

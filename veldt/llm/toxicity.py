@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text. A text
-is cut into short overlapping windows; each window is compressed with either
+Two zstandard dictionaries are made, of toxic and of ordinary text. The
+ordinary one is trained by zstandard. Its training of a toxic one finds too
+few of the rare words that make a text toxic (see the README for figures), so
+that one's content is chosen by contrast with ordinary text. A text is cut into short overlapping windows; each window is compressed with either
 dictionary, and what the toxic one saves says how toxic the window is. A
 logistic threshold over the largest savings is calibrated on labelled texts
 that the dictionaries have not seen.
@@ -190,6 +192,7 @@ def train(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) ->
     chosen = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, bounds.toxic), (0, bounds.ordinary))]
     sample = chosen[0].unionByName(chosen[1])  # at most bounds.toxic + bounds.ordinary ids
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= bounds.chars)).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id, however often it stands
     rows = sorted((r["toxic"], r["doc_id"], r["text"]) for r in texts.collect())
     total = sum(counts.values())
     return fit([t for y, _, t in rows if y == 1], [t for y, _, t in rows if y == 0], counts.get(1, 0) / total if total else 0.0, bounds)
