@@ -122,7 +122,7 @@ def test_survey_totals_and_reconstruction(spark):
 def test_event_summary_keeps_empty_events(spark):
     panel = spark.createDataFrame([("a", 2018, 1.0), ("a", 2019, 3.0), ("a", 1999, -1.0)], "region string, year int, resid_yield double")
     got = {r["event"]: (r["region_years"], r["mean_resid_yield"]) for r in survey.event_summary(panel).collect()}
-    assert got == {"millennium_drought": (0, None), "drought_2018_19": (2, 2.0), "heat_2013_17": (0, None), "non-event": (1, -1.0)}
+    assert got == {"Millennium Drought (2001-2009)": (0, None), "2018 drought": (2, 2.0), "2013/2017 heat": (0, None), "non-event": (1, -1.0)}
 
 
 def test_provider_metrics(spark):

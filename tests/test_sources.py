@@ -2,6 +2,7 @@
 
 import pytest
 
+from veldt.schema import SchemaError
 from veldt.sources import sinks, tables
 
 
@@ -24,9 +25,11 @@ def test_census_marks(spark):
 
 
 def test_station_synonyms(spark):
-    raw = spark.createDataFrame([("7", "Perth", "-31.9", "115.9"), ("123456", "X", "bad", "1")], "Number string, station_name string, Lat string, Long string")
+    raw = spark.createDataFrame([("7", "Perth", "-31.9", "115.9", "12.5", "1910"), ("123456", "X", "bad", "1", "", None)], "Number string, station_name string, Lat string, LNG string, Elev string, first_year string")
     got = [tuple(r) for r in tables.stations(raw, ["123456"]).collect()]
-    assert got == [("000007", "Perth", -31.9, 115.9, True), ("123456", "X", None, 1.0, False)]
+    assert got == [("000007", "Perth", -31.9, 115.9, 12.5, 1910, True), ("123456", "X", None, 1.0, None, None, False)]
+    with pytest.raises(SchemaError, match="start_year"):
+        tables.stations(raw.drop("first_year"))
 
 
 def test_rings_from_geojson(spark, tmp_path):

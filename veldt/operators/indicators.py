@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,9 +118,8 @@ def _standardised(df: DataFrame, p: Column, name: str) -> DataFrame:
 def dry_spell(daily: DataFrame, window: GrowingWindow, rain: str = "daily_rain", below: float = 1.0) -> DataFrame:
     """Longest run of dry days in each season; a missing day counts as dry, a season without any value is NULL."""
     days = in_season(daily, window)
-    runs = longest_run(days, ["cell_id", "season_year"], "date", F.coalesce(F.col(rain), F.lit(0.0)) < below, "run")
-    seen = days.groupBy("cell_id", "season_year").agg(F.count(rain).alias("seen"))
-    return runs.join(seen, ["cell_id", "season_year"]).select("cell_id", "season_year", F.when(F.col("seen") > 0, F.col("run")).alias("cdd"))
+    runs = longest_run(days, ["cell_id", "season_year"], "date", F.coalesce(F.col(rain), F.lit(0.0)) < below, "run", seen=rain)
+    return runs.select("cell_id", "season_year", F.when(F.col("seen") > 0, F.col("run")).alias("cdd"))
 
 
 def growing_degree_days(daily: DataFrame, window: GrowingWindow, base: float = 0.0, cap: float | None = None) -> DataFrame:
@@ -137,7 +137,7 @@ def frost_days(daily: DataFrame, window: GrowingWindow, below: float = 2.0) -> D
 def t90(daily: DataFrame, first: int, last: int, q: float = 0.9) -> DataFrame:
     """The percentile of the daily mean temperature over the baseline, by linear interpolation."""
     mean = (F.col("max_temp") + F.col("min_temp")) / 2
-    return daily.filter(F.year("date").between(first, last)).groupBy("cell_id").agg(F.percentile(mean, F.lit(q)).alias("t90"))
+    return daily.filter((F.col("date") >= F.lit(date(first, 1, 1))) & (F.col("date") < F.lit(date(last + 1, 1, 1)))).groupBy("cell_id").agg(F.percentile(mean, F.lit(q)).alias("t90"))
 
 
 def excess_heat_factor(daily: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -20,3 +20,15 @@ def common(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def missing_from(part: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of part whose keys whole lacks; empty if part is a subset."""
     return part.join(whole.select(*columns).distinct(), columns, "left_anti")
+
+
+def suggestions(wanted: DataFrame, key: str, part: str, names: DataFrame, name: str) -> DataFrame:
+    """For each row of wanted the names that hold its part in any case, sorted and joined by ";"; NULL if none does.
+
+    names is a list of allowed values, small by its nature: it is one row, an
+    array, that meets every row of wanted.
+    """
+    known = names.agg(F.array_sort(F.collect_set(name)).alias("known"))
+    near = F.filter("known", lambda n: F.contains(F.lower(n), F.lower(F.col(part))))
+    found = wanted.crossJoin(F.broadcast(known))
+    return found.select(key, F.when(F.size(near) > 0, F.array_join(near, ";")).alias("suggestions"))

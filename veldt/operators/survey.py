@@ -12,7 +12,7 @@ BROADACRE_ZONES = ("Wheat Sheep", "High Rainfall")
 RELIABLE_FROM = {"wheat": 1990, "barley": 1990, "canola": 1994}
 MIN_YEARS, HIGH_RSE = 10, 30.0
 TOLERANCE, RSE_GATE, N_REGIONS = 0.05, 20.0, 32
-EVENTS = {"millennium_drought": tuple(range(2001, 2010)), "drought_2018_19": (2018, 2019), "heat_2013_17": (2013, 2017)}
+EVENTS = {"Millennium Drought (2001-2009)": tuple(range(2001, 2010)), "2018 drought": (2018, 2019), "2013/2017 heat": (2013, 2017)}
 
 
 def wide(long: DataFrame, keys: list[str], column: str, value: str, names: list[str]) -> DataFrame:
@@ -135,8 +135,8 @@ def class_shares(codes: DataFrame, code: str) -> DataFrame:
     return counted.crossJoin(F.broadcast(total)).select(code, "n", F.try_divide(F.col("n").cast("double"), F.col("total")).alias("fraction"))
 
 
-#: Classes of land-use codes: cropping, irrigated cropping, legumes and others. Fixed values.
-CODE_CLASSES = {"dryland": (330, 338), "irrigated": (430, 439), "rotation": (360, 365)}
+#: Classes of land-use codes: dryland cropping, irrigated cropping, land in transition. Fixed values.
+CODE_CLASSES = {"dryland": (330, 338), "irrigated": (430, 439), "transition": (360, 365)}
 
 
 def class_fractions(codes: DataFrame, code: str, classes: dict[str, tuple[int, int]] = CODE_CLASSES) -> DataFrame:

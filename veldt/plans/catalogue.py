@@ -120,7 +120,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_climate, queries_survey, queries_other  # noqa: F401  they register
+    from . import queries_climate, queries_survey, queries_other, queries_files  # noqa: F401  they register
 
     def run(build):
         return lambda spark, sf_dir: rounded(build(Tables(spark, sf_dir)))
@@ -129,6 +129,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries_climate, queries_survey, queries_other  # noqa: F401
+    from . import queries_climate, queries_survey, queries_other, queries_files  # noqa: F401
 
     return {key: statement(q.sql, q.doubles) for key, q in REGISTRY.items() if q.sql}

@@ -199,24 +199,24 @@ def zero_probabilities(t: Tables) -> DataFrame:
     return spi_params(t).select("cell_id", "month", "prob_zero")
 
 
-GAMMA_CDF = "CASE WHEN x <= 0 THEN 0e0 ELSE least(1e0, list_sum(list_transform(range(300), lambda n: exp((shape + n) * ln(x / scale) - x / scale - lgamma(shape + n + 1))))) END"
+GAMMA_CDF = "CASE WHEN x <= 0 THEN 0e0 ELSE least(1e0, list_sum(list_transform(range((60 + 10 * sqrt(shape + 1) + greatest(x / scale - shape, 0))::BIGINT), lambda n: exp((shape + n) * ln(x / scale) - x / scale - lgamma(shape + n + 1))))) END"
 
 
-@query("stat_11", f"SELECT cell_id, year, s.month, {GAMMA_CDF} AS cdf FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) p USING (cell_id, month) WHERE shape IS NOT NULL AND shape < 100", "cdf")
+@query("stat_11", f"SELECT cell_id, year, s.month, {GAMMA_CDF} AS cdf FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) p USING (cell_id, month) WHERE shape IS NOT NULL", "cdf")
 def gamma_probabilities(t: Tables) -> DataFrame:
     sums = I.accumulated(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain", 3).join(spi_params(t), ["cell_id", "month"])
     from veldt.functions.scalars import gamma_cdf
 
-    return sums.filter("shape < 100").select("cell_id", "year", "month", gamma_cdf(F.col("accumulated"), F.col("shape"), F.col("scale")).alias("cdf"))
+    return sums.filter("shape IS NOT NULL").select("cell_id", "year", "month", gamma_cdf(F.col("accumulated"), F.col("shape"), F.col("scale")).alias("cdf"))
 
 
 SPI_P = f"least(greatest(CASE WHEN x <= 0 THEN prob_zero ELSE prob_zero + (1e0 - prob_zero) * {GAMMA_CDF} END, 1e-6), 1e0 - 1e-6)"
 
 
-@query("ind_05", f"SELECT cell_id, year, month, {normal_quantile_sql('p')} AS spi FROM (SELECT cell_id, year, s.month, {SPI_P} AS p FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) f USING (cell_id, month) WHERE shape < 100) z", "spi")
+@query("ind_05", f"SELECT cell_id, year, month, {normal_quantile_sql('p')} AS spi FROM (SELECT cell_id, year, s.month, {SPI_P} AS p FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) f USING (cell_id, month) WHERE shape IS NOT NULL) z", "spi")
 def spi_values(t: Tables) -> DataFrame:
     months = I.monthly_totals(t.whole, "daily_rain", "rain")
-    return I.spi(months, spi_params(t).filter("shape < 100"), "rain", 3).select("cell_id", "year", "month", "spi")
+    return I.spi(months, spi_params(t).filter("shape IS NOT NULL"), "rain", 3).select("cell_id", "year", "month", "spi")
 
 
 BALANCE_SUMS = RAIN_SUMS.replace("rain", "balance")
@@ -251,7 +251,10 @@ def loglogistic_probabilities(t: Tables) -> DataFrame:
     return sums.select("cell_id", "year", "month", fisk_cdf(F.col("accumulated"), F.col("alpha"), F.col("beta"), F.col("gamma")).alias("cdf"))
 
 
-@query("ind_07", f"SELECT cell_id, year, month, CASE WHEN p IS NOT NULL THEN {normal_quantile_sql('p')} END AS spei FROM (SELECT cell_id, year, s.month, least(greatest({FISK}, 1e-6), 1e0 - 1e-6) * CASE WHEN x > gamma THEN 1 END AS p FROM ({BALANCE_SUMS.format(where='')}) s JOIN ({SPEI_FIT}) f USING (cell_id, month)) z", "spei")
+SPEI_VALUES = f"SELECT cell_id, year, month, CASE WHEN p IS NOT NULL THEN {normal_quantile_sql('p')} END AS spei FROM (SELECT cell_id, year, s.month, least(greatest({FISK}, 1e-6), 1e0 - 1e-6) * CASE WHEN x > gamma THEN 1 END AS p FROM ({BALANCE_SUMS.format(where='')}) s JOIN ({SPEI_FIT}) f USING (cell_id, month)) z"
+
+
+@query("ind_07", SPEI_VALUES, "spei")
 def spei_values(t: Tables) -> DataFrame:
     return I.spei(I.water_balance(t.whole), spei_params(t), "balance", 3).select("cell_id", "year", "month", "spei")
 
@@ -291,9 +294,9 @@ def degree_days(t: Tables) -> DataFrame:
     return I.growing_degree_days(t.dense, SOUTHERN)
 
 
-@query("ind_10", "SELECT s.cell_id, s.season_year AS year, region, gdd FROM (" + GDD.format(mean="(least(max_temp, 3e1) + least(min_temp, 3e1)) / 2 - 5e0", season="summer") + ") s JOIN cells USING (cell_id) WHERE region < 10", "gdd")
+@query("ind_10", "SELECT s.cell_id, s.season_year AS year, region, gdd FROM (" + GDD.format(mean="(least(max_temp, 3e1) + least(min_temp, 3e1)) / 2 - 5e0", season="summer") + ") s JOIN cells USING (cell_id)", "gdd")
 def degree_days_of_cells(t: Tables) -> DataFrame:
-    wanted = t.cells.filter("region < 10").select("cell_id", "region")
+    wanted = t.cells.select("cell_id", "region")
     return I.growing_degree_days(t.dense, SUMMER, 5.0, 30.0).join(wanted, "cell_id").select("cell_id", F.col("season_year").alias("year"), "region", "gdd")
 
 

@@ -13,6 +13,7 @@ from veldt.sources import tables as sources
 
 from .adapt import Tables
 from .catalogue import query
+from .queries_climate import SPEI_FIT, SPEI_VALUES
 
 #: Two convex rings over the cells' box: code, vertices counter-clockwise.
 RINGS = [("101", [(115.0, -40.0), (135.0, -38.0), (140.0, -20.0), (118.0, -15.0)]), ("202", [(141.0, -43.5), (153.5, -43.5), (153.5, -21.5), (141.0, -21.5)])]
@@ -84,9 +85,9 @@ def grid_indices(t: Tables) -> DataFrame:
     return spatial.resolve_grid(t.cells, grid).select("cell_id", "row", "col")
 
 
-@query("join_16", "SELECT cell_id, date, max_temp FROM obs JOIN cells USING (cell_id) WHERE region < 3", "max_temp")
+@query("join_16", "SELECT cell_id, date, max_temp FROM obs JOIN cells USING (cell_id)", "max_temp")
 def sampled_cells(t: Tables) -> DataFrame:
-    return t.obs.join(t.cells.filter("region < 3").select("cell_id"), "cell_id", "left_semi").select("cell_id", "date", "max_temp")
+    return t.obs.join(t.cells.select("cell_id"), "cell_id", "left_semi").select("cell_id", "date", "max_temp")
 
 
 @query("mth_09", "SELECT r.range::INT AS \"row\", c.range::INT AS col, -43e0 + r.range AS lat, 112e0 + c.range AS lon FROM range(34) r CROSS JOIN range(42) c", "lat lon")
@@ -152,7 +153,10 @@ def zones(t: Tables) -> DataFrame:
     return t.regions.groupBy("zone").agg(F.count("*").alias("n_regions")).withColumn("ok", F.col("n_regions").between(4, 6))
 
 
-@query("val_14", None)
+@query(
+    "val_14",
+    f"SELECT unnest(['beta_share', 'mean', 'spread']) AS \"check\", unnest([(SELECT count(*) FILTER (beta > 1) / count(*)::DOUBLE >= 0.8 FROM ({SPEI_FIT}) f), (SELECT abs(avg(spei)) <= 0.5 FROM ({SPEI_VALUES}) v), (SELECT stddev_pop(spei) > 0.5 AND stddev_pop(spei) < 1.5 FROM ({SPEI_VALUES}) v)]) AS ok",
+)
 def spei_gates(t: Tables) -> DataFrame:
     months = I.water_balance(t.whole)
     params = I.fit_spei(months, "balance", 3, 1995, 2001)
@@ -217,13 +221,6 @@ def last_of_each(t: Tables) -> DataFrame:
     return timeseries.keep_last(t.events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value")
 
 
-@query("snk_03", "SELECT user_id, ts::DATE AS day, arg_max(value, event_id) AS value FROM events GROUP BY ALL", "value")
-def merged_append(t: Tables) -> DataFrame:
-    """What a merge-append of later events over earlier ones leaves: one row for a key."""
-    days = t.events.select("user_id", F.col("ts").cast("date").alias("day"), "value", "event_id")
-    return timeseries.keep_last(days, ["user_id", "day"], [F.desc("event_id")]).drop("event_id")
-
-
 @query("jsn_01", "SELECT event_id, (props::JSON ->> '$.k')::INT AS k, coalesce((props::JSON ->> '$.none')::INT, -1) AS absent FROM events")
 def json_paths(t: Tables) -> DataFrame:
     p = F.from_json("props", "k int, none int")

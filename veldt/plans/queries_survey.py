@@ -248,12 +248,12 @@ def code_classes(t: Tables) -> DataFrame:
     return t.raw("part").select("p_partkey", inside.alias("cropping"))
 
 
-STATIONS = "(SELECT c_custkey, c_nationkey, c_acctbal > 0 AS available FROM customer WHERE c_custkey % 3 = 0)"
+STATIONS = "(SELECT c_custkey, c_nationkey, c_acctbal > 0 AS available FROM customer)"
 COVERAGE = f"SELECT region::VARCHAR AS aagis_code, region_name, zone, count(*) FILTER (available)::INT AS n_available, count(*) FILTER (NOT available)::INT AS n_unavailable, count(c_custkey)::INT AS n_total, zone IN ('ASIA', 'EUROPE') AS broad FROM regions LEFT JOIN {STATIONS} s ON c_nationkey = region AND region <> 3 GROUP BY region, region_name, zone"
 
 
 def coverage(t: Tables) -> DataFrame:
-    stations = t.raw("customer").filter("c_custkey % 3 = 0").select(F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).cast("string").alias("aagis_code"), (F.col("c_acctbal") > 0).alias("available"))
+    stations = t.raw("customer").select(F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).cast("string").alias("aagis_code"), (F.col("c_acctbal") > 0).alias("available"))
     zones = F.when(F.col("zone").isin("ASIA", "EUROPE"), F.lit("Wheat Sheep")).otherwise(F.col("zone"))
     return compare.region_coverage(stations, t.regions.select(F.col("region").cast("string").alias("aagis_code"), "region_name", zones.alias("zone")))
 

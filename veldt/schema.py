@@ -15,7 +15,7 @@ REGION = "aagis_code string, region_name string, zone string, state string"
 REGION_RING = "aagis_code string, ring_id int, verts array<struct<x: double, y: double>>"
 SURVEY_LONG = "variable string, year int, region string, value double, rse double"
 COMMODITY = "region string, year int, area_ha double, production_t double, yield_t_ha double, area_rse double, production_rse double"
-STATION = "station_id string, name string, latitude double, longitude double, available boolean"
+STATION = "station_id string, name string, latitude double, longitude double, elevation_m double, start_year int, available boolean"
 ANNUAL = "aagis_code string, region_name string, value double, n_cells int, year int, variable string"
 DAY_SUMMARY = (
     "date string, lat double, lon double, tz string, cloud_cover struct<afternoon: double>, humidity struct<afternoon: double>, "
@@ -43,12 +43,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def resolve_synonyms(df: DataFrame, synonyms: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Renames the first column found for each name; case and outer blanks don't count."""
+    """Renames the first of its synonyms found for each name; case and outer blanks don't count. SchemaError names all that is missing."""
     found = {c.strip().lower(): c for c in df.columns}
-    names = {}
+    names, missing = {}, []
     for name, options in synonyms.items():
-        hit = next((found[o.lower()] for o in (name, *options) if o.lower() in found), None)
+        hit = next((found[o.lower()] for o in options if o.lower() in found), None)
         if hit is None:
-            raise SchemaError(f"no column for {name} among {df.columns}")
-        names[hit] = name
+            missing.append(name)
+        else:
+            names[hit] = name
+    if missing:
+        raise SchemaError(f"no column for {missing} among {df.columns}")
     return df.withColumnsRenamed(names)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from veldt import schema as S
 
+#: Encodings in the order they are tried, and what stands for a missing number. Fixed values.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
 CENSUS_MISSING = ("..", "np", "-", "nil", "", "NA", "N/A", "NaN", "null")
 
@@ -83,7 +84,14 @@ def census(raw: DataFrame, names: dict[str, str], numbers: Iterable[str]) -> Dat
 
 
 #: Other names of a station list's columns. Fixed values.
-STATION_SYNONYMS = {"station_id": ("number", "station", "stn_num", "site"), "name": ("station_name", "stnname", "site_name"), "latitude": ("lat",), "longitude": ("lon", "long")}
+STATION_SYNONYMS = {
+    "station_id": ("stn_num", "stnnum", "station_id", "number", "id"),
+    "name": ("stn_name", "stnname", "station_name", "name"),
+    "latitude": ("lat", "latitude"),
+    "longitude": ("lon", "lng", "longitude"),
+    "elevation_m": ("elevation", "elevation_m", "elev"),
+    "start_year": ("start", "start_year", "first_year"),
+}
 
 
 def stations(raw: DataFrame, unavailable: Iterable[str] = ()) -> DataFrame:
@@ -93,7 +101,9 @@ def stations(raw: DataFrame, unavailable: Iterable[str] = ()) -> DataFrame:
     found = S.resolve_synonyms(raw, STATION_SYNONYMS)
     ids = zero_padded(F.col("station_id"))
     bad = list(unavailable)
-    return found.select(ids.alias("station_id"), F.trim("name").alias("name"), F.col("latitude").cast("string").try_cast("double").alias("latitude"), F.col("longitude").cast("string").try_cast("double").alias("longitude"), (~ids.isin(*bad) if bad else F.lit(True)).alias("available"))
+    number = lambda c, kind: F.col(c).cast("string").try_cast(kind).alias(c)
+    available = (~ids.isin(*bad) if bad else F.lit(True)).alias("available")
+    return found.select(ids.alias("station_id"), F.trim("name").alias("name"), number("latitude", "double"), number("longitude", "double"), number("elevation_m", "double"), number("start_year", "int"), available)
 
 
 def grid(spark: SparkSession, folder: str, variables: Iterable[str] | None = None, years: Iterable[int] | None = None) -> DataFrame:
