@@ -41,9 +41,6 @@ TEMPLATES: Sequence[tuple[str, str]] = (
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _FOLD_KEEPING_LINES = bytes(0x0A if b == 0x0A else c for b, c in enumerate(_FOLD))
 
-#: Templates of at most so many tokens are sought in spanning windows of their own length.
-LINE_TOKENS = 16
-
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split()
@@ -52,6 +49,7 @@ def words(text: str) -> list[bytes]:
 @dataclass(frozen=True)
 class Template:
     label: str
+    n_words: int
     tokens: tuple[bytes, ...]  # distinct, in global order
     needed: int  # tokens of an overlap that meets the threshold
 
@@ -69,16 +67,10 @@ class Scanner:
         for label, notice in templates:
             tokens = tuple(sorted(set(words(notice)), key=order))
             if tokens:
-                self.templates.append(Template(label, tokens, max(1, math.ceil(threshold * len(tokens) - 1e-9))))
+                self.templates.append(Template(label, len(words(notice)), tokens, max(1, math.ceil(threshold * len(tokens) - 1e-9))))
         everything = sorted({t for x in self.templates for t in x.tokens}, key=order)
         self.place = {t: i for i, t in enumerate(everything)}
-        self.index: dict[bytes, list[tuple[int, int]]] = {}
-        for k, template in enumerate(self.templates):
-            for position, token in enumerate(template.prefix):
-                self.index.setdefault(token, []).append((k, position))
-        self.span = max((len(words(notice)) for _, notice in templates), default=1)
-        #: words of each short template, repeats counted, with its prefix and its place
-        self.short = [(len(words(notice)), frozenset(t.prefix), k) for k, (t, (_, notice)) in enumerate(zip(self.templates, (x for x in templates if words(x[1])))) if len(t.tokens) <= LINE_TOKENS]
+        self.index = dict.fromkeys(t for template in self.templates for t in template.prefix)
         self.phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
         for phrase, label in phrases.items():
             own = words(phrase)
@@ -101,54 +93,44 @@ class Scanner:
                 pass
         return starts, labels
 
-    def _blocks(self, text: str, tokens: list[bytes]) -> Iterator[tuple[bool, list[bytes]]]:
-        for line in text.encode("utf-8", "replace").translate(_FOLD_KEEPING_LINES).split(b"\n"):
-            if line:
-                yield False, line.split()
-        for start in range(0, max(len(tokens) - self.span, 0) + 1, self.span):
-            yield True, tokens[start : start + 2 * self.span]
+    def _share(self, template: Template, block: set[bytes]) -> float:
+        """The containment of a template in a block's tokens; 0 if it can't reach the threshold."""
+        ordered = sorted(self.place[t] for t in block if t in self.place)
+        if len(ordered) < template.needed:  # length
+            return 0.0
+        position = next((i for i, t in enumerate(template.prefix) if t in block), None)  # prefix
+        if position is None:
+            return 0.0
+        behind = len(ordered) - bisect_left(ordered, self.place[template.tokens[position]])
+        if min(len(template.tokens) - position, behind) < template.needed:  # position
+            return 0.0
+        share = sum(1 for t in template.tokens if t in block)
+        return share / len(template.tokens) if share >= template.needed else 0.0
 
     def matches(self, text: str, tokens: list[bytes]) -> dict[str, float]:
         """The largest containment of each label that reaches the threshold in some block.
 
-        Blocks are lines and overlapping windows that span lines: of twice the
-        longest template, and for templates of at most LINE_TOKENS tokens of
-        twice their own length.
+        Blocks are lines, and for each template the windows of twice its
+        words that start at multiples of its words: whatever stretch of the
+        text is as long as the template lies in one of them.
         """
         best: dict[str, float] = {}
-        if self.index.keys().isdisjoint(tokens):
-            return best
-        for spanning, block in self._blocks(text, tokens):
-            own = set(block)
-            if self.index.keys().isdisjoint(own):
-                continue
-            ordered = sorted(self.place[t] for t in own if t in self.place)
-            seen: set[int] = set()
-            for token in own & self.index.keys():
-                for k, position in self.index[token]:
-                    template = self.templates[k]
-                    if k in seen or spanning and len(template.tokens) <= LINE_TOKENS or len(ordered) < template.needed:  # length
-                        continue
-                    behind = len(ordered) - bisect_left(ordered, self.place[token])
-                    before = sum(1 for t in template.tokens[:position] if t in own)
-                    if before + min(len(template.tokens) - position, behind) < template.needed:  # position
-                        continue
-                    seen.add(k)
-                    share = sum(1 for t in template.tokens if t in own)
-                    if share >= template.needed:
-                        best[template.label] = max(best.get(template.label, 0.0), share / len(template.tokens))
         present = set(tokens)
-        for n, prefix, k in self.short:
-            template = self.templates[k]
-            if prefix.isdisjoint(present) or sum(1 for t in template.tokens if t in present) < template.needed:
-                continue
-            # the windows that start at multiples of n and hold a prefix token
+        if self.index.keys().isdisjoint(present):
+            return best
+        wanted = [t for t in self.templates if self._share(t, present) > 0]
+        if not wanted:
+            return best
+        lines = [set(x.split()) for x in text.encode("utf-8", "replace").translate(_FOLD_KEEPING_LINES).split(b"\n")]
+        lines = [x for x in lines if not self.index.keys().isdisjoint(x)]
+        for template in wanted:
+            prefix, n = frozenset(template.prefix), template.n_words
             at = {i // n for i, t in enumerate(tokens) if t in prefix}
-            for start in {q * n for x in at for q in (x - 1, x) if q >= 0}:
-                own = set(tokens[start : start + 2 * n])
-                share = sum(1 for t in template.tokens if t in own)
-                if share >= template.needed:
-                    best[template.label] = max(best.get(template.label, 0.0), share / len(template.tokens))
+            starts = {q * n for x in at for q in (x - 1, x) if q >= 0}
+            for block in [x for x in lines if not prefix.isdisjoint(x)] + [set(tokens[s : s + 2 * n]) for s in starts]:
+                share = self._share(template, block)
+                if share:
+                    best[template.label] = max(best.get(template.label, 0.0), share)
         return best
 
     def scan(self, text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
