@@ -9,8 +9,9 @@ are ranked again by exact products.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,15 @@ CODEWORDS, WIDTH = 16, 2
 
 @dataclass(frozen=True)
 class Search:
-    """k nearest; candidates: ranked again for each query; the rest sets fit and blocks."""
+    """k nearest; the rest sets fit and blocks.
+
+    Ranked again for each query: candidates, or this share of all rows if that
+    is more, as the rank of a near row by its code grows with the table.
+    """
 
     k: int = 20
     candidates: int = 256
+    share: float = 1 / 80
     sample: int = 20_000
     threshold: float = 0.2
     rounds: int = 6
@@ -197,6 +203,8 @@ def nearest(vectors: DataFrame, is_query: Column, search: Search = Search()) ->
             yield pd.DataFrame({"ids": [ids[c : c + search.chunk].astype("<i8").tobytes() for c in cuts], "codes": [packed[c : c + search.chunk].tobytes() for c in cuts]})
 
     index = written(rows.mapInPandas(code, "ids binary, codes binary"), "ann-index")
+    search = replace(search, candidates=max(search.candidates, math.ceil(search.share * rows.count())))
+    search = replace(search, query_block=max(1, min(search.query_block, (1 << 22) // search.candidates)))  # a block's lists have a bound
     queries = rows.filter(is_query)
     blocks = max(1, -(-queries.count() // search.query_block))
     asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("codes"))
