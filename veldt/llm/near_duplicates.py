@@ -215,9 +215,13 @@ def _estimated(forest: Forest, length: int) -> Callable:
                     new = new[same[new, :, :length].all(2).argmax(1) == tree]
                     met += len(new)
                     there += float((1 / forest.meets(length, agree[new])).sum())
-            for r, root in enumerate(roots(linked)):
-                if root != r:
-                    found.append((reps[r], reps[root]))
+            within = own[:, None] == own[None, :]
+            label = roots(linked & within | np.eye(len(reps), dtype=bool))
+            if apart:  # what a block links is found in its own unit: here it is one node
+                x, y = np.nonzero(linked & ~within)
+                found += {(reps[max(e)], reps[min(e)]) for e in zip(label[x].tolist(), label[y].tolist())}
+            else:
+                found += [(reps[r], reps[root]) for r, root in enumerate(label) if root != r]
             if len(found) > 100_000:
                 yield flush()
                 found, met, there = [], 0.0, 0.0
