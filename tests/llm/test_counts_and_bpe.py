@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import string
 
 import public_tokenizers as P
 import pytest
@@ -71,3 +73,12 @@ def test_decoding_unknown_ids(spark):
     df = spark.createDataFrame([(1, [0, 10**6]), (2, None), (3, []), (4, [-1])], "doc_id int, ids array<int>")
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df).collect()}
     assert got[1] is None and got[2] is None and got[4] is None and bytes(got[3]) == b""
+
+
+@pytest.mark.parametrize("word", ["a" * 100_000, "=" * 100_000, "".join(random.Random(1).choices("acgt", k=20_000)), "".join(random.Random(2).choices(string.ascii_letters, k=100_000))], ids=["run", "ruler", "few letters", "letters"])
+def test_very_long_pieces(spark, word):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN)
+    docs = spark.createDataFrame([(word,)], "text string")
+    assert list(bpe.encode(docs).first()["ids"]) == library.encode_ordinary(word)
