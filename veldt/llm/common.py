@@ -28,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """This application's own folder below spark.checkpoint.dir.
 
-    Where that setting is missing (tests on one machine), a temporary folder
-    takes its place. The folder is removed when the interpreter ends.
+    Where that setting is missing a temporary folder takes its place, in local
+    mode only: executors elsewhere would not see it. The folder is removed when the interpreter ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = Path(tempfile.mkdtemp(prefix="veldt-")).as_uri()
         _FOLDERS[app] = f"{base.rstrip('/')}/veldt-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _FOLDERS[app])
