@@ -1,6 +1,7 @@
 """Operators on small tables with hand-computed answers."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,23 @@ def test_empty_frames_and_schema_guards(spark):
     df = spark.createDataFrame([(float("nan"), 1.0)], "a double, b double")
     assert schema.nan_to_null(df).first()["a"] is None
     assert dt.date(2024, 1, 1) == spark.sql("select DATE'2024-01-01'").first()[0]
+
+
+def test_nearest_far_from_all_cells_and_over_the_date_line(spark):
+    cells = spark.createDataFrame([(1, 0.0, 179.8), (2, 0.0, -170.0), (3, -40.0, 60.0), (4, 0.0, 179.8)], "cell_id long, lat double, lon double")
+    points = spark.createDataFrame([("line", 0.0, -179.9), ("far", 60.0, 10.0), ("near", -40.2, 60.1), ("pole", 89.9, 0.0)], "key string, lat double, lon double")
+    found = {r["key"]: r["cell_id"] for r in spatial.nearest(points, cells, "key").collect()}
+    rows, asked = cells.collect(), points.collect()
+
+    def km(p, c):
+        a, b, d = math.radians(p["lat"]), math.radians(c["lat"]), math.radians(c["lon"] - p["lon"])
+        return math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(d / 2) ** 2
+
+    assert found == {p["key"]: min((round(km(p, c), 12), c["cell_id"]) for c in rows)[1] for p in asked}
+
+
+def test_points_that_repeat_keep_their_region(spark):
+    rings = spark.createDataFrame([("a", 0, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]), ("a", 1, [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)])], "aagis_code string, ring_id int, verts array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(1, 3.0, 3.0), (2, 3.0, 3.0), (3, 1.5, 1.5), (4, None, 3.0)], "id int, lat double, lon double")
+    found = {r["id"]: r["aagis_code"] for r in spatial.assign_regions(points, rings).collect()}
+    assert found == {1: "a", 2: "a", 3: None, 4: None}

@@ -66,3 +66,23 @@ def test_missing_column_is_named(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Variable,Year\nx,1\n")
     with pytest.raises(ValueError, match="ABARES region"):
         tables.survey(spark, str(tmp_path / "s.csv"), "regional")
+
+
+def test_missing_inputs_are_all_named(spark, tmp_path):
+    there = tmp_path / "there"
+    there.mkdir()
+    tables.require_inputs(spark, {"there": str(there)})
+    with pytest.raises(FileNotFoundError, match="first.*second"):
+        tables.require_inputs(spark, {"there": str(there), "first": str(tmp_path / "a"), "second": str(tmp_path / "b")})
+
+
+def test_national_production_needs_both_variables(spark):
+    rows = [("Wheat", 2000, "All Broadacre", 3.0, 9.0), ("Population", 2000, "All Broadacre", 4.0, 1.0), ("Wheat", 2001, "All Broadacre", 3.0, 9.0), ("Wheat", 2000, "Sheep", 7.0, 7.0)]
+    national = spark.createDataFrame(rows, "variable string, year int, industry string, value double, rse double")
+    assert tables.national_production(national, "Wheat").collect() == [(2000, 12.0, 9.0)]
+
+
+def test_population_reads_its_variable_only(spark):
+    rows = [("Population", 2000, "a", 5.0, 1.0), ("Size", 2000, "a", 6.0, 1.0)]
+    regional = spark.createDataFrame(rows, "variable string, year int, region string, value double, rse double")
+    assert tables.population(regional).collect() == [("a", 2000, 5.0)]

@@ -33,37 +33,46 @@ def assign_regions(points: DataFrame, rings: DataFrame, how: str = "left", step:
 
     Points and rings meet on tiles, then ray casting decides; a region's
     rings count by the even-odd rule, so a ring may be a hole. A point on
-    several regions takes the smallest code. `left` keeps points without a
-    region, `inner` drops them.
+    several regions takes the smallest code. Points are known by their
+    coordinates, so a stage that is run again finds the same regions. `left`
+    keeps points without a region, `inner` drops them.
     """
-    named = points.withColumn("point_id", F.monotonically_increasing_id()).withColumns({"tile_x": F.floor(F.col("lon") / step), "tile_y": F.floor(F.col("lat") / step)})
-    near = named.select("point_id", "lat", "lon", "tile_x", "tile_y").join(ring_tiles(rings, step), ["tile_x", "tile_y"])
-    hits = near.filter(in_ring(F.col("lon"), F.col("lat"), F.col("verts"))).groupBy("point_id", code).count().filter("count % 2 = 1")
-    found = hits.groupBy("point_id").agg(F.min(code).alias(code))
-    return named.join(found, "point_id", how).drop("point_id", "tile_x", "tile_y")
+    places = points.select("lat", "lon").distinct().withColumns({"tile_x": F.floor(F.col("lon") / step), "tile_y": F.floor(F.col("lat") / step)})
+    near = places.join(ring_tiles(rings, step), ["tile_x", "tile_y"])
+    hits = near.filter(in_ring(F.col("lon"), F.col("lat"), F.col("verts"))).groupBy("lat", "lon", code).count().filter("count % 2 = 1")
+    return points.join(hits.groupBy("lat", "lon").agg(F.min(code).alias(code)), ["lat", "lon"], how)
+
+
+def _nearest_in_tiles(points: DataFrame, cells: DataFrame, key: str, size: float, reach: int) -> DataFrame:
+    """points with their best cell in the tiles around them, and whether no cell elsewhere can be nearer."""
+    tile = lambda c: F.floor(F.col(c) / size)
+    tiled = cells.select("cell_id", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), tile("lon").alias("tile_x"), tile("lat").alias("tile_y"))
+    around = F.sequence(F.lit(-reach), F.lit(reach))
+    asked = points.select("*", F.explode(around).alias("dx")).select("*", F.explode(around).alias("dy"))
+    asked = asked.withColumns({"tile_x": tile("lon") + F.col("dx"), "tile_y": tile("lat") + F.col("dy")})
+    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
+    near = asked.join(tiled, ["tile_x", "tile_y"]).groupBy(key).agg(F.min(F.struct(distance.alias("km"), "cell_id")).alias("best"))
+    # a tile's width at the farthest latitude searched; beyond the date line tiles have other numbers
+    width = F.cos(F.radians(F.least(F.abs(F.col("lat")) + (reach + 1) * size, F.lit(90.0)))) * (reach * size * math.pi / 180 * 6371.0)
+    on_map = F.abs(F.col("lon")) + reach * size < 180
+    return points.join(near, key, "left").withColumn("settled", F.coalesce(on_map & (F.col("best.km") <= width), F.lit(False)))
 
 
 def nearest(points: DataFrame, cells: DataFrame, key: str, step: float = 1.0, reach: int = 3) -> DataFrame:
     """For each point the nearest cell by great-circle distance, ties to the smaller cell_id.
 
-    Cells are looked up in the tiles around a point, `reach` tiles each way;
-    a point whose best is farther than the searched tiles guarantee, or that
-    finds none, is compared with all cells. Few points take that way, if the
-    reach suits the grid, and they are compared as a stated set.
+    Cells are looked up in the tiles around a point, `reach` tiles each way.
+    Points whose best is farther than these tiles guarantee, or that find
+    none, look again in tiles sixteen times as wide, and those still open in
+    tiles of 180 degrees, which reach every cell.
     """
-    own = {"tile_x": F.floor(F.col("lon") / step), "tile_y": F.floor(F.col("lat") / step)}
-    tiled = cells.select(F.col("cell_id"), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), F.floor(F.col("lon") / step).alias("tile_x"), F.floor(F.col("lat") / step).alias("tile_y"))
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    asked = points.select(key, "lat", "lon").withColumns(own).withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    asked = asked.withColumns({"tile_x": F.col("tile_x") + F.col("dx"), "tile_y": F.col("tile_y") + F.col("dy")}).drop("dx", "dy")
-    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
-    best = F.min(F.struct(distance.alias("km"), "cell_id"))
-    near = asked.join(tiled, ["tile_x", "tile_y"]).groupBy(key).agg(best.alias("best"))
-    # no cell outside the tiles is nearer than this: a tile's width at the farthest latitude searched
-    sure = F.least(F.lit(1.0), F.cos(F.radians(F.least(F.abs(F.col("lat")) + reach * step + step, F.lit(90.0))))) * (reach * step * math.pi / 180 * 6371.0)
-    judged = points.select(key, "lat", "lon").join(near, key, "left").withColumn("settled", F.coalesce(F.col("best.km") <= sure, F.lit(False)))
-    rest = judged.filter(~F.col("settled")).drop("best").join(tiled, F.lit(True)).groupBy(key).agg(best.alias("best"))
-    both = judged.filter("settled").select(key, "best").unionByName(rest)
+    left, found = points.select(key, "lat", "lon"), []
+    for size in (step, 16 * step):
+        judged = _nearest_in_tiles(left, cells, key, size, reach)
+        found.append(judged.filter("settled"))
+        left = judged.filter(~F.col("settled")).select(key, "lat", "lon")
+    found.append(_nearest_in_tiles(left, cells, key, 180.0, reach).filter("best IS NOT NULL"))
+    both = found[0].unionByName(found[1]).unionByName(found[2])
     return both.select(key, F.col("best.cell_id").alias("cell_id"), F.col("best.km").alias("km"))
 
 

@@ -146,3 +146,141 @@ def name_suggestions(t: Tables) -> DataFrame:
     """For each nation the regions whose names hold its first two letters, in any case."""
     wanted = t.raw("nation").select("n_name", F.left("n_name", F.lit(2)).alias("part"))
     return sets.suggestions(wanted, "n_name", "part", t.raw("region"), "r_name")
+
+
+GRID = "SELECT s_suppkey AS cell_id, -1e1 - s_suppkey % 34 AS lat, 1.12e2 + s_suppkey % 42 AS lon FROM supplier"
+
+
+@query("src_06", f"SELECT g.* FROM ({GRID}) g JOIN supplier ON s_suppkey = cell_id WHERE s_acctbal >= 5000", "lat lon")
+def masked_cells(t: Tables) -> DataFrame:
+    """A mask landed as 0 and 1 is read as true and false."""
+    path, key = scratch(t.spark, "mask"), F.col("s_suppkey")
+    cells = t.raw("supplier").select(key.alias("cell_id"), (F.lit(-10.0) - key % 34).alias("lat"), (F.lit(112.0) + key % 42).alias("lon"), (F.col("s_acctbal") >= 5000).cast("int").alias("t005"))
+    sinks.write_parquet(cells, path)
+    return tables.mask(t.spark, path)
+
+
+def region_file(t: Tables) -> DataFrame:
+    """Rings read from a GeoJSON of one square a nation; odd nations are multipolygons of two, one code is unknown."""
+    path, n = scratch(t.spark, "geojson"), F.col("n_nationkey").cast("double")
+
+    def square(at):
+        corners = ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))
+        return F.array(F.array(*[F.array(at + F.lit(float(x)), F.lit(float(y))) for x, y in corners]))
+
+    one, two = F.to_json(square(n)), F.to_json(F.array(square(n), square(n + 0.5)))
+    odd = F.col("n_nationkey") % 2 == 1
+    shape = F.format_string('{"type":"%s","coordinates":%s}', F.when(odd, "MultiPolygon").otherwise("Polygon"), F.when(odd, two).otherwise(one))
+    feature = F.format_string('{"properties":{"aagis_code":"%d"},"geometry":%s}', "n_nationkey", shape)
+    whole = t.raw("nation").agg(F.format_string('{"type":"FeatureCollection","features":[%s]}', F.array_join(F.collect_list(feature), ",")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return tables.rings(t.spark, f"{path}/*.txt").withColumn("verts_n", F.size("verts"))
+
+
+RINGS = "SELECT n_nationkey::VARCHAR AS aagis_code, part::INT AS ring_id, 5 AS n_verts, n_nationkey + 1e0 + part / 2e0 AS x, 1e0 AS y FROM nation, (SELECT unnest([0, 1]) AS part) p WHERE part = 0 OR n_nationkey % 2 = 1"
+
+
+@query("src_07", RINGS, "x y")
+def polygons(t: Tables) -> DataFrame:
+    corner = F.col("verts")[2]
+    return region_file(t).select("aagis_code", "ring_id", F.col("verts_n").alias("n_verts"), corner["x"].alias("x"), corner["y"].alias("y"))
+
+
+@query("src_08", f"SELECT aagis_code, ring_id, r.region_name FROM ({RINGS}) g LEFT JOIN (SELECT * FROM regions WHERE zone <> 'ASIA') r ON r.region::VARCHAR = aagis_code")
+def named_polygons(t: Tables) -> DataFrame:
+    known = t.regions.filter("zone <> 'ASIA'").select(F.col("region").cast("string").alias("aagis_code"), "region_name")
+    return tables.named_rings(region_file(t), known).select("aagis_code", "ring_id", "region_name")
+
+
+@query("src_15", "SELECT DATE '1995-01-01' + n_nationkey::INT AS date, n_nationkey * 1e0 AS lat, n_nationkey + 1e1 AS temp_max, CASE WHEN n_nationkey > 9 THEN n_nationkey / 2e0 END AS rain_total, NULL::DOUBLE AS wind_speed FROM nation", "lat temp_max rain_total")
+def landed_summaries(t: Tables) -> DataFrame:
+    """Landed JSON, one object a file; absent fields are NULL."""
+    path, n = scratch(t.spark, "summaries"), F.col("n_nationkey").cast("double")
+    rain = F.when(n > 9, F.struct((n / 2).alias("total")))
+    body = F.to_json(F.struct(F.date_add(F.lit("1995-01-01").cast("date"), F.col("n_nationkey").cast("int")).cast("string").alias("date"), n.alias("lat"), rain.alias("precipitation"), F.struct((n + 10).alias("max")).alias("temperature")))
+    t.raw("nation").select("n_nationkey", body.alias("value")).write.partitionBy("n_nationkey").text(path)
+    return tables.day_summaries(t.spark, path).select("date", "lat", "temp_max", "rain_total", "wind_speed")
+
+
+@query("src_18", "SELECT DISTINCT variable, year, 'land/variable=' || variable || '/year=' || year AS path FROM annual")
+def built_paths(t: Tables) -> DataFrame:
+    return tables.land_paths(t.annual.select("variable", "year").distinct(), "land/")
+
+
+@query("src_21", "SELECT 'annual' AS product, count(*) AS n FROM annual UNION ALL SELECT 'cells', count(*) FROM cells")
+def existing_products(t: Tables) -> DataFrame:
+    """Two products are written and a third is asked for that isn't there."""
+    paths = {name: scratch(t.spark, name) for name in ("annual", "cells", "absent")}
+    sinks.write_parquet(t.annual, paths["annual"])
+    sinks.write_parquet(t.cells, paths["cells"])
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("product"), "n") for name, df in tables.products(t.spark, paths).items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query("src_22", "SELECT year(o_orderdate)::INT AS year, avg(o_totalprice) * count(*) AS national_total_t, (month(max(o_orderdate)))::DOUBLE AS national_rse FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1", "national_total_t")
+def national_reader(t: Tables) -> DataFrame:
+    """Production of a farm times farms, from the long national file; another industry is passed over."""
+    path = scratch(t.spark, "national")
+    years = t.raw("orders").filter("o_orderstatus <> 'P'").groupBy(F.year("o_orderdate").alias("Year")).agg(F.avg("o_totalprice").alias("mean"), F.count("*").cast("double").alias("n"), F.month(F.max("o_orderdate")).cast("double").alias("rse"))
+    row = lambda variable, industry, value, rse: F.struct(F.lit(variable).alias("Variable"), F.lit(industry).alias("Industry"), value.alias("Value"), rse.alias("RSE"))
+    of = tables.NATIONAL_INDUSTRY
+    rows = F.array(row("Wheat", of, F.col("mean"), F.col("rse")), row(tables.POPULATION_VARIABLE, of, F.col("n"), F.lit(0.0)), row("Wheat", "Sheep", F.lit(1.0), F.lit(1.0)))
+    sinks.write_csv(years.select("Year", F.explode(rows).alias("r")).select("Year", "r.*"), path)
+    return tables.national_production(tables.survey(t.spark, path, "national"), "Wheat")
+
+
+@query("snk_07", "SELECT n_name AS name, length(n_name) + 1 AS length, sha256(n_name || chr(10)) AS sha256, CASE WHEN r_name = 'ASIA' THEN 'checked' ELSE 'landed' END AS note FROM nation JOIN region ON n_regionkey = r_regionkey")
+def manifest(t: Tables) -> DataFrame:
+    """Digests of files landed one a nation; a later patch replaces the entries of one region."""
+    files, path = scratch(t.spark, "landed"), scratch(t.spark, "manifest")
+    t.raw("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")).write.partitionBy("key").text(files)
+    key = F.regexp_extract("path", "key=([0-9]+)/", 1).cast("long").alias("n_nationkey")
+    found = tables.file_digests(t.spark, f"{files}/*/*.txt").select(key, "length", "sha256").join(t.raw("nation"), "n_nationkey").withColumnRenamed("n_name", "name")
+    sinks.patch_manifest(found.withColumn("note", F.lit("landed")), path)
+    asia = t.regions.filter("zone = 'ASIA'").select(F.col("region_name").alias("name"))
+    sinks.patch_manifest(found.join(asia, "name", "left_semi").withColumn("note", F.lit("checked")), path)
+    return t.spark.read.parquet(path)
+
+
+@query("val_17", "SELECT region, variable, year, value FROM annual", "value")
+def preflight(t: Tables) -> DataFrame:
+    """Inputs are there before the work begins; tests hold the failure."""
+    path = scratch(t.spark, "needed")
+    sinks.write_parquet(t.annual, path)
+    tables.require_inputs(t.spark, {"annual": path})
+    return t.spark.read.parquet(path).select("region", "variable", "year", "value")
+
+
+@query("prj_02", "SELECT c_custkey AS id, c_mktsegment AS segment FROM customer")
+def renamed(t: Tables) -> DataFrame:
+    return t.raw("customer").select("c_custkey", "c_mktsegment").withColumnsRenamed({"c_custkey": "id", "c_mktsegment": "segment"})
+
+
+@query("prj_03", "SELECT region, year, area_ha * yield_t_ha AS production FROM per_farm", "production")
+def derived(t: Tables) -> DataFrame:
+    return t.per_farm.withColumn("production", F.col("area_ha") * F.col("yield_t_ha")).select("region", "year", "production")
+
+
+@query("prj_04", "SELECT region, year, 'wheat' AS commodity, '1995-1997' AS baseline FROM per_farm")
+def tagged(t: Tables) -> DataFrame:
+    return t.per_farm.select("region", "year", F.lit("wheat").alias("commodity"), F.lit("1995-1997").alias("baseline"))
+
+
+@query("flt_01", "SELECT region, year, value FROM annual WHERE variable = 'daily_rain'", "value")
+def equal(t: Tables) -> DataFrame:
+    return t.annual.filter(F.col("variable") == "daily_rain").select("region", "year", "value")
+
+
+@query("flt_02", "SELECT region, year, variable FROM annual WHERE variable IN ('max_temp', 'min_temp') AND year NOT IN (1995, 1996)")
+def in_and_not_in(t: Tables) -> DataFrame:
+    return t.annual.filter(F.col("variable").isin("max_temp", "min_temp") & ~F.col("year").isin(1995, 1996)).select("region", "year", "variable")
+
+
+@query("flt_03", "SELECT region, year FROM per_farm WHERE year BETWEEN 1994 AND 1996")
+def year_range(t: Tables) -> DataFrame:
+    return t.per_farm.filter(F.col("year").between(1994, 1996)).select("region", "year")
+
+
+@query("flt_04", "SELECT region, year, production_rse FROM per_farm WHERE production_rse IS NOT NULL", "production_rse")
+def present(t: Tables) -> DataFrame:
+    return t.per_farm.dropna(subset=["production_rse"]).select("region", "year", "production_rse")

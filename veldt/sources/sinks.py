@@ -1,4 +1,9 @@
-"""Sinks: what is written appears whole or not at all."""
+"""Sinks: readers see whole tables only.
+
+A table is written beside its place and put there by renames. Between the two
+renames of an overwrite a reader finds no table; if the second one fails, the
+old table is put back.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +26,8 @@ def _swap(df: DataFrame, staged: str, final: str) -> None:
         fs.rename(path(final), path(old))
     fs.mkdirs(path(final).getParent())
     if not fs.rename(path(staged), path(final)):
+        if fs.exists(path(old)):
+            fs.rename(path(old), path(final))
         raise OSError(f"cannot publish {final}")
     fs.delete(path(old), True)
 
@@ -51,3 +58,8 @@ def merge_append(new: DataFrame, path: str, keys: list[str]) -> None:
     if path_.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_):
         both = both.unionByName(spark.read.parquet(path).withColumn("merge_source", F.lit(0)))
     write_parquet(keep_last(both, keys, [F.desc("merge_source")]).drop("merge_source"), path, sort_by=tuple(keys))
+
+
+def patch_manifest(entries: DataFrame, path: str) -> None:
+    """Adds entries (name, length, sha256, note) to a manifest; an entry of the same name is replaced, all others stay."""
+    merge_append(entries.select("name", "length", "sha256", "note"), path, ["name"])

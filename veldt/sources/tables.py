@@ -118,7 +118,7 @@ def grid(spark: SparkSession, folder: str, variables: Iterable[str] | None = Non
 
 def mask(spark: SparkSession, path: str, name: str = "t005") -> DataFrame:
     """cell_id, lat, lon of the cells that the mask keeps."""
-    return spark.read.parquet(path).filter(F.col(name)).select("cell_id", "lat", "lon")
+    return spark.read.parquet(path).filter(F.col(name).cast("boolean")).select("cell_id", "lat", "lon")
 
 
 def rings(spark: SparkSession, geojson: str) -> DataFrame:
@@ -131,6 +131,11 @@ def rings(spark: SparkSession, geojson: str) -> DataFrame:
     return each.select("aagis_code", "ring_id", F.transform("line", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("verts"))
 
 
+def named_rings(found: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rings with region_name; the name is NULL where no region has the code."""
+    return found.join(regions.select("aagis_code", "region_name"), "aagis_code", "left")
+
+
 def day_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Landed JSON day summaries, flattened; absent fields are NULL."""
     raw = spark.read.schema(S.DAY_SUMMARY).option("multiLine", True).json(path)
@@ -149,3 +154,45 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def land_path(folder: str, variable: str, year: int) -> str:
     return f"{folder.rstrip('/')}/variable={variable}/year={year}"
+
+
+def land_paths(wanted: DataFrame, folder: str) -> DataFrame:
+    """wanted (variable, year) with the path of each, as land_path builds it."""
+    return wanted.withColumn("path", F.format_string(f"{folder.rstrip('/')}/variable=%s/year=%d", "variable", "year"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def products(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """The Parquet products that exist, by name; the others are left out."""
+    return {name: spark.read.parquet(path) for name, path in paths.items() if exists(spark, path)}
+
+
+def require_inputs(spark: SparkSession, paths: dict[str, str]) -> None:
+    """Fails before any work if an input is missing, and names all that are."""
+    missing = [f"{name}: {path}" for name, path in paths.items() if not exists(spark, path)]
+    if missing:
+        raise FileNotFoundError(f"missing inputs: {'; '.join(missing)}")
+
+
+#: Variables and industry of the survey files. Fixed values.
+POPULATION_VARIABLE, NATIONAL_INDUSTRY = "Population", "All Broadacre"
+
+
+def population(regional: DataFrame) -> DataFrame:
+    """region, year and population from the regional survey table."""
+    return regional.filter(F.col("variable") == POPULATION_VARIABLE).select("region", "year", F.col("value").alias("population"))
+
+
+def national_production(national: DataFrame, variable: str) -> DataFrame:
+    """year, national_total_t and national_rse: production of a farm times farms, by one aggregate.
+
+    A year that lacks either has no total and is left out; rse is that of production.
+    """
+    pick = lambda name, c: F.max(F.when(F.col("variable") == name, F.col(c)))
+    total = pick(variable, "value") * pick(POPULATION_VARIABLE, "value")
+    farms = national.filter((F.col("industry") == NATIONAL_INDUSTRY) & F.col("variable").isin(variable, POPULATION_VARIABLE))
+    return farms.groupBy("year").agg(total.alias("national_total_t"), pick(variable, "rse").alias("national_rse")).filter("national_total_t is not null")
