@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, inner_product, licenses, mixing, near_duplicates, shards, toxicity, warc
+from . import byte_bpe, collocations, filter_audit, fingerprints, inner_product, licenses, mixing, near_duplicates, secret_scan, shards, toxicity, warc
 from .common import shared_folder, table
 from .token_counts import token_counts
 
@@ -66,6 +66,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(documents, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secret_scan.digests(found).drop("text", "secrets")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -77,9 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_warc_derivatives": warc.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
