@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -48,7 +49,7 @@ class Mining:
     inside: int = 50
     top: int = 2000
     cell_bits: int = 26
-    piece_bytes: int = 6 << 20
+    piece_bytes: int = 4 << 20
 
     def __post_init__(self) -> None:
         if not (1 <= self.least <= 255 and self.longest == 3 and 16 <= self.cell_bits <= 30):
@@ -88,7 +89,7 @@ class Phrases:
 
     def __init__(self, lang: str, text: bytes, longest: int):
         self.words = text.split()
-        numbers = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
+        self.numbers = numbers = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
         self.ids = np.fromiter(map(numbers.__getitem__, self.words), np.int64, len(self.words))
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
@@ -106,9 +107,10 @@ class Phrases:
         mixed = self.hashes[k]
         return (((mixed ^ (mixed >> np.uint64(32))) * _FACTORS[1]) >> np.uint64(64 - bits)).astype(np.uint32)
 
-    def candidates(self, sketch: np.ndarray, bits: int) -> list[bytes]:
-        """The distinct phrases that the sketch lets through: all their words and shorter phrases pass as well."""
+    def candidates(self, sketch: np.ndarray, bits: int) -> tuple[list[bytes], list[int], list[bytes]]:
+        """The distinct words that the sketch lets through with their counts, and the distinct phrases: all their words and shorter phrases pass as well."""
         found, numbers, passing = [], self.ids, None
+        counts = np.bincount(self.ids, minlength=len(self.numbers))
         for k, starts in enumerate(self.starts):
             cells = self.cells(k, bits)
             passes = starts & ((sketch[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
@@ -117,12 +119,15 @@ class Phrases:
                 # a phrase is known by its first words' number and its last word
                 numbers = numbers[: len(passes)] * len(self.words) + self.ids[k:]
             at = np.flatnonzero(passes)
-            _, first, back = np.unique(numbers[at], return_index=True, return_inverse=True)
-            found += [b" ".join(self.words[i : i + k + 1]) for i in at[first].tolist()]
+            own, first, back = np.unique(numbers[at], return_index=True, return_inverse=True)
+            if k == 0:
+                words = [self.words[i] for i in at[first].tolist()], counts[own].tolist()
+            else:
+                found += [b" ".join(self.words[i : i + k + 1]) for i in at[first].tolist()]
             numbers = np.zeros(len(passes), np.int64)
             numbers[at] = back
             passing = passes
-        return found
+        return *words, found
 
 
 def _sketch_part(mining: Mining):
@@ -181,14 +186,14 @@ def sketch(texts: DataFrame, mining: Mining) -> np.ndarray:
 
 
 def _scan(mining: Mining, sent):
-    """Counts of the candidates of each piece by an automaton, and, under an empty phrase, the words of the piece."""
+    """Counts of each piece: of its candidates by an automaton, of their words, and, under an empty phrase, of all words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             for lang, text in pieces(batch, mining.piece_bytes):
                 phrases = Phrases(lang, text, mining.longest)
-                found = phrases.candidates(bits, mining.cell_bits)
+                words, uses, found = phrases.candidates(bits, mining.cell_bits)
                 counts = np.zeros(len(found), np.int64)
                 if found:
                     automaton = ahocorasick.Automaton()
@@ -196,10 +201,10 @@ def _scan(mining: Mining, sent):
                         automaton.add_word(f" {phrase.decode('latin-1')} ", i)  # a letter for each byte
                     automaton.make_automaton()
                     guarded = f" {b' '.join(phrases.words).decode('latin-1')} "
-                    hits = np.fromiter((i for _, i in automaton.iter(guarded)), np.int64)
+                    hits = np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int64)
                     counts = np.bincount(hits, minlength=len(found))
-                sizes = [0] + [p.count(b" ") + 1 for p in found]
-                yield pd.DataFrame({"lang": lang, "phrase": [b"", *found], "size": sizes, "f": np.concatenate([[phrases.n_words], counts])})
+                sizes = [0, *[1] * len(words), *[p.count(b" ") + 1 for p in found]]
+                yield pd.DataFrame({"lang": lang, "phrase": [b"", *words, *found], "size": sizes, "f": [phrases.n_words, *uses, *counts.tolist()]})
 
     return run
 
@@ -211,33 +216,26 @@ def counts(texts: DataFrame, mining: Mining, bits: np.ndarray) -> DataFrame:
     return parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= mining.least) | (F.col("size") == 0))
 
 
-#: Copies that a count's row gets where many phrases ask for it.
-SALTS = 16
 #: Groups of a language that are ranked apart before their best meet.
 RANK_GROUPS = 64
 
 
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")
-
-
 def scored(found: DataFrame) -> DataFrame:
     """lang, phrase, size, a, l, r, score of each candidate at its lowest-scoring cut, ties to the cut after fewer words.
 
     Every cut asks for the counts of its two parts. A frequent word is asked
-    for by many phrases: its row is there SALTS times, and a phrase asks one
-    of them.
+    for by many distinct phrases, but has one row itself, so a skewed join can
+    split those that ask.
     """
     phrases = found.filter("size >= 2")
     words = F.split(F.col("phrase").cast("string"), " ")
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ").cast("binary")
     cut = lambda k: F.array(F.struct(F.lit(k).alias("k"), F.lit("l").alias("side"), part(F.lit(1), F.lit(k)).alias("part")), F.struct(F.lit(k).alias("k"), F.lit("r").alias("side"), part(F.lit(k + 1), F.col("size") - k).alias("part")))
     cuts = F.when(F.col("size") == 2, cut(1)).otherwise(F.concat(cut(1), cut(2)))
-    asked = phrases.select("lang", "phrase", "size", F.col("f").alias("a"), _salt().alias("salt"), F.explode(cuts).alias("c")).select("lang", "phrase", "size", "a", "salt", "c.*")
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
-    given = found.filter("size between 1 and 2").select("lang", F.col("phrase").alias("part"), F.col("f").alias("given"), salts)
+    asked = phrases.select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(cuts).alias("c")).select("lang", "phrase", "size", "a", "c.*")
+    given = found.filter("size between 1 and 2").select("lang", F.col("phrase").alias("part"), F.col("f").alias("given"))
     of = lambda k, side: F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("given")))
-    wide = asked.join(given, ["lang", "part", "salt"]).groupBy("lang", "phrase", "size", "a").agg(of(1, "l").alias("l1"), of(1, "r").alias("r1"), of(2, "l").alias("l2"), of(2, "r").alias("r2"))
+    wide = asked.join(given, ["lang", "part"]).groupBy("lang", "phrase", "size", "a").agg(of(1, "l").alias("l1"), of(1, "r").alias("r1"), of(2, "l").alias("l2"), of(2, "r").alias("r2"))
     exact = lambda l, r: F.expr(f"cast(1000000 as decimal(7, 0)) * cast(a as decimal(15, 0)) * cast(a as decimal(15, 0)) div (cast({l} as decimal(19, 0)) * cast({r} as decimal(19, 0)))")
     each = wide.withColumns({"s1": exact("l1", "r1"), "s2": exact("l2", "r2")})
     second = F.coalesce(F.col("s2") < F.col("s1"), F.lit(False))
