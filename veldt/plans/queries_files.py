@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.operators import sets, validate
-from veldt.sources import sinks, tables
+from veldt.sources import geotiff, netcdf, sinks, tables, xlsx
 from veldt.sources.scratch import scratch
 
 from .adapt import Tables
 from .catalogue import query
+from .landed import land_workbooks
 
 SUPPLIERS = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
 
@@ -50,10 +51,81 @@ def survey_file(t: Tables) -> DataFrame:
 
 @query("src_03", "SELECT p_partkey::VARCHAR AS region_code, p_name AS region_name, CASE WHEN p_size > 10 THEN p_retailprice END AS estimate FROM part", "estimate")
 def census_sheet(t: Tables) -> DataFrame:
-    """A sheet landed as text: trimmed headers, marks of missing values."""
+    """A sheet of several workbooks, its header in row 7: untrimmed headers, marks of missing values."""
+    folder = scratch(t.spark, "workbooks")
     mark = F.element_at(F.array(*[F.lit(m) for m in ("..", "np", "-", "nil")]), (F.col("p_size") % 4 + 1).cast("int"))
-    raw = t.raw("part").select(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("Code "), F.col("p_name").alias(" Region"), F.when(F.col("p_size") > 10, F.col("p_retailprice").cast("string")).otherwise(mark).alias("Estimate "))
-    return tables.census(raw, {"Code": "region_code", "Region": "region_name", "Estimate": "estimate"}, ["estimate"])
+    raw = t.raw("part").select("p_brand", F.concat(F.lit(" "), F.col("p_partkey").cast("string")), "p_name", F.when(F.col("p_size") > 10, F.col("p_retailprice").cast("string")).otherwise(mark))
+    land_workbooks(raw, "p_brand", folder, "Table 1", 7, ["Code ", " Region", "Estimate "]).count()
+    return tables.census(xlsx.sheet(t.spark, folder, "Table 1", 7), {"Code": "region_code", "Region": "region_name", "Estimate": "estimate"}, ["estimate"])
+
+
+CUBE = "SELECT variable, year(date)::INT AS year, date, lat, lon, max(value) AS value FROM stacked JOIN cells USING (cell_id) GROUP BY ALL"
+
+
+def cube_files(t: Tables, variables: tuple[str, ...]) -> tuple[str, DataFrame]:
+    """A folder of gridded files of daily values by place, and what was written."""
+    folder = scratch(t.spark, "cubes")
+    placed = t.obs.join(t.cells.select("cell_id", "lat", "lon"), "cell_id")
+    long = placed.unpivot(["date", "lat", "lon"], list(variables), "variable", "value")
+    return folder, netcdf.write_cube(long, folder)
+
+
+@query("src_04", f"SELECT * FROM ({CUBE}) q WHERE variable = 'daily_rain' AND year IN (1995, 1996) AND value IS NOT NULL", "lat lon value")
+def cube_scan(t: Tables) -> DataFrame:
+    """Two years of one variable; the other files stay closed."""
+    folder, written = cube_files(t, ("daily_rain", "max_temp"))
+    written.count()
+    return netcdf.cube(t.spark, folder, missing="drop").filter("variable = 'daily_rain' AND year IN (1995, 1996)")
+
+
+@query("src_05", f"SELECT month(date)::INT AS month, lat, lon, avg(value) AS value FROM ({CUBE}) q WHERE variable = 'min_temp' AND year = 1996 GROUP BY ALL HAVING avg(value) IS NOT NULL", "lat lon value")
+def indicator_cube(t: Tables) -> DataFrame:
+    """Monthly means of one file by name, as indicators read them."""
+    folder, written = cube_files(t, ("min_temp",))
+    written.count()
+    return netcdf.cube_year(t.spark, folder, "min_temp", 1996).groupBy(F.month("date").alias("month"), "lat", "lon").agg(F.avg("value").alias("value")).dropna(subset=["value"])
+
+
+@query("snk_04", "SELECT variable || '/' || year(date) || '.' || variable || '.nc' AS file, count(DISTINCT date)::INT AS records FROM stacked JOIN cells USING (cell_id) WHERE variable IN ('daily_rain', 'max_temp') GROUP BY variable, year(date)")
+def cubes_written(t: Tables) -> DataFrame:
+    folder, written = cube_files(t, ("daily_rain", "max_temp"))
+    return written.select(F.substring_index("path", "/", -2).alias("file"), "records")
+
+
+RASTER_WIDTH, RASTER_TILE = 90, 16
+RASTER = f"SELECT (p_partkey // {RASTER_WIDTH})::INT AS \"row\", (p_partkey % {RASTER_WIDTH})::INT AS col, CASE WHEN p_size > 5 THEN p_size END AS code FROM part"
+
+
+def raster_files(t: Tables) -> tuple[str, DataFrame]:
+    """Rasters of parts in rows of 90 pixels, sizes up to 5 being nodata."""
+    folder, key = scratch(t.spark, "rasters"), F.col("p_partkey")
+    pixels = t.raw("part").select(F.floor(key / RASTER_WIDTH).cast("int").alias("row"), (key % RASTER_WIDTH).cast("int").alias("col"), F.when(F.col("p_size") > 5, F.col("p_size")).alias("value"))
+    return folder, geotiff.write_raster(pixels, folder, geotiff.Grid(112.0, -10.0, 0.5, 0.25, tile=RASTER_TILE, tile_rows=2))
+
+
+@query("src_13", f"SELECT code::DOUBLE AS value, count(*) AS pixels, sum(112 + (col + 5e-1) * 5e-1) AS x, sum(-10 - (\"row\" + 5e-1) * 25e-2) AS y FROM ({RASTER}) r WHERE code IS NOT NULL GROUP BY code", "value x y")
+def raster_histogram(t: Tables) -> DataFrame:
+    """Codes counted over the blocks of tiled files, with the sums of their pixels' coordinates."""
+    folder, written = raster_files(t)
+    written.count()
+    pixels = geotiff.raster_pixels(t.spark, folder, blocks=4).dropna(subset=["value"])
+    return pixels.groupBy("value").agg(F.count("*").alias("pixels"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+RASTER_BANDS = f"SELECT \"row\" // {2 * RASTER_TILE} AS band, max(col) + 1 AS width, max(\"row\") + 1 - min(\"row\" // {2 * RASTER_TILE}) * {2 * RASTER_TILE} AS height, count(DISTINCT (\"row\" // {RASTER_TILE}, col // {RASTER_TILE})) AS tiles FROM ({RASTER}) r GROUP BY 1"
+
+
+@query("src_14", f"SELECT 'EPSG:4326' AS crs, width::INT AS width, height::INT AS height, 1::INT AS count, 'uint8' AS dtype, 0e0 AS nodata, 112e0 AS west, -10 - band * {2 * RASTER_TILE} * 25e-2 AS north, 112 + width * 5e-1 AS east, -10 - (band * {2 * RASTER_TILE} + height) * 25e-2 AS south, 5e-1 AS res_x, 25e-2 AS res_y FROM ({RASTER_BANDS}) b", "nodata west north east south res_x res_y")
+def raster_files_described(t: Tables) -> DataFrame:
+    folder, written = raster_files(t)
+    written.count()
+    return geotiff.raster_metadata(t.spark, folder).drop("path", "blocks")
+
+
+@query("snk_08", f"SELECT format('band-{{:06d}}.tif', band::INT) AS file, tiles::INT AS tiles FROM ({RASTER_BANDS}) b")
+def rasters_written(t: Tables) -> DataFrame:
+    folder, written = raster_files(t)
+    return written.select(F.substring_index("path", "/", -1).alias("file"), "tiles")
 
 
 UNAVAILABLE = ("000003", "000007")

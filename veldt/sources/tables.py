@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 from veldt import schema as S
 
-#: Encodings in the order they are tried, and what stands for a missing number. Fixed values.
+#: Encodings in the order they are tried. Fixed values.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
-CENSUS_MISSING = ("..", "np", "-", "nil", "", "NA", "N/A", "NaN", "null")
+#: What stands for a missing value in the census, and what sheet readers take for one besides. Fixed values.
+CENSUS_MARKS = ("..", "np", "-", "nil")
+READER_MARKS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def csv_safe(spark: SparkSession, path: str, schema: str, na: Iterable[str] = ("",), encodings: Iterable[str] = ENCODINGS) -> DataFrame:
@@ -79,7 +81,7 @@ def census(raw: DataFrame, names: dict[str, str], numbers: Iterable[str]) -> Dat
     """A census sheet read as text: headers trimmed and renamed, missing-value marks to NULL, numbers typed."""
     trimmed = raw.withColumnsRenamed({c: c.strip() for c in raw.columns})
     known = S.require_columns(trimmed, names).withColumnsRenamed(names)
-    clean = lambda c: F.when(~F.trim(c).isin(*CENSUS_MISSING), F.trim(c))
+    clean = lambda c: F.when(~F.trim(c).isin(*CENSUS_MARKS, *READER_MARKS), F.trim(c))
     return known.select(*[(clean(c).try_cast("double") if c in set(numbers) else clean(c)).alias(c) for c in names.values()])
 
 
