@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldt.functions.scalars import cell_area_km2, grid_key, haversine_km
@@ -58,21 +58,80 @@ def _nearest_in_tiles(points: DataFrame, cells: DataFrame, key: str, size: float
     return points.join(near, key, "left").withColumn("settled", F.coalesce(on_map & (F.col("best.km") <= width), F.lit(False)))
 
 
+#: Degrees of a tile in each level of the pyramid; a level has as many tiles as the sphere, whatever the cells.
+LEVELS = (45.0, 11.25, 2.8125, 0.703125)
+
+
+def _pyramid(cells: DataFrame, size: float) -> DataFrame:
+    """The tiles of one level that hold cells: their box, and the cell of the smallest id to stand for them."""
+    tile = lambda c, low: F.floor((F.col(c) - low) / size)
+    lon = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
+    own = cells.select("cell_id", "lat", lon.alias("lon")).withColumns({"tile_x": tile("lon", -180.0), "tile_y": tile("lat", -90.0)})
+    box = own.groupBy("tile_x", "tile_y").agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.min(F.struct("cell_id", "lat", "lon")).alias("one"))
+    parent = lambda c: F.floor(F.col(c) * size / (size * 4))
+    return box.withColumns({"above_x": parent("tile_x"), "above_y": parent("tile_y")})
+
+
+def _box_km(lat: Column, lon: Column, south: Column, north: Column, west: Column, east: Column) -> Column:
+    """No point of a box is nearer than this."""
+    turn = lambda d: F.pmod(d, F.lit(360.0))
+    dlat = F.greatest(south - lat, lat - north, F.lit(0.0))
+    beside = turn(lon - west) > east - west
+    dlon = F.when(beside, F.least(turn(west - lon), turn(lon - east), F.lit(180.0))).otherwise(0.0)
+    narrow = F.least(F.cos(F.radians(south)), F.cos(F.radians(north)))
+    half = F.pow(F.sin(F.radians(dlat) / 2), 2) + F.cos(F.radians(lat)) * narrow * F.pow(F.sin(F.radians(dlon) / 2), 2)
+    return 2 * 6371.0 * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
+
+
+def _tiles_left(points: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """points with the tiles of the last level that may hold their nearest cell, found by going down a pyramid.
+
+    At each level a point keeps the tiles whose boxes may be as near as the
+    nearest cell that stands for a tile, and goes on to their parts. What is
+    left are the tiles around the best distance. Distances go over the date
+    line.
+    """
+    point = [key, "lat", "lon"]
+    top = int(360 / LEVELS[0]), int(180 / LEVELS[0])
+    every = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("tile_x"), F.lit(y).cast("long").alias("tile_y")) for x in range(top[0]) for y in range(-1, top[1] + 1)])).alias("t")
+    asked = points.select(*point, every).select(*point, "t.*")
+    for depth, size in enumerate(LEVELS):
+        tiles = _pyramid(cells, size)
+        if depth == 0:
+            met = asked.join(F.broadcast(tiles.drop("above_x", "above_y")), ["tile_x", "tile_y"])  # at most 48 tiles
+        else:
+            above = asked.withColumnsRenamed({"tile_x": "above_x", "tile_y": "above_y"})
+            met = above.join(F.broadcast(tiles) if size >= 2 else tiles, ["above_x", "above_y"])  # 2.8 degrees: at most 8,192 tiles
+        bound = _box_km(F.col("lat"), F.col("lon"), F.col("south"), F.col("north"), F.col("west"), F.col("east"))
+        reach = haversine_km(F.col("lat"), F.col("lon"), F.col("one.lat"), F.col("one.lon"))
+        best = F.min(reach).over(Window.partitionBy(key))
+        asked = met.select(*point, "tile_x", "tile_y", bound.alias("bound"), best.alias("best")).filter("bound <= best * (1 + 1e-9) + 1e-6").select(*point, "tile_x", "tile_y")
+    return asked
+
+
+def _nearest_by_descent(points: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """points with their best cell among those in the tiles that are left to them."""
+    point, asked = [key, "lat", "lon"], _tiles_left(points, cells, key)
+    tile = lambda c, low: F.floor((c - low) / LEVELS[-1])
+    lon = F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0
+    placed = cells.select("cell_id", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), tile(lon, -180.0).alias("tile_x"), tile(F.col("lat"), -90.0).alias("tile_y"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))
+    return asked.join(placed, ["tile_x", "tile_y"]).groupBy(*point).agg(F.min(F.struct(km.alias("km"), "cell_id")).alias("best"))
+
+
 def nearest(points: DataFrame, cells: DataFrame, key: str, step: float = 1.0, reach: int = 3) -> DataFrame:
     """For each point the nearest cell by great-circle distance, ties to the smaller cell_id.
 
     Cells are looked up in the tiles around a point, `reach` tiles each way.
     Points whose best is farther than these tiles guarantee, or that find
-    none, look again in tiles sixteen times as wide, and those still open in
-    tiles of 180 degrees, which reach every cell.
+    none, go down a pyramid of tiles instead. Points and cells without
+    coordinates have no part; without cells there are no rows. A key names
+    one point.
     """
-    left, found = points.select(key, "lat", "lon"), []
-    for size in (step, 16 * step):
-        judged = _nearest_in_tiles(left, cells, key, size, reach)
-        found.append(judged.filter("settled"))
-        left = judged.filter(~F.col("settled")).select(key, "lat", "lon")
-    found.append(_nearest_in_tiles(left, cells, key, 180.0, reach).filter("best IS NOT NULL"))
-    both = found[0].unionByName(found[1]).unionByName(found[2])
+    cells = cells.select("cell_id", "lat", "lon").dropna()
+    judged = _nearest_in_tiles(points.select(key, "lat", "lon").dropna(subset=["lat", "lon"]), cells, key, step, reach)
+    open_points = judged.filter(~F.col("settled")).select(key, "lat", "lon")
+    both = judged.filter("settled").select(key, "best").unionByName(_nearest_by_descent(open_points, cells, key).select(key, "best"))
     return both.select(key, F.col("best.cell_id").alias("cell_id"), F.col("best.km").alias("km"))
 
 

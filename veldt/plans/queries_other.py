@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions import scalars as S
 from veldt.functions.stats import weighted_mean
-from veldt.operators import spatial, survey, timeseries, validate
+from veldt.operators import geometry, spatial, survey, timeseries, validate
 from veldt.operators import indicators as I
 from veldt.sources import tables as sources
 
@@ -415,8 +415,46 @@ def projected(t: Tables) -> DataFrame:
     return kept.withColumnsRenamed({"c_custkey": "id", "c_mktsegment": "segment"}).withColumns({"thousands": F.col("c_acctbal") / 1e3, "kind": F.lit("customer")}).select("id", "segment", "thousands", "kind")
 
 
-@query("dom_12", f"SELECT aagis_code, sum(lat * weight) / sum(weight) AS lat, avg(lon) AS lon FROM (SELECT q.aagis_code, s.* FROM ({IN_POLYGON}) q JOIN {SHIFTED} s USING (cell_id) WHERE aagis_code IS NOT NULL) z GROUP BY aagis_code", "lat lon")
+def drawn_regions(t: Tables) -> DataFrame:
+    """A region for each nation, moved east by its key: a U for even keys, and with a hole in its western arm for odd ones."""
+    n = F.col("n_nationkey")
+    moved = lambda corners: F.array(*[F.struct((n + F.lit(112.0 + x)).alias("x"), F.lit(y - 40.0).alias("y")) for x, y in corners])
+    shell = moved([(0, 0), (9, 0), (9, 6), (6, 6), (6, 2), (3, 2), (3, 6), (0, 6), (0, 0)])
+    hole = moved([(0.5, 2.5), (1, 2.5), (1, 5.5), (0.5, 5.5), (0.5, 2.5)])
+    return t.raw("nation").select(n.cast("string").alias("aagis_code"), F.posexplode(F.when(n % 2 == 1, F.array(shell, hole)).otherwise(F.array(shell))).alias("ring_id", "verts"))
+
+
+U_CENTRE = "CASE WHEN n_nationkey % 2 = 0 THEN {even} ELSE {odd} END"
+DRAWN = f"SELECT n_nationkey::VARCHAR AS aagis_code, -36e0 AS lat, 112 + n_nationkey + {U_CENTRE.format(even='1.5e0', odd='7.5e0')} AS lon, -40 + {U_CENTRE.format(even='114e0 / 42', odd='108e0 / 405 * 10')} AS centroid_lat, 112 + n_nationkey + {U_CENTRE.format(even='4.5e0', odd='187.875e0 / 40.5')} AS centroid_lon FROM nation"
+
+
+@query("dom_12", f"SELECT *, km > 150 AS far FROM (SELECT d.*, {HAVERSINE.format(a='d', b='c')} AS km FROM ({DRAWN}) d JOIN (SELECT aagis_code, centroid_lat AS lat, centroid_lon AS lon FROM ({DRAWN}) e) c USING (aagis_code)) q", "lat lon centroid_lat centroid_lon km")
 def representative_points(t: Tables) -> DataFrame:
-    """Centre of a region's cells: what stands in for a polygon's representative point."""
-    inside = spatial.assign_regions(shifted(t), rings(t), "inner")
-    return inside.groupBy("aagis_code").agg(weighted_mean(F.col("lat"), F.col("weight")).alias("lat"), F.avg("lon").alias("lon"))
+    """Points inside concave regions, some with a hole: by hand, the middle of the widest interval at half height."""
+    return geometry.representative_points(drawn_regions(t), far_km=150.0)
+
+
+#: Broken rings by key modulo 4: corners, and what is right: shells, holes, corners of all rings and area.
+BROKEN = (
+    ([[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]], (2, 0, 8, 2)),  # crosses itself
+    ([[(0, 0), (4, 0), (4, 4), (6, 6), (4, 4), (0, 4), (0, 4), (0, 0)]], (1, 0, 5, 16)),  # a spike and a repeated point
+    ([[(0, 0), (0, 3), (3, 3), (3, 0)]], (1, 0, 5, 9)),  # not closed, clockwise
+    ([[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(1, 1), (8, 1), (8, 8), (1, 8), (1, 1)], [(2, 2), (5, 2), (5, 5), (2, 5), (2, 2)]], (2, 1, 15, 41)),  # nested rings that turn alike
+)
+
+
+def broken_regions(t: Tables) -> DataFrame:
+    n = F.col("c_custkey")
+    ring = lambda corners: F.array(*[F.struct((n % 60 + F.lit(float(x))).alias("x"), F.lit(float(y)).alias("y")) for x, y in corners])
+    rings = F.get(F.array(*[F.array(*map(ring, case)) for case, _ in BROKEN]), (n % 4).cast("int"))
+    return t.raw("customer").select(n.alias("aagis_code"), F.posexplode(rings).alias("ring_id", "verts"))
+
+
+@query("dom_13", "SELECT c_custkey AS aagis_code, " + ", ".join(f"[{', '.join(str(right[i]) for _, right in BROKEN)}][c_custkey % 4 + 1] AS {name}" for i, name in enumerate(("shells", "holes", "corners"))) + f", [{', '.join(f'{right[3]}e0' for _, right in BROKEN)}][c_custkey % 4 + 1] AS area, c_custkey % 4 = 3 AS sound_before, true AS sound FROM customer", "area")
+def repaired_regions(t: Tables) -> DataFrame:
+    """Broken rings repaired: valid afterwards, their even-odd area kept."""
+    broken = broken_regions(t)
+    whole = geometry.repair(broken)
+    counts = whole.groupBy("aagis_code").agg(F.count_if(~F.col("hole")).cast("int").alias("shells"), F.count_if("hole").cast("int").alias("holes"), F.sum(F.size("verts")).cast("int").alias("corners"), F.sum(geometry.ring_area(F.col("verts"))).alias("area"))
+    before = geometry.soundness(broken).withColumnRenamed("sound", "sound_before")
+    return counts.join(before, "aagis_code").join(geometry.soundness(whole), "aagis_code")
