@@ -1,9 +1,14 @@
 """Scans and sinks on small files."""
 
+import csv
+import datetime as dt
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from veldt.schema import SchemaError
-from veldt.sources import sinks, tables
+from veldt.sources import csv_ranges, sinks, tables, versions
 
 
 def test_csv_of_old_encoding(spark, tmp_path):
@@ -12,6 +17,46 @@ def test_csv_of_old_encoding(spark, tmp_path):
     assert got == [("Café", 1.5), ("NA", None), (None, 2.0)]
 
 
+FIELDS = ["plain", "é" * 7, 'a "quoted" one', "two\nlines", "a,b", "", "NA", "\r\n", "€\"", "x" * 50]
+
+
+@pytest.mark.parametrize("encoding,letters", [("utf-8", ""), ("cp1252", ""), ("latin-1", "\x81")])
+@pytest.mark.parametrize("step", [7, 64, 1000])
+def test_ranges_meet_at_ends_of_records(tmp_path, encoding, letters, step):
+    """Whatever the ranges, every record is read once: with quoted line ends, and letters of several bytes at their edges."""
+    r = random.Random(step)
+    rows = [[str(i), r.choice(FIELDS).replace("€", "" if encoding == "latin-1" else "€") + letters, r.choice(FIELDS[:3])] for i in range(60)]
+    path = tmp_path / "x.csv"
+    with path.open("w", encoding=encoding, newline="") as f:
+        csv.writer(f, lineterminator=r.choice(["\n", "\r\n"])).writerows([["id", "b", " c"], *rows])
+    raw = path.read_bytes()
+    cuts = [(at, min(at + step, len(raw))) for at in range(0, len(raw), step)]
+    got = []
+    with path.open("rb") as f:
+        for a, b in cuts:
+            got += csv_ranges.records(f, a, b, raw[:a].count(b'"') % 2 == 1, encoding)
+    assert got == rows
+    for e in ("utf-8", "cp1252", "latin-1"):
+        whole = True
+        try:
+            raw.decode(e)
+        except UnicodeDecodeError:
+            whole = False
+        assert all(csv_ranges._fits(raw[a:b], a > 0, raw[b : b + 3], e) for a, b in cuts) == whole
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    with (tmp_path / "big.csv").open("w", encoding="cp1252", newline="") as f:
+        csv.writer(f).writerows([["k", "name"], *([i, f'Caf\xe9 "{i}"\nnext' if i % 3 else "plain"] for i in range(5000))])
+    (tmp_path / "utf.csv").write_text("name,other,k\nÖ,1,5000\n\nshort\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    df = tables.csv_safe(spark, str(tmp_path), "k int, name string", range_bytes=8192)
+    assert df.rdd.getNumPartitions() > 8
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    got = {r["k"]: r["name"] for r in df.collect()}
+    assert got == {**{i: f'Caf\xe9 "{i}"\nnext' if i % 3 else "plain" for i in range(5000)}, 5000: "Ö", None: "short"}
+
+
 def test_survey_file(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Variable,Year,ABARES region,Value,RSE\nWheat area (ha), 2020 , R1 ,100,5\nWheat area (ha),bad,R2,,\n")
     rows = tables.survey(spark, str(tmp_path / "s.csv"), "regional").collect()
@@ -44,13 +89,50 @@ def test_day_summary_json(spark, tmp_path):
     assert (str(r["date"]), r["temp_min"], r["temp_max"], r["wind_speed"]) == ("2024-01-02", 3.0, None, 9.0)
 
 
-def test_merge_append_keeps_the_new_row(spark, tmp_path):
+def parts(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def test_merge_append_touches_new_keys_only(spark, tmp_path):
+    """The last row by the given order stays, the buckets of other keys keep their files, and older versions stay readable."""
+    path = tmp_path / "t"
+    rows = lambda *r: spark.createDataFrame(r, "k int, day date, v string, n int")
+    day = dt.date(2020, 1, 1)
+    sinks.merge_append(rows(*[(k, day, "old", 9) for k in range(40)], (None, None, "none", 1)), str(path), ["k", "day"], ("n",), buckets=8)
+    first = parts(path)
+    new = rows((3, day, "b", 2), (3, day, "c", 3), (3, day, "a", 1), (None, None, "again", 0), (3, day, "c", 3))
+    got = {r["k"]: (r["v"], r["n"]) for r in sinks.merge_append(new, str(path), ["k", "day"], ("n",)).collect()}
+    assert got == {**{k: ("old", 9) for k in range(40)}, 3: ("c", 3), None: ("again", 0)}
+    table = versions.VersionedTable(spark, str(path), ["k", "day"])
+    assert table.buckets == 8 and table.version == 2
+    assert first < parts(path) and len({p.split("bucket=")[1][0] for p in parts(path) - first}) <= 2
+    assert {r["v"] for r in table.read(1).collect()} == {"old", "none"}
+    assert table.merge(new.limit(0)) == 2
+    assert table.vacuum(keep=1) == 0 and table.read().count() == 41  # both writes still hold buckets
+    wider = spark.createDataFrame([(7, day, "w", 1, 2.5)], "k int, day date, v string, n int, more double")
+    assert sinks.merge_append(wider, str(path), ["k", "day"]).filter("more = 2.5").count() == 1
+
+
+def test_a_merge_that_fails_leaves_the_old_version(spark, tmp_path):
     path = str(tmp_path / "t")
-    rows = lambda *r: spark.createDataFrame(r, "k int, v string")
-    sinks.merge_append(rows((1, "a"), (2, "b")), path, ["k"])
-    sinks.merge_append(rows((2, "c"), (3, "d")), path, ["k"])
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    sinks.write_csv(rows((1, "x")), str(tmp_path / "c"))
+    table = versions.VersionedTable(spark, path, ["k"])
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.merge(spark.createDataFrame([(1, "a")], "k int, v string"))
+    broken = spark.range(3).select(F.col("id").cast("int").alias("k"), F.when(F.col("id") < 2, F.lit("b")).otherwise(F.raise_error(F.lit("broken"))).alias("v"))
+    with pytest.raises(Exception, match="broken"):
+        table.merge(broken)
+    assert table.version == 1 and [tuple(r) for r in table.read().collect()] == [(1, "a")]
+    other = versions.VersionedTable(spark, path, ["k"])
+    other._publish(2, other._writes(1))
+    with pytest.raises(versions.Conflict):
+        table._publish(2, {})
+    table.merge(spark.createDataFrame([(1, "c")], "k int, v string"))
+    assert table.vacuum(keep=1) >= 1 and [tuple(r) for r in other.read().collect()] == [(1, "c")]
+
+
+def test_written_csv_is_whole(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([(1, "x")], "k int, v string"), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["v"] == "x"
     assert not [p for p in tmp_path.iterdir() if "part-" in p.name or "old-" in p.name]
 

@@ -10,6 +10,8 @@ from veldt.functions.scalars import cell_area_km2, normal_quantile_sql
 from veldt.operators import climatology as C
 from veldt.operators import indicators as I
 from veldt.operators import timeseries as W
+from veldt.operators.quantiles import group_percentiles
+from veldt.sources.scratch import written
 
 from .adapt import VARIABLES, Tables
 from .catalogue import query
@@ -117,10 +119,9 @@ def rain_variability(t: Tables) -> DataFrame:
     "mean p10 p25 p75 p90 std",
 )
 def within_region_distribution(t: Tables) -> DataFrame:
-    v = F.col("max_temp")
-    p = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.75, 0.9)]))
-    found = t.in_regions(t.obs).groupBy("region").agg(F.avg(v).alias("mean"), p.alias("p"), F.stddev_pop(v).alias("std"))
-    return found.select("region", "mean", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p10", "p25", "p75", "p90"))], "std")
+    temperatures = written(t.in_regions(t.obs).select("region", "max_temp"), "temperatures")
+    tails = group_percentiles(temperatures, ["region"], F.col("max_temp"), {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    return temperatures.groupBy("region").agg(F.avg("max_temp").alias("mean"), F.stddev_pop("max_temp").alias("std")).join(tails, "region")
 
 
 @query("win_01", "SELECT cell_id, year, month, CASE WHEN count(rain) OVER w = 3 THEN sum(rain) OVER w END AS rain_3 FROM rain_months WINDOW w AS (PARTITION BY cell_id ORDER BY month_index RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)", "rain_3")

@@ -37,7 +37,7 @@ def encodings_in_turn(t: Tables) -> DataFrame:
     path = scratch(t.spark, "latin")
     balance = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal").cast("string")).otherwise("n/k")
     t.raw("supplier").select("s_suppkey", F.concat("s_name", F.lit(" é")).alias("s_name"), balance.alias("s_acctbal")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    return tables.csv_safe(t.spark, f"{path}/*.csv", "s_suppkey long, s_name string, s_acctbal double")
+    return tables.csv_safe(t.spark, path, "s_suppkey long, s_name string, s_acctbal double", range_bytes=1 << 16)
 
 
 @query("src_02", "SELECT 'Size' AS variable, year(o_orderdate)::INT AS year, o_orderpriority AS region, sum(o_totalprice) AS value, CASE WHEN count(*) > 20 THEN count(*)::DOUBLE END AS rse FROM orders GROUP BY ALL", "value rse")
@@ -179,13 +179,12 @@ def sorted_indicators(t: Tables) -> DataFrame:
 
 @query("snk_03", "SELECT user_id, ts::DATE AS day, arg_max(value, event_id) AS value FROM events GROUP BY ALL", "value")
 def merged_append(t: Tables) -> DataFrame:
-    """Two merge-appends, of earlier and of later events: of equal keys the later row stays."""
+    """Two merge-appends, of earlier and of later events: of equal keys the later row stays, among the new ones that of the larger id."""
     path, keys = scratch(t.spark, "merged"), ["user_id", "day"]
     middle = t.events.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("middle")).first()["middle"] or 0
-    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
-        days = t.events.filter(part).groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max_by("value", "event_id").alias("value"))
-        sinks.merge_append(days, path, keys)
-    return t.spark.read.parquet(path).select("user_id", "day", "value")
+    days = t.events.select("user_id", F.col("ts").cast("date").alias("day"), "event_id", "value")
+    sinks.merge_append(days.filter(F.col("event_id") <= middle), path, keys, ("event_id",))
+    return sinks.merge_append(days.filter(F.col("event_id") > middle), path, keys, ("event_id",)).select(*keys, "value")
 
 
 @query("srt_02", "SELECT region, n_cells, row_number() OVER (ORDER BY n_cells DESC, region) AS place FROM (SELECT region, count(*) AS n_cells FROM cells GROUP BY region) c")
@@ -310,8 +309,7 @@ def manifest(t: Tables) -> DataFrame:
     found = tables.file_digests(t.spark, f"{files}/*/*.txt").select(key, "length", "sha256").join(t.raw("nation"), "n_nationkey").withColumnRenamed("n_name", "name")
     sinks.patch_manifest(found.withColumn("note", F.lit("landed")), path)
     asia = t.regions.filter("zone = 'ASIA'").select(F.col("region_name").alias("name"))
-    sinks.patch_manifest(found.join(asia, "name", "left_semi").withColumn("note", F.lit("checked")), path)
-    return t.spark.read.parquet(path)
+    return sinks.patch_manifest(found.join(asia, "name", "left_semi").withColumn("note", F.lit("checked")), path)
 
 
 @query("val_17", "SELECT region, variable, year, value FROM annual", "value")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 
@@ -36,3 +36,10 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # the JVM may be gone before the interpreter
         pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the scratch folder: later jobs read it instead of making it again, also after executors were lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

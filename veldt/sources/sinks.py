@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldt.operators.timeseries import keep_last
+from .versions import VersionedTable
 
 
 def _swap(df: DataFrame, staged: str, final: str) -> None:
@@ -50,16 +50,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
     _swap(df, staged, path)
 
 
-def merge_append(new: DataFrame, path: str, keys: list[str]) -> None:
-    """Adds rows to a Parquet table; of equal keys the new row stays."""
-    spark = new.sparkSession
-    path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
-    both = new.withColumn("merge_source", F.lit(1))
-    if path_.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_):
-        both = both.unionByName(spark.read.parquet(path).withColumn("merge_source", F.lit(0)))
-    write_parquet(keep_last(both, keys, [F.desc("merge_source")]).drop("merge_source"), path, sort_by=tuple(keys))
+def merge_append(new: DataFrame, path: str, keys: list[str], order: tuple[str, ...] = (), buckets: int = 16) -> DataFrame:
+    """Adds rows to a versioned table and returns it; of equal keys the last new row by `order` stays."""
+    table = VersionedTable(new.sparkSession, path, keys, buckets)
+    table.merge(new, order)
+    return table.read()
 
 
-def patch_manifest(entries: DataFrame, path: str) -> None:
+def patch_manifest(entries: DataFrame, path: str) -> DataFrame:
     """Adds entries (name, length, sha256, note) to a manifest; an entry of the same name is replaced, all others stay."""
-    merge_append(entries.select("name", "length", "sha256", "note"), path, ["name"])
+    return merge_append(entries.select("name", "length", "sha256", "note"), path, ["name"])

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from veldt import schema as S
 
+from .csv_ranges import RANGE, csv_texts
+
 #: Encodings in the order they are tried. Fixed values.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
 #: What stands for a missing value in the census, and what sheet readers take for one besides. Fixed values.
@@ -17,40 +19,15 @@ CENSUS_MARKS = ("..", "np", "-", "nil")
 READER_MARKS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def csv_safe(spark: SparkSession, path: str, schema: str, na: Iterable[str] = ("",), encodings: Iterable[str] = ENCODINGS) -> DataFrame:
-    """A CSV whose bytes are decoded strictly by the first encoding that fits each file.
+def csv_safe(spark: SparkSession, path: str, schema: str, na: Iterable[str] = ("",), encodings: Iterable[str] = ENCODINGS, range_bytes: int = RANGE) -> DataFrame:
+    """A CSV file, or those below a folder, decoded strictly by the first encoding that fits each file.
 
-    Files are read whole, each by one task; columns are matched by the header.
-    Only `na` is missing, so a literal NA stays. Numbers that don't parse are
-    NULL.
+    Files are read in byte ranges, each by its own task; columns are matched
+    by the header. Only `na` is missing, so a literal NA stays. Numbers that
+    don't parse are NULL.
     """
     wanted = T._parse_datatype_string(schema)
-    chosen, missing = tuple(encodings), set(na)
-
-    def rows(batches):
-        import csv
-        import io
-
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                for encoding in chosen:
-                    try:
-                        text = bytes(content).decode(encoding)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                else:
-                    raise ValueError("no encoding fits")
-                reader = csv.DictReader(io.StringIO(text.lstrip("﻿")))
-                reader.fieldnames = [n.strip() for n in reader.fieldnames or []]
-                found = [{f: (None if r.get(f) is None or r[f] in missing else r[f]) for f in wanted.fieldNames()} for r in reader]
-                yield pd.DataFrame(found, columns=wanted.fieldNames(), dtype=object)
-
-    strings = ", ".join(f"`{f}` string" for f in wanted.fieldNames())
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, strings)
-    return typed(raw, wanted)
+    return typed(csv_texts(spark, path, wanted.fieldNames(), na, encodings, range_bytes), wanted)
 
 
 def typed(df: DataFrame, wanted: T.StructType) -> DataFrame:
