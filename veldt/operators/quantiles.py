@@ -31,6 +31,14 @@ def _narrowed(spans: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFr
     return spans.join(placed, [*same, holds]).select(*keys, "rank", F.col("part_lo").alias("lo"), F.col("part_hi").alias("hi"), F.col("first").alias("below"), F.col("part_n").alias("n"))
 
 
+def _share() -> Column:
+    """Where v lies between lo and hi, from 0 to 1, never falling: by the logarithm where these are of different magnitudes, so that few rounds settle values far apart."""
+    v, lo, hi = (F.col(c) for c in ("v", "lo", "hi"))
+    size = lambda x: F.when(F.abs(x) > 1e-300, F.signum(x) * F.least(F.ln(F.abs(x)) + 691.0, F.lit(1500.0))).otherwise(0.0)
+    even = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    return F.when(size(hi) - size(lo) < 3, even).otherwise((size(v) - size(lo)) / (size(hi) - size(lo)))
+
+
 def group_percentiles(df: DataFrame, keys: Sequence[str], value: Column, fractions: Mapping[str, float]) -> DataFrame:
     """keys, and a column for each fraction: the exact percentile of a group's values, interpolated between neighbours.
 
@@ -58,12 +66,12 @@ def group_percentiles(df: DataFrame, keys: Sequence[str], value: Column, fractio
         if most <= SORTED_ROWS or round_ == ROUNDS:
             parts = met.groupBy(*keys, "lo", "hi", "below", F.col("v").alias("order")).agg(F.count("*").alias("n")).withColumns({"part_lo": F.col("order"), "part_hi": F.col("order")})
         else:
-            share = F.nanvl((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2), F.lit(1.0))
-            bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("order")
+            bin_ = F.least(F.floor(_share() * BINS), F.lit(BINS - 1)).alias("order")
             parts = met.groupBy(*keys, "lo", "hi", "below", bin_).agg(F.count("*").alias("n"), F.min("v").alias("part_lo"), F.max("v").alias("part_hi"))
         spans = written(spans.filter(~still).unionByName(_narrowed(open_spans, parts, keys)), "spans")
     found = spans.select(*[F.col(k).alias(f"of_{k}") for k in keys], "rank", F.col("lo").alias("found"))
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
     at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("found")))
-    between = lambda p: at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * (F.max(p) - F.max(F.floor(p)))
+    below, above = (lambda p: at(F.floor(p))), (lambda p: at(F.ceil(p)))
+    between = lambda p: F.when(below(p) == above(p), below(p)).otherwise(below(p) + (above(p) - below(p)) * (F.max(p) - F.max(F.floor(p))))
     return groups.select(*keys, "n").join(found, same).groupBy(*keys).agg(*[between(p).alias(name) for name, p in zip(fractions, places)])

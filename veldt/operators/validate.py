@@ -9,6 +9,7 @@ from veldt.functions.scalars import state_of
 from veldt.functions.stats import guarded_corr
 
 from .sets import missing_from, orphans
+from .spatial import assign_regions
 
 
 def report(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -75,28 +76,74 @@ def subset(part: DataFrame, whole: DataFrame, columns: list[str], check: str) ->
     return none_in(missing_from(part, whole, columns), check)
 
 
+def required(df: DataFrame, checks: DataFrame, what: str) -> DataFrame:
+    """df, if every check (check, ok) holds; else the query fails and names those that don't. An undecided check doesn't hold.
+
+    The gate is a branch of a union without rows, so it is tried also where df is empty.
+    """
+    failed = F.sort_array(F.collect_list(F.when(~F.coalesce("ok", F.lit(False)), F.col("check"))))  # as many as checks
+    message = F.concat(F.lit(f"{what}: "), F.array_join("failed", ", "))
+    gate = checks.agg(failed.alias("failed")).select(F.when(F.size("failed") > 0, F.raise_error(message)).cast("int").alias("gate"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.union(gate.filter(F.col("gate").isNotNull()).select(*none))
+
+
 def grid_shape(cells: DataFrame, rows: int, cols: int) -> DataFrame:
     """cells, if they make a grid of this many latitudes and longitudes; the query fails if not."""
-    shape = cells.agg(F.countDistinct("lat").alias("n_lat"), F.countDistinct("lon").alias("n_lon"))
-    guard = shape.select(F.assert_true((F.col("n_lat") == rows) & (F.col("n_lon") == cols), F.lit("grid shape differs")).alias("shape_ok"))
-    return cells.crossJoin(F.broadcast(guard)).filter(F.col("shape_ok").isNull()).drop("shape_ok")
+    shape = {"latitudes": F.countDistinct("lat") == rows, "longitudes": F.countDistinct("lon") == cols}
+    return required(cells, report(cells, shape), "grid shape differs")
 
 
 def alignment(kept: DataFrame, mask: DataFrame, within: float = 0.01, degrees: float = 1.0) -> DataFrame:
-    """Whether masked data have the mask's number of cells (within a share) and mean latitude (within degrees)."""
+    """Whether masked data have the mask's number of cells (within a share) and mean latitude (within degrees); a mask without cells fails both."""
     a = kept.agg(F.count("*").alias("n"), F.avg("lat").alias("lat"))
     b = mask.agg(F.count("*").alias("mask_n"), F.avg("lat").alias("mask_lat"))
-    return report(a.crossJoin(b), {"count_ok": F.max(F.abs(F.col("n") - F.col("mask_n")) <= within * F.col("mask_n")), "latitude_ok": F.max(F.abs(F.col("lat") - F.col("mask_lat")) <= degrees)})
+    some = F.col("mask_n") > 0
+    return report(a.crossJoin(b), {"count_ok": F.max(some & (F.abs(F.col("n") - F.col("mask_n")) <= within * F.col("mask_n"))), "latitude_ok": F.max(some & (F.abs(F.col("lat") - F.col("mask_lat")) <= degrees))})
+
+
+def aligned(kept: DataFrame, mask: DataFrame, within: float = 0.01, degrees: float = 1.0) -> DataFrame:
+    """kept, if it lies as the mask does; the query fails if cells were lost or moved, as by a grid turned upside down."""
+    return required(kept, alignment(kept, mask, within, degrees), "masked cells differ from the mask")
 
 
 def monotone_thresholds(cells: DataFrame, levels: list[str]) -> DataFrame:
-    """A cell over a threshold is over every lower one; levels ascend."""
-    return report(cells, {f"{b}_in_{a}": F.count_if(F.col(b) & ~F.col(a)) == 0 for a, b in zip(levels, levels[1:])})
+    """check, violations, ok: cells over a threshold that are not over the next lower one; levels ascend."""
+    counts = cells.agg(*[F.count_if(F.col(b) & ~F.col(a)).alias(f"{b}_subset_of_{a}") for a, b in zip(levels, levels[1:])])
+    rows = counts.unpivot([], counts.columns, "check", "violations")
+    return rows.withColumn("ok", F.col("violations") == 0)
+
+
+def conservation(coarse: DataFrame, fine_pixels: DataFrame, pixel_km2: float, tolerance_pct: float = 5.0) -> DataFrame:
+    """computed_area_km2, expected_area_km2, relative_diff_pct, ok: whether a coarse area (area_km2) keeps that of the fine pixels (rows of fine_pixels)."""
+    fine = fine_pixels.agg((F.count("*") * F.lit(float(pixel_km2))).alias("expected_area_km2"))
+    both = coarse.agg(F.sum("area_km2").alias("computed_area_km2")).crossJoin(fine)
+    share = F.try_divide(F.lit(100.0) * F.abs(F.col("computed_area_km2") - F.col("expected_area_km2")), F.col("expected_area_km2"))
+    return both.withColumn("relative_diff_pct", share).withColumn("ok", F.coalesce(F.col("relative_diff_pct") <= tolerance_pct, F.lit(False)))
+
+
+def cells_by_region(cells: DataFrame, rings: DataFrame, least: int = 50, code: str = "aagis_code") -> DataFrame:
+    """code, cells, ok: how many cells (lat, lon) lie in each region, and whether that is enough; regions without cells count 0."""
+    inside = assign_regions(cells, rings, "inner", code=code).groupBy(code).agg(F.count("*").alias("cells"))
+    counted = rings.select(code).distinct().join(inside, code, "left").select(code, F.coalesce("cells", F.lit(0)).alias("cells"))
+    return counted.withColumn("ok", F.col("cells") >= least)
+
+
+#: How many regions the boundaries may have, and the zones they lie in. Fixed values.
+REGION_COUNT, ZONES = (28, 38), ("Pastoral", "Wheat Sheep", "High Rainfall")
+
 
+def region_boundaries(regions: DataFrame, zones: tuple[str, ...] = ZONES, count: tuple[int, int] = REGION_COUNT) -> DataFrame:
+    """zone, n_regions, expected: the zones of the regions, and the expected ones that none lies in.
 
-def conservation(fine_km2: float, coarse: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Whether the coarse area (area_km2) keeps the fine one within the tolerance."""
-    return report(coarse, {"area_conserved": F.max(F.abs(F.col("area_km2") - fine_km2) <= tolerance * fine_km2)})
+    A NULL zone is a zone of its own that nobody expects. The query fails if
+    there are fewer or more regions than count says.
+    """
+    spark = regions.sparkSession
+    wanted = spark.createDataFrame([(z,) for z in zones], "wanted string")
+    found = regions.groupBy("zone").agg(F.count("*").alias("n_regions")).join(wanted, F.col("zone").eqNullSafe(F.col("wanted")), "full")
+    rows = found.select(F.coalesce("zone", "wanted").alias("zone"), F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.col("wanted").isNotNull().alias("expected"))
+    return required(rows, report(regions, {f"between {count[0]} and {count[1]} regions": F.count("*").between(*count)}), "unexpected boundaries")
 
 
 def in_range(df: DataFrame, column: str, low: float, high: float, check: str) -> DataFrame:
