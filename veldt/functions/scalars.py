@@ -162,16 +162,12 @@ def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
     fraction of the upper function beyond. Either needs some roots of the
     shape as terms.
     """
-    z = x / scale
-    terms = F.ceil(F.lit(10.0) * F.sqrt(F.greatest(shape, F.lit(0.0)) + F.lit(1.0)) + F.lit(60.0)).cast("int")
-    # term n over term n - 1 is z / (shape + n)
-    series = F.aggregate(
-        F.sequence(F.lit(1), terms),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda s, n: F.struct((s["term"] * z / (shape + n)).alias("term"), (s["total"] + s["term"] * z / (shape + n)).alias("total")),
-        lambda s: s["total"],
-    )
-    fraction = F.aggregate(F.sequence(terms, F.lit(1), F.lit(-1)), z + F.lit(2.0) * terms + F.lit(1.0) - shape, lambda f, n: z + F.lit(2.0) * n - F.lit(1.0) - shape - n * (n - shape) / f)
+    z, roots = x / scale, F.lit(10.0) * F.sqrt(F.greatest(shape, F.lit(0.0)) + F.lit(1.0))
+    last = lambda least: F.ceil(roots + F.lit(least)).cast("int")
+    backwards = lambda least: F.sequence(last(least), F.lit(1), F.lit(-1))
+    # term n over term n - 1 is z / (shape + n): the sum is nested as Horner's form
+    series = F.aggregate(backwards(30.0), F.lit(1.0), lambda f, n: F.lit(1.0) + f * z / (shape + n))
+    fraction = F.aggregate(backwards(60.0), z + F.lit(2.0) * last(60.0) + F.lit(1.0) - shape, lambda f, n: z + F.lit(2.0) * n - F.lit(1.0) - shape - n * (n - shape) / f)
     front = F.exp(shape * F.log(z) - z - log_gamma(shape + F.lit(1.0)))
     upper = F.lit(1.0) - front * shape / fraction
     return F.when(x <= 0, F.lit(0.0)).when(z > shape + F.lit(1.0), F.greatest(upper, F.lit(0.0))).when(x.isNotNull(), F.least(front * series, F.lit(1.0)))

@@ -145,9 +145,22 @@ def excess_heat_factor(daily: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     t3 is the mean of the last three days, t30 that of the thirty before them.
     """
+    days = _with_means(daily).join(thresholds, "cell_id")
+    return days.select("cell_id", "date", "t3", "t30", excess_heat(F.col("t3"), F.col("t30"), F.col("t90")).alias("ehf"))
+
+
+def excess_heat_factor_of_baseline(daily: DataFrame, first: int, last: int, q: float = 0.9) -> DataFrame:
+    """The same with the threshold from the baseline's days of the same cell, in the same pass over the cell's days; cells without such days are left out."""
+    base = F.col("date").between(F.lit(date(first, 1, 1)), F.lit(date(last, 12, 31)))
+    t90 = F.percentile(F.when(base, F.col("tmean")), F.lit(q)).over(Window.partitionBy("cell_id"))
+    inside = F.max(base).over(Window.partitionBy("cell_id"))
+    days = _with_means(daily).withColumns({"t90": t90, "inside": inside}).filter("inside")
+    return days.select("cell_id", "date", "t3", "t30", excess_heat(F.col("t3"), F.col("t30"), F.col("t90")).alias("ehf"))
+
+
+def _with_means(daily: DataFrame) -> DataFrame:
     days = daily.withColumns({"day": F.unix_date("date"), "tmean": (F.col("max_temp") + F.col("min_temp")) / 2})
-    days = range_mean(range_mean(days, ["cell_id"], "day", "tmean", -2, 0, "t3"), ["cell_id"], "day", "tmean", -32, -3, "t30")
-    return days.join(thresholds, "cell_id").select("cell_id", "date", "t3", "t30", excess_heat(F.col("t3"), F.col("t30"), F.col("t90")).alias("ehf"))
+    return range_mean(range_mean(days, ["cell_id"], "day", "tmean", -2, 0, "t3"), ["cell_id"], "day", "tmean", -32, -3, "t30")
 
 
 def heatwave_days(ehf: DataFrame, window: GrowingWindow) -> DataFrame:

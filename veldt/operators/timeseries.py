@@ -24,15 +24,15 @@ def range_mean(df: DataFrame, keys: list[str], day: str, value: str, start: int,
 def longest_run(df: DataFrame, keys: list[str], day: str, condition: Column, name: str, seen: str | None = None) -> DataFrame:
     """keys and the longest run of consecutive rows that meet the condition; 0 if none does.
 
-    Runs of consecutive rows share the difference of two row numbers. With
+    A row that doesn't meet it begins an island, to which the rows behind it
+    belong up to the next such row: one running count and one sort. With
     `seen`, a column, there is also the count of its values, as `seen`.
     """
-    every, met = Window.partitionBy(*keys).orderBy(day), Window.partitionBy(*keys, "met").orderBy(day)
+    upto = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = df.withColumn("met", F.coalesce(condition, F.lit(False)))
-    islands = marked.withColumn("island", F.row_number().over(every) - F.row_number().over(met))
-    runs = islands.groupBy(*keys, "met", "island").agg(F.count("*").alias("n"), *([F.count(seen).alias("values")] if seen else []))
-    longest = F.coalesce(F.max(F.when(F.col("met"), F.col("n"))), F.lit(0)).cast("int").alias(name)
-    return runs.groupBy(*keys).agg(longest, *([F.sum("values").alias("seen")] if seen else []))
+    islands = marked.withColumn("island", F.sum(F.when(F.col("met"), 0).otherwise(1)).over(upto))
+    runs = islands.groupBy(*keys, "island").agg(F.count_if("met").alias("n"), *([F.count(seen).alias("values")] if seen else []))
+    return runs.groupBy(*keys).agg(F.max("n").cast("int").alias(name), *([F.sum("values").alias("seen")] if seen else []))
 
 
 def densified(df: DataFrame, keys: DataFrame, day: str, first: Column, last: Column) -> DataFrame:

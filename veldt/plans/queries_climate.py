@@ -216,8 +216,10 @@ SPI_P = f"least(greatest(CASE WHEN x <= 0 THEN prob_zero ELSE prob_zero + (1e0 -
 
 @query("ind_05", f"SELECT cell_id, year, month, {normal_quantile_sql('p')} AS spi FROM (SELECT cell_id, year, s.month, {SPI_P} AS p FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) f USING (cell_id, month) WHERE shape IS NOT NULL) z", "spi")
 def spi_values(t: Tables) -> DataFrame:
-    months = I.monthly_totals(t.whole, "daily_rain", "rain")
-    return I.spi(months, spi_params(t).filter("shape IS NOT NULL"), "rain", 3).select("cell_id", "year", "month", "spi")
+    """Months are made once, for the fit and for the values: a thirtieth of the days."""
+    months = written(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain-months")
+    params = I.fit_spi(months, "rain", 3, 1995, 1999).filter("shape IS NOT NULL")
+    return I.spi(months, params, "rain", 3).select("cell_id", "year", "month", "spi")
 
 
 BALANCE_SUMS = RAIN_SUMS.replace("rain", "balance")
@@ -257,7 +259,8 @@ SPEI_VALUES = f"SELECT cell_id, year, month, CASE WHEN p IS NOT NULL THEN {norma
 
 @query("ind_07", SPEI_VALUES, "spei")
 def spei_values(t: Tables) -> DataFrame:
-    return I.spei(I.water_balance(t.whole), spei_params(t), "balance", 3).select("cell_id", "year", "month", "spei")
+    months = written(I.water_balance(t.whole), "balance-months")
+    return I.spei(months, I.fit_spei(months, "balance", 3, 1995, 2001), "balance", 3).select("cell_id", "year", "month", "spei")
 
 
 @query("join_18", f"SELECT cell_id, year, s.month, x AS accumulated, alpha FROM ({BALANCE_SUMS.format(where='')}) s JOIN ({SPEI_FIT}) p USING (cell_id, month)", "accumulated alpha")
@@ -308,7 +311,7 @@ def t90_baseline(t: Tables) -> DataFrame:
 
 @query("ind_11", "SELECT cell_id, date, t3, t30, ehf FROM ehf", "t3 t30 ehf")
 def heat_factor(t: Tables) -> DataFrame:
-    return I.excess_heat_factor(t.dense, I.t90(t.dense, 1995, 1997))
+    return I.excess_heat_factor_of_baseline(t.dense, 1995, 1997)
 
 
 @query("ind_12", "SELECT cell_id, (CASE WHEN month(date) >= 9 THEN year(date) ELSE year(date) - 1 END)::INT AS season_year, CASE WHEN count(ehf) > 0 THEN count(*) FILTER (ehf > 0) END::INT AS heatwave_days FROM ehf WHERE month(date) IN (9, 10, 11, 12, 1, 2) AND (CASE WHEN month(date) >= 9 THEN year(date) ELSE year(date) - 1 END) < (SELECT max(year(date)) FROM ehf) GROUP BY ALL")
