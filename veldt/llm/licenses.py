@@ -41,6 +41,11 @@ TEMPLATES: Sequence[tuple[str, str]] = (
     ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 )
 
+#: Words of a notice that name the license: one of them has to stand where a short notice is seen.
+NAMES: Mapping[str, frozenset[str]] = {"mit": frozenset({"mit"}), "apache": frozenset({"apache"}), "gpl": frozenset({"gnu", "gpl"}), "cc": frozenset({"commons", "cc"}), "mpl": frozenset({"mozilla", "mpl"})}
+#: Notices of at most so many words are made of words that stand in any prose: where their label has names, the words have to come in order, and with a name.
+SHORT = 24
+
 #: Bytes of words: digits, a-z and everything beyond ASCII; A-Z become a-z, all else parts words.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _FOLD_KEEPING_LINES = bytes(0x0A if b == 0x0A else c for b, c in enumerate(_FOLD))
@@ -50,12 +55,24 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split()
 
 
+def _common(words: Sequence[bytes], block: Sequence[bytes]) -> int:
+    """How many of the words stand in the block in their order: the longest common subsequence."""
+    longest = [0] * (len(words) + 1)
+    for token in block:
+        before = 0
+        for i, word in enumerate(words, 1):
+            before, longest[i] = longest[i], before + 1 if token == word else max(longest[i], longest[i - 1])
+    return longest[-1]
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
     n_words: int
     tokens: tuple[bytes, ...]  # distinct, in global order
     needed: int  # tokens of an overlap that meets the threshold
+    sequence: tuple[bytes, ...] = ()  # of a short notice that a name tells apart, its words in order
+    names: frozenset[bytes] = frozenset()  # of which such a notice needs one
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -71,7 +88,11 @@ class Scanner:
         for label, notice in templates:
             tokens = tuple(sorted(set(words(notice)), key=order))
             if tokens:
-                self.templates.append(Template(label, len(words(notice)), tokens, max(1, math.ceil(threshold * len(tokens) - 1e-9))))
+                own = words(notice)
+                short = len(own) <= SHORT
+                names = frozenset(n.encode() for n in NAMES.get(label, ())).intersection(tokens) if short else frozenset()
+                self.templates.append(Template(label, len(own), tokens, max(1, math.ceil(threshold * len(tokens) - 1e-9)), tuple(own) if names else (), names))
+        self.threshold = threshold
         everything = sorted({t for x in self.templates for t in x.tokens}, key=order)
         self.place = {t: i for i, t in enumerate(everything)}
         self.index = dict.fromkeys(t for template in self.templates for t in template.prefix)
@@ -111,6 +132,15 @@ class Scanner:
         share = sum(1 for t in template.tokens if t in block)
         return share / len(template.tokens) if share >= template.needed else 0.0
 
+    def _in_order(self, template: Template, block: list[bytes]) -> bool:
+        """Whether a block that shares a template's words may be the notice: of a short one the share has to come in order, the name at its place among them."""
+        own = template.sequence
+        if not own:
+            return True
+        needed = math.ceil(self.threshold * len(own) - 1e-9)
+        places = [(i, j) for i, word in enumerate(own) if word in template.names for j, token in enumerate(block) if token == word]
+        return any(_common(own[:i], block[:j]) + 1 + _common(own[i + 1 :], block[j + 1 :]) >= needed for i, j in places)
+
     def matches(self, text: str, tokens: list[bytes]) -> dict[str, float]:
         """The largest containment of each label that reaches the threshold in some block.
 
@@ -125,15 +155,15 @@ class Scanner:
         wanted = [t for t in self.templates if self._share(t, present) > 0]
         if not wanted:
             return best
-        lines = [set(x.split()) for x in text.encode("utf-8", "replace").translate(_FOLD_KEEPING_LINES).split(b"\n")]
+        lines = [x.split() for x in text.encode("utf-8", "replace").translate(_FOLD_KEEPING_LINES).split(b"\n")]
         lines = [x for x in lines if not self.index.keys().isdisjoint(x)]
         for template in wanted:
             prefix, n = frozenset(template.prefix), template.n_words
             at = {i // n for i, t in enumerate(tokens) if t in prefix}
             starts = {q * n for x in at for q in (x - 1, x) if q >= 0}
-            for block in [x for x in lines if not prefix.isdisjoint(x)] + [set(tokens[s : s + 2 * n]) for s in starts]:
-                share = self._share(template, block)
-                if share:
+            for block in [x for x in lines if not prefix.isdisjoint(x)] + [tokens[s : s + 2 * n] for s in starts]:
+                share = self._share(template, set(block))
+                if share and share > best.get(template.label, 0.0) and self._in_order(template, block):
                     best[template.label] = max(best.get(template.label, 0.0), share)
         return best
 
@@ -167,7 +197,8 @@ def scan_licenses(df: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATE
     """df with the columns of SCHEMA for each whole text.
 
     first_word and last_word are the smallest and largest start of a phrase;
-    labels are those of phrases and templates; score is 1 where a phrase
+    labels are those of phrases and templates (of short notices only where
+    their words come in order and with the license's name); score is 1 where a phrase
     stands, else the largest containment that reaches the threshold, else 0.
     Null and empty texts have no words and empty labels. All rows stay;
     columns of these names are replaced. The templates and the frequencies of
