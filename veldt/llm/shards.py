@@ -40,6 +40,18 @@ def _file() -> Column:
     return F.substring_index(F.input_file_name(), "/data/", -1)
 
 
+#: What read() tells of each row's shard.
+OWN = ("shard", "shard_size", "since", "arrival")
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name, or one with more underscores, that no column has in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class ShardStore:
     """Versions v1, v2, ... in `folder`, a path of any file system that Spark knows.
 
@@ -171,14 +183,15 @@ class ShardStore:
             return self.latest()
         merged = [s for run in runs for s in run]
         folder = f"data/{uuid.uuid4().hex}"
-        of = self.spark.createDataFrame([(_below_data(s.path), k) for k, run in enumerate(runs) for s in run], "shard_file string, shard_run int")
-        rows = self._read(merged).withColumn("shard_file", _file())
+        rows = self._read(merged)
+        file, run_of = _free("shard_file", rows.columns), _free("shard_run", rows.columns)
+        of = self.spark.createDataFrame([(_below_data(s.path), k) for k, run in enumerate(runs) for s in run], f"{file} string, {run_of} int")
         # of: one row for each shard of the plan, whatever the shards hold; a run lies in one partition, so it makes one file of its folder
-        rows = rows.join(F.broadcast(of), "shard_file").drop("shard_file").repartition(len(runs), "shard_run")
-        rows.write.option("compression", "zstd").partitionBy("shard_run").parquet(f"{self.folder}/{folder}")
+        rows = rows.withColumn(file, _file()).join(F.broadcast(of), file).drop(file).repartition(len(runs), run_of)
+        rows.write.option("compression", "zstd").partitionBy(run_of).parquet(f"{self.folder}/{folder}")
         made = []
         for p, size in self._files(folder):
-            run = runs[int(p.rsplit("/", 2)[-2].removeprefix("shard_run="))]
+            run = runs[int(p.rsplit("/", 2)[-2].removeprefix(f"{run_of}="))]
             made.append(Shard(p, size, 0, min(s.arrival for s in run), sum(s.rows for s in run)))
         if len(made) != len(runs):
             raise RuntimeError(f"{len(runs)} runs made {len(made)} files")
@@ -204,13 +217,16 @@ class ShardStore:
         return self.spark.read.parquet(*[f"{self.folder}/{s.path}" for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with shard (its path), shard_size, since and arrival of each; none if it has no shard."""
+        """The rows of a version with shard (its path), shard_size, since and arrival of each; none if it has no shard.
+
+        A stored column of one of these names comes back as stored_<name>.
+        """
         manifest = self._manifest(self.latest() if version is None else version)
         shards = [Shard(**x) for x in manifest["shards"]]
         own = "shard string, shard_size long, since int, arrival int"
-        if not shards:
-            schema = StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType()
-            return self.spark.createDataFrame([], StructType([*schema.fields, *StructType.fromDDL(own).fields]))
-        listed = self.spark.createDataFrame([(_below_data(s.path), s.path, s.size, s.since, s.arrival) for s in shards], f"shard_file string, {own}")
-        rows = self._read(shards).withColumn("shard_file", _file())
-        return rows.join(listed, "shard_file").drop("shard_file")
+        schema = StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType()
+        rows = self._read(shards) if shards else self.spark.createDataFrame([], schema)
+        rows = rows.withColumnsRenamed({c: _free(f"stored_{c}", rows.columns) for c in rows.columns if c.lower() in OWN})
+        file = _free("shard_file", rows.columns)
+        listed = self.spark.createDataFrame([(_below_data(s.path), s.path, s.size, s.since, s.arrival) for s in shards], f"{file} string, {own}")
+        return rows.withColumn(file, _file()).join(listed, file).drop(file)
