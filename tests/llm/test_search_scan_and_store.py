@@ -86,6 +86,38 @@ def test_notices_broken_at_each_word():
                 assert scanner.matches(text, licenses.words(text)).get(label) == 1.0
 
 
+#: Prose, and notices of other licenses, that share most words of a short notice.
+FALSE_NOTICES = [
+    "The album was released under the label license agreement",
+    "Released under the BSD License.",
+    "He released the license holder under the law",
+    "Licensed under the Mozilla License, version 2.0.",
+    "licensed under the zlib license version 2.0 today",
+    "Students at MIT were released under the new license",
+    "The version of Apache that is licensed under 2.0 rules",
+    "This work is free for the public under a general license version of 3",
+]
+TRUE_NOTICES = {
+    "Released under the MIT-License": "mit",
+    "It is released under the terms of the MIT licence / license.": "mit",
+    "Licensed under the Apache Software License, Version 2.0": "apache",
+    "this work is licensed under the GNU public license version 3": "gpl",
+    "This work is licensed under a Creative Commons Attribution 3.0 International License": "cc",
+    "Licensed under CC BY-NC 4.0": "cc",
+    "This Source Code Form is subject to the\nterms of the Mozilla Public License, v. 2.0.": "mpl",
+}
+
+
+def test_short_notices_need_their_name_and_order():
+    scanner = licenses.Scanner({}, licenses.TEMPLATES, {}, 0.8)
+    for text in FALSE_NOTICES:
+        assert scanner.matches(text, licenses.words(text)) == {}
+    for text, label in TRUE_NOTICES.items():
+        assert set(scanner.matches(text, licenses.words(text))) == {label}
+        inside = f"{'word ' * 40}{text} {'more ' * 40}"
+        assert set(scanner.matches(inside, licenses.words(inside))) == {label}
+
+
 def test_filters_lose_no_block():
     r = random.Random(1)
     tokens = [f"t{i}".encode() for i in range(30)]
@@ -184,6 +216,23 @@ def test_merged_shards_keep_their_arrival_and_stray_files_are_spared(spark, tmp_
     assert stray not in [p for p, _ in store._files("data")] and store.read().count() == 42
 
 
+@pytest.mark.parametrize("name", ["shard", "SHARD_RUN", "since", "arrival", "shard_size", "shard_file"])
+def test_columns_named_like_the_stores_own(spark, tmp_path, name):
+    """They are stored and merged as they are; those that read() has itself come back under another name."""
+    store = shards.ShardStore(spark, str(tmp_path / "s"), fanout=2)
+    df = spark.range(12).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id").alias(name), F.lit("y").alias("stored_shard"))
+    for k in range(3):
+        store.append(df.filter(F.col("doc_id") % 3 == k).coalesce(1))
+    store.compact()
+    rows = store.read()
+    back = f"stored_{name}" + "_" * (name == "shard") if name.lower() in shards.OWN else name
+    assert {(r["doc_id"], r[back]) for r in rows.collect()} == {(i, f"x{i}") for i in range(12)}
+    assert len({c.lower() for c in rows.columns}) == len(rows.columns) and rows.select("shard").distinct().count() < 3
+    empty = shards.ShardStore(spark, str(tmp_path / "empty"))
+    empty.append(df.limit(0))
+    assert empty.read().columns == rows.columns and empty.read().count() == 0
+
+
 def test_appended_shards_are_small(spark, tmp_path):
     store = shards.ShardStore(spark, (tmp_path / "s").as_uri(), small=10_000)
     store.append(spark.range(1000).select("id", F.lit("y" * 92).alias("text")).coalesce(1))
