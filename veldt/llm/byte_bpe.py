@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import literal, text_or_empty, written
 
 #: Small maps of the literal maps of pairs and of words.
-PAIR_SLOTS, WORD_SLOTS = 1 << 16, 1 << 17
+PAIR_SLOTS, WORD_SLOTS = 1 << 16, 1 << 18
 #: The characters of ids begin here, and leave out the surrogates.
 FIRST, SURROGATES, BEHIND = 0x100, 0xD800, 0xE000
 #: Words of more bytes are cut where no piece can reach across, and are not kept.
@@ -71,7 +71,7 @@ def _rank(char: Column) -> Column:
 class ByteBpe:
     """Encoder and decoder for one rank file and pattern."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, kept_words: int = 1 << 18):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, kept_words: int = 1 << 20):
         """kept_words: at most so many frequent words are kept folded, besides the pieces.
 
         It bounds the literal map and changes the time that encoding takes,
