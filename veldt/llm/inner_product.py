@@ -3,19 +3,21 @@
 Vectors are coded by four bits for every two dimensions. The codes minimise a
 loss in which error parallel to the vector, which moves its large inner
 products, weighs more than error at right angles to it. Queries go through
-the codes with tables of their products with all codewords; the best found
-are ranked again by exact products.
+the codes with tables of their products with all codewords. With each code
+stands how far it is from its vector; a row whose score by code, raised by
+what that error may hide, reaches the worst of the best found so far is ranked
+again by its exact product.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,17 +29,19 @@ CODEWORDS, WIDTH = 16, 2
 class Search:
     """k nearest; the rest sets fit and blocks.
 
-    Ranked again for each query: candidates, or this share of all rows if that
-    is more, as the rank of a near row by its code grows with the table.
+    slack: how many times its usual size the error of a code's score may have.
+    Error at right angles to a query of d dimensions is usually its length
+    over the root of d; with the root of d as slack no row is lost at all.
+    query_block bounds a block of queries and its tables, chunk the rows that
+    pass through it at a time.
     """
 
     k: int = 20
-    candidates: int = 256
-    share: float = 1 / 80
+    slack: float = 4.0
     sample: int = 20_000
     threshold: float = 0.2
     rounds: int = 6
-    query_block: int = 256
+    query_block: int = 512
     chunk: int = 512
 
 
@@ -72,6 +76,10 @@ class Codebook:
                 along = others + (unit[:, m] * rest[:, m]).sum(1)
         return codes
 
+    def error(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each vector from its codewords."""
+        return np.linalg.norm((self._split(x) - np.take_along_axis(self.words[None], codes[:, :, None, None], 2)[:, :, 0]).reshape(len(x), -1), axis=1)
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         """Two codes a byte; an odd last subspace has a byte of its own."""
         if codes.shape[1] % 2:
@@ -125,48 +133,70 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:n]
-    return ids[order], scores[order]
+def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, summed in the order of the components."""
+    return np.cumsum(queries * rows, axis=1)[:, -1] if queries.shape[1] else np.zeros(len(queries))
+
+
+class _Block:
+    """A block of queries and the best rows that it has met."""
+
+    def __init__(self, book: Codebook, search: Search, ids: list[int], vectors: list):
+        self.search, self.ids = search, np.array(ids, np.int64)
+        self.vectors = np.array(vectors, np.float64)
+        self.tables, self.unit = book.tables(self.vectors)
+        self.reach = search.slack * np.linalg.norm(self.vectors, axis=1) / math.sqrt(book.dim)
+        self.worst = np.full(len(ids), -np.inf)
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+    def meet(self, vec_ids: np.ndarray, packed: np.ndarray, errors: np.ndarray, rows: np.ndarray) -> None:
+        total = np.zeros((len(self.ids), len(vec_ids)), np.int32)
+        for m in range(packed.shape[1]):
+            total += np.take(self.tables[:, m], packed[:, m], axis=1)
+        may = total * self.unit[:, None] + self.reach[:, None] * errors[None] >= self.worst[:, None]
+        may &= self.ids[:, None] != vec_ids[None]
+        asking, found = np.nonzero(may)
+        for at in range(0, len(asking), 1 << 16):  # pairs at a time
+            q, r = asking[at : at + (1 << 16)], found[at : at + (1 << 16)]
+            exact = _products(self.vectors[q], rows[r])
+            good = exact >= self.worst[q]
+            q, r, exact = q[good], r[good], exact[good]
+            for own in np.unique(q).tolist():
+                mine = q == own
+                known, scores = self.best[own]
+                known, scores = np.concatenate([known, vec_ids[r[mine]]]), np.concatenate([scores, exact[mine]])
+                order = np.lexsort((known, -scores))[: self.search.k]
+                self.best[own] = known[order], scores[order]
+                if len(order) == self.search.k:
+                    self.worst[own] = scores[order[-1]]
+
+    def result(self) -> pd.DataFrame:
+        sizes = [len(known) for known, _ in self.best]
+        return pd.DataFrame({"query_id": np.repeat(self.ids, sizes), "rank": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes]), "vec_id": np.concatenate([known for known, _ in self.best]), "score": np.concatenate([scores for _, scores in self.best])})
 
 
 def _scan(book: Codebook, search: Search):
-    """Rows of one block: its queries, then chunks of codes; keeps the best of each query."""
-    keep = search.candidates + 1  # a query finds itself too
-
-    def finish(ids: list, best: list) -> pd.DataFrame:
-        sizes = [len(b[0]) for b in best]
-        return pd.DataFrame({"query_id": np.repeat(np.array(ids, np.int64), sizes), "vec_id": np.concatenate([b[0] for b in best]) if best else np.zeros(0, np.int64)})
+    """Rows of one block: its queries, then chunks of the index."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, ids, vectors, tables, best = None, [], [], None, []
+        now, ids, vectors, block = None, [], [], None
         for batch in batches:
-            for own, kind, query_id, vector, chunk_ids, codes in batch[["block", "kind", "query_id", "embedding", "ids", "codes"]].itertuples(index=False):
-                if own != block:
-                    if best:
-                        yield finish(ids, best)
-                    block, ids, vectors, tables, best = own, [], [], None, []
+            for own, kind, query_id, vector, chunk_ids, codes, errors, raw in batch[["block", "kind", "query_id", "embedding", "ids", "codes", "errors", "raw"]].itertuples(index=False):
+                if own != now:
+                    if block is not None:
+                        yield block.result()
+                    now, ids, vectors, block = own, [], [], None
                 if kind == 0:
                     ids.append(query_id)
                     vectors.append(np.asarray(vector, np.float64))
                     continue
                 if not ids:
                     continue
-                if tables is None:
-                    tables, _ = book.tables(np.array(vectors))
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+                block = block or _Block(book, search, ids, vectors)
                 vec_ids = np.frombuffer(chunk_ids, "<i8")
-                packed = np.frombuffer(codes, np.uint8).reshape(len(vec_ids), -1)
-                total = np.zeros((len(ids), len(vec_ids)), np.int32)
-                for m in range(packed.shape[1]):
-                    total += np.take(tables[:, m], packed[:, m], axis=1)
-                for q in range(len(ids)):
-                    known, scores = best[q]
-                    new = np.flatnonzero(total[q] >= scores[-1]) if len(scores) >= keep else np.arange(len(vec_ids))
-                    if len(new):
-                        best[q] = _best(np.concatenate([known, vec_ids[new]]), np.concatenate([scores, total[q][new].astype(np.int64)]), keep)
-        if best:
-            yield finish(ids, best)
+                block.meet(vec_ids, np.frombuffer(codes, np.uint8).reshape(len(vec_ids), -1), np.frombuffer(errors, "<f8"), np.frombuffer(raw, "<f4" if len(raw) == 4 * len(vec_ids) * book.dim else "<f8").reshape(len(vec_ids), -1).astype(np.float64))
+        if block is not None:
+            yield block.result()
 
     return scan
 
@@ -181,8 +211,10 @@ def nearest(vectors: DataFrame, is_query: Column, search: Search = Search()) ->
     than most rows have; of rows that repeat an id the one of the smallest
     vector counts. The fit sees search.sample vectors, the index holds all.
 
-    The queries are a stated set: each block of them passes over the codes of
-    all rows in chunks, so its memory is bounded by the block and the chunk.
+    The queries are a stated set: all rows pass each block of them in chunks,
+    so memory is bounded by the block and the chunk, and a query's shortlist
+    is whatever the bound lets through, however many that are. A block of
+    queries reads the whole index once.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = written(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-vectors")
@@ -194,25 +226,22 @@ def nearest(vectors: DataFrame, is_query: Column, search: Search = Search()) ->
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(search.sample).select("embedding").toPandas()
     book = fit(np.array(sample["embedding"].tolist(), np.float64), search)
 
+    single = rows.schema["embedding"].dataType.elementType.typeName() == "float"
+
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.sort_values("vec_id")
-            packed = book.pack(book.encode(np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1))) if len(batch) else np.zeros((0, 1), np.uint8)
             ids = batch["vec_id"].to_numpy()
-            cuts = range(0, len(ids), search.chunk)
-            yield pd.DataFrame({"ids": [ids[c : c + search.chunk].astype("<i8").tobytes() for c in cuts], "codes": [packed[c : c + search.chunk].tobytes() for c in cuts]})
+            for at in range(0, len(ids), search.chunk):
+                x = np.array(batch["embedding"].iloc[at : at + search.chunk].tolist(), np.float64)
+                codes = book.encode(x)
+                yield pd.DataFrame({"ids": [ids[at : at + search.chunk].astype("<i8").tobytes()], "codes": [book.pack(codes).tobytes()], "errors": [book.error(x, codes).astype("<f8").tobytes()], "raw": [x.astype("<f4" if single else "<f8").tobytes()]})
 
-    index = written(rows.mapInPandas(code, "ids binary, codes binary"), "ann-index")
-    search = replace(search, candidates=max(search.candidates, math.ceil(search.share * rows.count())))
-    search = replace(search, query_block=max(1, min(search.query_block, (1 << 22) // search.candidates)))  # a block's lists have a bound
+    index = written(rows.mapInPandas(code, "ids binary, codes binary, errors binary, raw binary"), "ann-index")
     queries = rows.filter(is_query)
-    blocks = max(1, -(-queries.count() // search.query_block))
-    asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("codes"))
-    chunks = index.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<float>").alias("embedding"), "ids", "codes")
-    work = asked.withColumn("embedding", F.col("embedding").cast("array<float>")).unionByName(chunks).repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    pairs = written(work.mapInPandas(_scan(book, search), "query_id long, vec_id long"), "ann-pairs").filter("query_id <> vec_id")
-    exact = pairs.join(rows.withColumnRenamed("embedding", "theirs"), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("ours")), "query_id")
-    product = F.aggregate(F.zip_with("ours", "theirs", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = exact.select("query_id", "vec_id", product.alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
+    n, slots = queries.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // search.query_block), min(slots, -(-n // 64)))  # small sets make small blocks, for all executors
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("vec_id").alias("query_id"), "embedding", *[none("binary").alias(c) for c in index.columns])
+    chunks = index.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), none("long").alias("query_id"), none(rows.schema["embedding"].dataType).alias("embedding"), *index.columns)
+    work = asked.unionByName(chunks).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    return work.mapInPandas(_scan(book, search), "query_id long, rank int, vec_id long, score double")
