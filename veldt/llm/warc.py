@@ -17,6 +17,8 @@ BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|f
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 DATE = "2024-01-01T00:00:00Z"
+#: Columns of the derived records.
+MADE = ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_digest", "block")
 
 
 def digest(block: Column) -> Column:
@@ -31,14 +33,14 @@ def identifier(*parts: Column) -> Column:
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: hidden elements and comments go, blocks end lines,
+    """The text of a page: hidden elements, to the page's end where they aren't closed, and comments go, blocks end lines,
 
     entities are resolved (the named ones of ENTITIES and decimal ones of up
     to six digits), blanks are joined and empty lines dropped.
     """
     text = html
     for name in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)", " ")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
@@ -67,7 +69,8 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 def derive(source: DataFrame) -> DataFrame:
     """Two records for each response (record_id, target_uri, date, http_headers, payload).
 
-    Returns the other columns of source first, then record_type, record_id,
+    Returns the other columns of source first (those named like one of the
+    record's are left out), then record_type, record_id,
     refers_to, target_uri, date, content_type, content_length, block_digest,
     source_digest and block. A null payload counts as empty; a null URI stays
     null and its line is left out of the metadata; header lines come in the
@@ -75,7 +78,7 @@ def derive(source: DataFrame) -> DataFrame:
     no shuffle.
     """
     own = ("record_id", "target_uri", "date", "http_headers", "payload")
-    kept = [c for c in source.columns if c not in own]
+    kept = [c for c in source.columns if c.lower() not in own + MADE]
     payload = F.coalesce("payload", F.lit(""))
     title = F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1)
     lines = F.concat(
@@ -112,7 +115,7 @@ def _oracle() -> str:
 
     def text(x: str) -> str:
         for name in HIDDEN:
-            x = f"regexp_replace({x}, '<{name}\\b[^>]*>.*?</{name}\\s*>', ' ', 'gis')"
+            x = f"regexp_replace({x}, '<{name}\\b[^>]*>.*?(?:</{name}\\s*>|\\z)', ' ', 'gis')"
         x = f"regexp_replace({x}, '<!--.*?-->', ' ', 'gs')"
         x = f"regexp_replace({x}, '</?(?:{BLOCKS})\\b[^>]*>', chr(10), 'gi')"
         x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
