@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import literal, text_or_empty, written
 
-#: Small maps of the literal maps of pairs and of words.
-PAIR_SLOTS, WORD_SLOTS = 1 << 16, 1 << 18
+#: Small maps of the literal map of pairs; the map of words has one for every two words kept.
+PAIR_SLOTS = 1 << 16
 #: The characters of ids begin here, and leave out the surrogates.
 FIRST, SURROGATES, BEHIND = 0x100, 0xD800, 0xE000
 #: Words of more bytes are cut where no piece can reach across, and are not kept.
@@ -77,7 +77,7 @@ class ByteBpe:
         It bounds the literal map and changes the time that encoding takes,
         never its result.
         """
-        self.spark, self.kept_words = spark, kept_words
+        self.spark, self.kept_words, self.word_slots = spark, kept_words, max(1, kept_words >> 1)
         self.pattern = f"(?U){pattern}"
         ranks = read_ranks(path)
         single = [ranks.get(bytes([b])) for b in range(256)]
@@ -179,7 +179,7 @@ class ByteBpe:
         frequent = counted.filter(F.col("count") >= least)
         both = frequent.join(self.whole, "word", "full")
         ids = F.coalesce("ids", self.fold(F.col("word")))
-        return literal(_slots(both.select("word", ids.alias("ids"), F.coalesce("count", F.lit(0)).alias("uses")), "word", "ids", WORD_SLOTS, F.col("uses")))
+        return literal(_slots(both.select("word", ids.alias("ids"), F.coalesce("count", F.lit(0)).alias("uses")), "word", "ids", self.word_slots, F.col("uses")))
 
     def encode(self, df: DataFrame, column: str = "text", out: str = "ids") -> DataFrame:
         """df with the ids of each whole text, an array<int>.
@@ -189,7 +189,7 @@ class ByteBpe:
         encode.
         """
         known = self.kept(df, column)
-        ids = F.transform(self.words(text_or_empty(column)), lambda w: F.coalesce(_find(known, w, WORD_SLOTS), self.fold(w)))
+        ids = F.transform(self.words(text_or_empty(column)), lambda w: F.coalesce(_find(known, w, self.word_slots), self.fold(w)))
         return df.withColumn(out, F.flatten(ids))
 
     def decode(self, df: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
