@@ -321,6 +321,37 @@ def national_reader(t: Tables) -> DataFrame:
     return tables.national_production(tables.survey(t.spark, path, "national"), "Wheat")
 
 
+@query("src_22_population", "SELECT c_nationkey::VARCHAR AS region, year(o_orderdate)::INT AS year, count(DISTINCT o_custkey)::DOUBLE AS population FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL", "population")
+def population_reader(t: Tables) -> DataFrame:
+    """The population of a region's years, from the long regional file beside another variable."""
+    path = scratch(t.spark, "regional")
+    both = F.explode(F.array(F.struct(F.lit(tables.POPULATION_VARIABLE).alias("Variable"), F.col("population").alias("Value")), F.struct(F.lit("Size").alias("Variable"), F.lit(1.0).alias("Value")))).alias("v")
+    long = t.population.select("year", F.concat(F.lit(" "), F.col("region").cast("string")).alias("name"), both, "population")
+    sinks.write_csv(long.select(F.col("v.Variable"), F.col("year").alias("Year"), F.col("name").alias("ABARES region"), F.col("v.Value"), F.lit(None).cast("string").alias("RSE")), path)
+    return tables.population(tables.survey(t.spark, path, "regional"))
+
+
+@query("src_22_per_farm", "SELECT region::VARCHAR AS region, year, area_ha, production_t, yield_t_ha, NULL::DOUBLE AS area_rse, production_rse FROM per_farm", "area_ha production_t yield_t_ha production_rse")
+def per_farm_reader(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "per-farm")
+    sinks.write_csv(t.per_farm.withColumn("region", F.concat(F.col("region").cast("string"), F.lit(" "))), path)
+    return tables.per_farm(t.spark, path)
+
+
+MAPPING = "SELECT lpad((100 + n_nationkey * 29)::VARCHAR, 3, '0') AS aagis_code, n_name AS region_name, r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("src_23", f"SELECT m.*, aagis_code AS alt_code, CASE left(aagis_code, 1) WHEN '1' THEN 'NSW' WHEN '2' THEN 'VIC' WHEN '3' THEN 'QLD' WHEN '4' THEN 'SA' WHEN '5' THEN 'WA' WHEN '6' THEN 'TAS' WHEN '7' THEN 'NT' END AS state FROM ({MAPPING}) m")
+def region_attributes(t: Tables) -> DataFrame:
+    """The regions' attributes from a boundary file."""
+    path, code = scratch(t.spark, "boundaries"), (F.col("region") * 29 + 100).cast("string")
+    attributes = F.to_json(F.struct(F.concat(code, F.lit(" ")).alias("class"), F.concat(F.lit(" "), "region_name").alias("name"), "zone", code.alias("aagis")))
+    feature = F.format_string('{"type":"Feature","properties":%s,"geometry":null}', attributes)
+    whole = t.regions.agg(F.format_string('{"type":"FeatureCollection","features":[%s]}', F.array_join(F.collect_list(feature), ",")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return tables.region_mapping(t.spark, f"{path}/*.txt")
+
+
 @query("snk_07", "SELECT n_name AS name, length(n_name) + 1 AS length, sha256(n_name || chr(10)) AS sha256, CASE WHEN r_name = 'ASIA' THEN 'checked' ELSE 'landed' END AS note FROM nation JOIN region ON n_regionkey = r_regionkey")
 def manifest(t: Tables) -> DataFrame:
     """Digests of files landed one a nation; a later patch replaces the entries of one region."""

@@ -9,6 +9,7 @@ from veldt.functions import scalars as S
 from veldt.functions.stats import weighted_mean
 from veldt.operators import geometry, spatial, survey, timeseries, validate
 from veldt.operators import indicators as I
+from veldt.sources import sinks
 from veldt.sources import tables as sources
 from veldt.sources.scratch import scratch
 
@@ -433,11 +434,6 @@ def still_to_fetch(t: Tables) -> DataFrame:
     return sources.not_landed(t.raw("customer").select("c_custkey"), landed, ["c_custkey"])
 
 
-@query("src_23", "SELECT n_nationkey::VARCHAR AS aagis_code, trim(n_name) AS region_name, r_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey")
-def region_dimension(t: Tables) -> DataFrame:
-    return t.regions.select(F.col("region").cast("string").alias("aagis_code"), F.trim("region_name").alias("region_name"), "zone")
-
-
 @query("src_09", "SELECT l_suppkey, l_shipdate::DATE AS date FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01' AND l_shipdate < TIMESTAMP '1999-02-01'")
 def projected_scan(t: Tables) -> DataFrame:
     day = F.col("l_shipdate")
@@ -494,3 +490,11 @@ def repaired_regions(t: Tables) -> DataFrame:
     counts = whole.groupBy("aagis_code").agg(F.count_if(~F.col("hole")).cast("int").alias("shells"), F.count_if("hole").cast("int").alias("holes"), F.sum(F.size("verts")).cast("int").alias("corners"), F.sum(geometry.ring_area(F.col("verts"))).alias("area"))
     before = geometry.soundness(broken).withColumnRenamed("sound", "sound_before")
     return counts.join(before, "aagis_code").join(geometry.soundness(whole), "aagis_code")
+
+
+@query("snk_05", "SELECT c_custkey AS aagis_code, ring_id::INT AS ring_id, ring_id > 0 AND c_custkey % 4 = 3 AND ring_id = 1 AS hole FROM customer, (SELECT unnest([0, 1, 2]) AS ring_id) r WHERE ring_id < [2, 1, 1, 3][c_custkey % 4 + 1]")
+def repaired_rings_kept(t: Tables) -> DataFrame:
+    """Repaired rings as a sorted table, read again."""
+    path = scratch(t.spark, "repaired")
+    sinks.write_parquet(geometry.repair(broken_regions(t)), path, sort_by=("aagis_code", "ring_id"))
+    return t.spark.read.parquet(path).select("aagis_code", "ring_id", "hole")

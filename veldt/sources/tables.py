@@ -110,6 +110,36 @@ def rings(spark: SparkSession, geojson: str) -> DataFrame:
     return each.select("aagis_code", "ring_id", F.transform("line", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("verts"))
 
 
+#: Attributes of the boundary file: code, name, zone, and the code once more. Fixed values.
+REGION_FIELDS = {"aagis_code": "class", "region_name": "name", "zone": "zone"}
+SECOND_CODE = "aagis"
+
+
+def region_mapping(spark: SparkSession, geojson: str, fields: dict[str, str] | None = None, second: str = SECOND_CODE) -> DataFrame:
+    """aagis_code, region_name, zone, state and alt_code of each feature of a GeoJSON file: trimmed attributes, the state by the code's first digit.
+
+    Missing attributes are NULL; a file in which no feature has one of them is
+    refused when the query runs.
+    """
+    from veldt.functions.scalars import state_of
+
+    wanted = fields or REGION_FIELDS
+    doc = spark.read.text(geojson, wholetext=True).select(F.from_json("value", "struct<features: array<struct<properties: map<string, string>>>>").alias("d"))
+    held = lambda field: F.exists("d.features", lambda f: F.map_contains_key(f["properties"], field))
+    lacking = F.array_compact(F.array(*[F.when(~F.coalesce(held(f), F.lit(False)), F.lit(f)) for f in wanted.values()]))
+    checked = doc.select(F.when(F.size(lacking) == 0, F.col("d.features")).otherwise(F.raise_error(F.concat(F.lit(f"{geojson} lacks "), F.array_join(lacking, ", "))).cast("array<struct<properties: map<string, string>>>")).alias("features"))
+    own = lambda field: F.trim(F.try_element_at("f.properties", F.lit(field)))
+    found = checked.select(F.explode("features").alias("f")).select(*[own(field).alias(name) for name, field in wanted.items()], own(second).alias("alt_code"))
+    return found.withColumn("state", state_of(F.col("aagis_code")))
+
+
+def per_farm(spark: SparkSession, path: str) -> DataFrame:
+    """region, year, area_ha, production_t, yield_t_ha, area_rse, production_rse from a commodity's file: regions trimmed, numbers typed; columns that the file lacks are NULL."""
+    columns = {"year": "int", "area_ha": "double", "production_t": "double", "yield_t_ha": "double", "area_rse": "double", "production_rse": "double"}
+    schema = "region string, " + ", ".join(f"{c} {kind}" for c, kind in columns.items())
+    return csv_safe(spark, path, schema).withColumn("region", F.trim("region"))
+
+
 def named_rings(found: DataFrame, regions: DataFrame) -> DataFrame:
     """Rings with region_name; the name is NULL where no region has the code."""
     return found.join(regions.select("aagis_code", "region_name"), "aagis_code", "left")
