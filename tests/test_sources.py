@@ -168,3 +168,34 @@ def test_population_reads_its_variable_only(spark):
     rows = [("Population", 2000, "a", 5.0, 1.0), ("Size", 2000, "a", 6.0, 1.0)]
     regional = spark.createDataFrame(rows, "variable string, year int, region string, value double, rse double")
     assert tables.population(regional).collect() == [("a", 2000, 5.0)]
+
+
+def test_station_list_is_cached(spark, tmp_path):
+    landed = tmp_path / "list.csv"
+    landed.write_bytes("Number,station_name,Lat,LNG,Elev,first_year\n7,Café,-31.9,115.9,12.5,1910\n".encode("cp1252"))
+    cache = str(tmp_path / "cache")
+    assert [tuple(r) for r in tables.cached_stations(spark, str(landed), cache, ["000007"]).collect()] == [("000007", "Café", -31.9, 115.9, 12.5, 1910, False)]
+    landed.write_text("Number,station_name,Lat,LNG,Elev,first_year\n8,New,-30,115,1,1900\n")
+    assert tables.cached_stations(spark, str(landed), cache).first()["station_id"] == "000007"
+    assert tables.cached_stations(spark, str(landed), cache, fresh=True).first()["station_id"] == "000008"
+    with pytest.raises(FileNotFoundError):
+        tables.cached_stations(spark, str(tmp_path / "none.csv"), str(tmp_path / "other"))
+
+
+def test_region_mapping_of_a_boundary_file(spark, tmp_path):
+    path = tmp_path / "b.geojson"
+    path.write_text('{"features": [{"properties": {"class": " 121", "name": "NSW A ", "zone": "Pastoral", "aagis": "121"}}, {"properties": {"class": "999", "name": null, "zone": "x"}}]}')
+    rows = {tuple(r) for r in tables.region_mapping(spark, str(path)).collect()}
+    assert rows == {("121", "NSW A", "Pastoral", "121", "NSW"), ("999", None, "x", None, None)}
+    path.write_text('{"features": [{"properties": {"name": "a"}}]}')
+    with pytest.raises(Exception, match="lacks class, zone"):
+        tables.region_mapping(spark, str(path)).collect()
+
+
+def test_suggestions_in_any_case(spark):
+    from veldt.operators import sets
+
+    names = spark.createDataFrame([("Asia",), ("asian Sea",), ("Äs",), ("",), (None,)], "n string")
+    wanted = spark.createDataFrame([(1, "AS"), (2, "a"), (3, ""), (4, "asiatic"), (5, None), (6, "SIA"), (1, "as")], "k int, p string")
+    got = sorted((r["k"], r["suggestions"]) for r in sets.suggestions(wanted, "k", "p", names, "n").collect())
+    assert got == [(1, "Asia;asian Sea"), (1, "Asia;asian Sea"), (2, "Asia;asian Sea"), (3, ";Asia;asian Sea;Äs"), (4, None), (5, None), (6, "Asia;asian Sea")]

@@ -60,8 +60,9 @@ def monthly_climatology(parts: DataFrame) -> DataFrame:
 
 
 def baselines(series: DataFrame, periods: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and number of years of annual values in each period (baseline, first, last)."""
-    inside = series.join(F.broadcast(periods), F.col("year").between(F.col("first"), F.col("last")))
+    """Mean and number of years of annual values in each period (baseline, first, last); periods may overlap."""
+    years = periods.select("baseline", F.explode(F.sequence("first", "last")).alias("year"))
+    inside = series.join(years, "year")
     return inside.groupBy(*keys, "baseline").agg(F.avg("value").alias("mean_value"), F.countDistinct("year").cast("int").alias("n_years"))
 
 

@@ -45,7 +45,7 @@ def coverage_summary(coverage: DataFrame) -> DataFrame:
 
 def reference_check(regions: DataFrame, reference: DataFrame, temperature: float = 3.0, rain_percent: float = 45.0) -> DataFrame:
     """Region climate against station normals (aagis_code, ref_max, ref_min, ref_rain), with tolerance flags; values to one place."""
-    both = regions.join(F.broadcast(reference), "aagis_code")
+    both = regions.join(reference, "aagis_code")
     dmax, dmin = F.col("max_temp") - F.col("ref_max"), F.col("min_temp") - F.col("ref_min")
     drain = F.lit(100.0) * F.try_divide(F.col("daily_rain") - F.col("ref_rain"), F.col("ref_rain"))
     return both.select(

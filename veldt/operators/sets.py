@@ -25,10 +25,13 @@ def missing_from(part: DataFrame, whole: DataFrame, columns: list[str]) -> DataF
 def suggestions(wanted: DataFrame, key: str, part: str, names: DataFrame, name: str) -> DataFrame:
     """For each row of wanted the names that hold its part in any case, sorted and joined by ";"; NULL if none does.
 
-    names is a list of allowed values, small by its nature: it is one row, an
-    array, that meets every row of wanted.
+    Parts and names meet on the first two letters of the part, which a name
+    has to hold somewhere; an empty part is held by every name.
     """
-    known = names.agg(F.array_sort(F.collect_set(name)).alias("known"))
-    near = F.filter("known", lambda n: F.contains(F.lower(n), F.lower(F.col(part))))
-    found = wanted.crossJoin(F.broadcast(known))
-    return found.select(key, F.when(F.size(near) > 0, F.array_join(near, ";")).alias("suggestions"))
+    letters = F.sequence(F.lit(1), F.char_length("low"))
+    twos = F.when(F.char_length("low") > 0, F.flatten(F.array(F.transform(letters, lambda i: F.substring("low", i, F.lit(2))), F.transform(letters, lambda i: F.substring("low", i, F.lit(1))))))
+    hooks = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.coalesce(twos, F.array(F.lit("")))))).alias("hook")
+    known = names.select(F.col(name).alias("name"), F.lower(name).alias("low")).dropna().distinct().select("name", "low", hooks)
+    asked = wanted.select(F.lower(part).alias("part")).dropna().distinct().withColumn("hook", F.left("part", F.lit(2)))
+    held = asked.join(known, "hook").filter(F.contains("low", "part")).groupBy("part").agg(F.array_join(F.array_sort(F.collect_set("name")), ";").alias("suggestions"))
+    return wanted.select(F.col(key), F.lower(part).alias("part")).join(held, "part", "left").select(key, "suggestions")

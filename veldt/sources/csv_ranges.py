@@ -147,3 +147,12 @@ def csv_texts(spark: SparkSession, path: str, names: Sequence[str], na: Iterable
     before = F.coalesce(F.sum("quotes").over(whole.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = judged.select("uri", "start", "end", fits.alias("fits"), before.alias("before")).repartition(n)
     return known.mapInPandas(_parse(tuple(names), frozenset(na), chosen), ", ".join(f"`{c}` string" for c in names))
+
+
+def plain_header(path: str) -> list[str]:
+    """The column names of a CSV file, or of the first one below a folder, in any of its encodings: names are plain letters."""
+    found = files(path, (".csv",))
+    if not found:
+        raise FileNotFoundError(f"no CSV in {path}")
+    with opened(found[0][0]) as f:
+        return _header(f, "latin-1" if not _fits(f.read(BEYOND), False, b"", "utf-8") else "utf-8")

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from veldt import schema as S
 
-from .csv_ranges import RANGE, csv_texts
+from .csv_ranges import RANGE, csv_texts, plain_header
+from .sinks import write_parquet
 
 #: Encodings in the order they are tried. Fixed values.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
@@ -85,6 +86,20 @@ def stations(raw: DataFrame, unavailable: Iterable[str] = ()) -> DataFrame:
     return found.select(ids.alias("station_id"), F.trim("name").alias("name"), number("latitude", "double"), number("longitude", "double"), number("elevation_m", "double"), number("start_year", "int"), available)
 
 
+def cached_stations(spark: SparkSession, landed: str, cache: str, unavailable: Iterable[str] = (), fresh: bool = False) -> DataFrame:
+    """The station list from its cached table, or from the landed CSV, which is then cached; fresh takes the landed one anyway.
+
+    The landed file is read with the fallback of encodings, its columns by
+    their synonyms. Availability is not cached: it is that of this call.
+    """
+    if fresh or not exists(spark, cache):
+        named = plain_header(landed)
+        text = csv_texts(spark, landed, named, ("",), ENCODINGS)
+        write_parquet(stations(text).drop("available"), cache, sort_by=("station_id",))
+    bad = list(unavailable)
+    return spark.read.parquet(cache).withColumn("available", ~F.col("station_id").isin(*bad) if bad else F.lit(True))
+
+
 def grid(spark: SparkSession, folder: str, variables: Iterable[str] | None = None, years: Iterable[int] | None = None) -> DataFrame:
     """Daily cells from Parquet partitioned by variable and year; both filters prune folders."""
     df = spark.read.parquet(folder)
