@@ -3,7 +3,8 @@
 Two zstandard dictionaries are made, of toxic and of ordinary text. The
 ordinary one is trained by zstandard. Its training of a toxic one finds too
 few of the rare words that make a text toxic (see the README for figures), so
-that one's content is chosen by contrast with ordinary text. A text is cut into short overlapping windows; each window is compressed with either
+that one's content is chosen by contrast with ordinary text. A text is cut
+into short overlapping windows; each window is compressed with either
 dictionary, and what the toxic one saves says how toxic the window is. A
 logistic threshold over the largest savings is calibrated on labelled texts
 that the dictionaries have not seen.
@@ -27,6 +28,8 @@ from .common import text_or_empty
 #: Below 64 bytes zstandard leaves literals as they are, so lengths show matches alone.
 WINDOW, STRIDE = 60, 40
 GRAM = 5
+#: A gram marks toxic text if it stands in this share of toxic texts and in so many times the share of ordinary ones.
+LEAST_SHARE, RATIO = 0.02, 20.0
 #: zstandard looks for no match that begins in the last 8 bytes.
 PADDING = b" " * 12
 FEATURES = 5
@@ -95,17 +98,19 @@ def _grams(text: str) -> set[str]:
 def toxic_content(toxic: list[str], ordinary: list[str], size: int) -> bytes:
     """Dictionary content: the runs of letters that toxic texts have and ordinary ones lack.
 
-    A run is made of GRAM-letter grams that at least 0.8 % of the toxic and
-    at most 0.03 % of the ordinary texts contain. The runs of most texts and
-    letters stand nearest to the end, where matches are cheapest.
+    A run is made of GRAM-letter grams that at least LEAST_SHARE of the toxic
+    texts contain, and RATIO times as large a share of them as of the ordinary
+    ones, both smoothed by half a text. The runs of most texts and letters
+    stand nearest to the end, where matches are cheapest.
     """
     ours, theirs = Counter(), Counter()
     for text in toxic:
         ours.update(_grams(text))
     for text in ordinary:
         theirs.update(g for g in _grams(text) if g in ours)
-    least, most = max(2, 0.008 * len(toxic)), 0.0003 * len(ordinary)
-    marks = {g for g, n in ours.items() if n >= least and theirs[g] <= most}
+    least = max(2, LEAST_SHARE * len(toxic))
+    ratio = lambda g: (ours[g] + 0.5) * (len(ordinary) + 1) / ((theirs[g] + 0.5) * (len(toxic) + 1))
+    marks = {g for g, n in ours.items() if n >= least and ratio(g) >= RATIO}
     runs: Counter[str] = Counter()
     for text in toxic:
         own, start = set(), -1
