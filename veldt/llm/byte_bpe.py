@@ -71,7 +71,7 @@ def _rank(char: Column) -> Column:
 class ByteBpe:
     """Encoder and decoder for one rank file and pattern."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str, kept_words: int = 1 << 20):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, kept_words: int = 1 << 19):
         """kept_words: at most so many frequent words are kept folded, besides the pieces.
 
         It bounds the literal map and changes the time that encoding takes,
