@@ -177,6 +177,30 @@ def test_toxicity_on_held_out_texts(spark):
     assert got[9000]["score"] == got[9001]["score"] < 0.5
 
 
+def test_features_equal_a_plain_loop():
+    """Every window compressed by itself with either dictionary."""
+    r = random.Random(6)
+    words = ["zorkface", "blarg", "gentle", "sun", "tree", "ÄÖ", "river"]
+    model = toxicity.ToxicityModel(b"zorkface\0blarg\0", b"gentle sun tree river")
+    pair = model.compressors()
+    for n in (0, 1, 5, 30, 400):
+        text = " ".join(r.choices(words, k=n))
+        data = text.lower().encode()
+        if data:
+            data += toxicity.PADDING
+        saved = [len(pair[1].compress(w)) - len(pair[0].compress(w)) for w in (data[at : at + toxicity.WINDOW] for at in range(0, max(len(data) - (toxicity.WINDOW - toxicity.STRIDE), 1), toxicity.STRIDE))] if data else []
+        top = (sorted(saved, reverse=True) + [0] * 3)[:3]
+        assert toxicity.features(text, pair) == pytest.approx([*top, np.log1p(sum(s >= 2 for s in saved)), np.log1p(len(saved))])
+
+
+def test_marks_need_a_share_and_a_ratio():
+    toxic = [f"text {i} of a zorkface here" for i in range(100)] + [f"other {i} plain" for i in range(100)]
+    ordinary = [f"text {i} of a person here" for i in range(399)] + ["one zorkface by chance"]
+    content = toxicity.toxic_content(toxic, ordinary, 1000)
+    assert b"zorkface" in content and b"person" not in content and b"text" not in content
+    assert b"zork" not in toxicity.toxic_content(toxic, ordinary + ["text of a zorkface here"] * 100, 1000)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
