@@ -105,3 +105,13 @@ def test_conservation_and_cells_by_region(spark):
     assert {tuple(x) for x in validate.cells_by_region(cells, rings, 2).collect()} == {("a", 2, True), ("b", 0, False)}
     levels = spark.createDataFrame([(True, True), (False, True), (True, False)], "t005 boolean, t010 boolean")
     assert [tuple(x) for x in validate.monotone_thresholds(levels, ["t005", "t010"]).collect()] == [("t010_subset_of_t005", 1, False)]
+
+
+def test_places_over_many_ranges(spark):
+    from veldt.operators.ranking import placed
+
+    df = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("k"), (F.col("id") % 10).alias("v"), F.lit("x").alias("rows_before_all"))
+    got = {r["k"]: r["place"] for r in placed(df.repartition(7), [F.desc("v"), F.asc("k")]).collect()}
+    order = sorted(((i % 10, i * 7919 % 3001) for i in range(3000)), key=lambda x: (-x[0], x[1]))
+    assert got == {k: i + 1 for i, (_, k) in enumerate(order)}
+    assert placed(df.limit(0), [F.asc("k")]).count() == 0

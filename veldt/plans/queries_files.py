@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.operators import sets, validate
+from veldt.operators.ranking import placed
 from veldt.sources import geotiff, ingest, netcdf, sinks, tables, xlsx
 from veldt.sources.scratch import scratch
 
@@ -224,9 +225,8 @@ def sorted_by_statistic(t: Tables) -> DataFrame:
 
 
 def _placed(regions: DataFrame, by: str) -> DataFrame:
-    """regions, one row for each, with their place in descending order."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("order"), "region", by)))
-    return regions.agg(rows.alias("rows")).select(F.posexplode("rows")).select("col.region", f"col.{by}", (F.col("pos") + 1).cast("long").alias("place"))
+    """regions with their place in descending order, ties by name."""
+    return placed(regions, [F.desc(by), F.asc("region")])
 
 
 @query("set_02", "SELECT cell_id, date, daily_rain FROM obs WHERE year(date) IN (1996, 1997)", "daily_rain")
