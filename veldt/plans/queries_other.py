@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldt.functions import scalars as S
-from veldt.functions.stats import weighted_mean
 from veldt.operators import geometry, spatial, survey, timeseries, validate
 from veldt.operators import indicators as I
 from veldt.sources import sinks
