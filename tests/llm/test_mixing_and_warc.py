@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veldt.llm import mixing, warc
 
@@ -103,3 +104,12 @@ def test_records_are_well_formed(spark):
         head, block = r["record"].split("\r\n\r\n", 1)
         assert head.startswith("WARC/1.1\r\nWARC-Type: ") and f"WARC-Refers-To: {r['refers_to']}" in head
         assert block[:-4] == r["block"]
+
+
+def test_derived_records_replace_columns_of_their_names(spark):
+    source = warc.responses(spark.createDataFrame([(1, "u", "<p>a<script>let x = 1")], "page_id long, url string, html string"))
+    clash = source.withColumns({"block": F.lit("own"), "Refers_To": F.lit("own"), "note": F.lit("kept")})
+    got = warc.derive(clash)
+    assert len({c.lower() for c in got.columns}) == len(got.columns)
+    rows = {r["record_type"]: r for r in got.collect()}
+    assert rows["conversion"]["block"] == "a" and rows["conversion"]["note"] == "kept" and rows["metadata"]["refers_to"] != "own"
