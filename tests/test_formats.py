@@ -119,6 +119,17 @@ def test_cube_round_trip_and_pruning(spark, tmp_path):
     assert not [f for _, _, names in os.walk(tmp_path) for f in names if "part-" in f]
 
 
+def test_cube_rows_are_reduced_before_files(spark, tmp_path):
+    """A thousand rows of each cell and date leave one, NaN counts as missing."""
+    rows = spark.range(6000).select(F.lit("rain").alias("variable"), F.date_add(F.lit("1996-12-31").cast("date"), (F.col("id") % 2).cast("int")).alias("date"), (F.col("id") % 3).cast("double").alias("lat"), F.lit(1.0).alias("lon"), F.when(F.col("id") % 6 < 5, F.when(F.col("id") % 12 > 6, F.lit(float("nan"))).otherwise(F.col("id").cast("double"))).alias("value"))
+    files = netcdf.write_cube(rows, str(tmp_path))
+    assert spark.read.parquet(*files.inputFiles()).count() == 6
+    assert sorted(r["records"] for r in files.collect()) == [1, 1]
+    got = {(r["date"].year, r["lat"]): r["value"] for r in netcdf.cube(spark, str(tmp_path)).collect()}
+    want = {(1996 + i % 2, float(i % 3)): None if i == 5 else max(n for n in range(i, 6000, 6) if n % 12 <= 6) for i in range(6)}
+    assert got == want
+
+
 def test_empty_cube(spark, tmp_path):
     none = spark.createDataFrame([], "variable string, date date, lat double, lon double, value double")
     assert netcdf.write_cube(none, str(tmp_path)).count() == 0

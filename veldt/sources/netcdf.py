@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from .scratch import written
 from .stores import files, opened, published, ship
 
 #: Type codes of the format: numpy kinds, big-endian. Fixed values.
@@ -305,21 +306,23 @@ def header_bytes(variable: str, n_records: int, lats, lons, units: str, fill: fl
 def write_cube(cells: DataFrame, folder: str) -> DataFrame:
     """Writes variable, date, lat, lon, value as <folder>/<variable>/<year>.<variable>.nc; path and records of each file.
 
-    Lazy: files are written when the result is read. A file's axes are the
-    latitudes and longitudes that its rows hold, its records their dates;
-    cells without a row or a value are missing. Of rows of one cell and date
-    the largest value stays; rows with a NULL key are left out. A file is
-    written by one task, record by record in the order of dates, so a task
-    holds one record's grid and not the file; it gets its name when it is
-    whole.
+    Files are written when the result is read. Of rows of one cell and date
+    the largest value stays: that reduction runs first, in all tasks, and is
+    kept as a table below the scratch folder, so what is sent to the files is
+    bounded by grid and dates. A file's axes are the latitudes and longitudes
+    that its rows hold, its records their dates; cells without a row or a
+    value are missing; rows with a NULL key are left out. A file is written
+    by one task, record by record in the order of dates, so a task holds one
+    record's grid and not the file; it gets its name when it is whole.
     """
     ship(cells.sparkSession)
     folder = folder.rstrip("/")
-    of = ["variable", "year"]
-    keyed = cells.select("variable", F.year("date").alias("year"), F.unix_date("date").alias("day"), "lat", "lon", F.col("value").cast("double").alias("value")).dropna(subset=["variable", "day", "lat", "lon"])
+    of, value = ["variable", "year"], F.col("value").cast("double")
+    keyed = cells.select("variable", F.year("date").alias("year"), F.unix_date("date").alias("day"), "lat", "lon", F.when(~F.isnan(value), value).alias("value")).dropna(subset=["variable", "day", "lat", "lon"])
+    reduced = written(keyed.groupBy(*of, "day", "lat", "lon").agg(F.max("value").alias("value")), "cube-rows")
     # a file's shape comes as the first of its rows
-    shape = keyed.groupBy(*of).agg(F.countDistinct("day").cast("int").alias("n"), F.array_sort(F.collect_set("lat")).alias("lats"), F.array_sort(F.collect_set("lon")).alias("lons"))
-    rows = shape.unionByName(keyed, allowMissingColumns=True).repartition(*of).sortWithinPartitions(*of, F.asc_nulls_first("day"))
+    shape = reduced.groupBy(*of).agg(F.countDistinct("day").cast("int").alias("n"), F.array_sort(F.collect_set("lat")).alias("lats"), F.array_sort(F.collect_set("lon")).alias("lons"))
+    rows = shape.unionByName(reduced, allowMissingColumns=True).repartition(*of).sortWithinPartitions(*of, F.asc_nulls_first("day"))
     return rows.select(*of, "day", "lat", "lon", "value", "n", "lats", "lons").mapInPandas(lambda batches: _written(batches, folder), "path string, records int")
 
 
