@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldt.operators import quantiles, validate
+from veldt.plans import catalogue, queries_files
 from veldt.sources import ingest, netcdf
 
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("most", [10, 100_000])
 def test_percentiles_equal_sorted_lists(spark, monkeypatch, most):
@@ -115,3 +118,10 @@ def test_places_over_many_ranges(spark):
     order = sorted(((i % 10, i * 7919 % 3001) for i in range(3000)), key=lambda x: (-x[0], x[1]))
     assert got == {k: i + 1 for i, (_, k) in enumerate(order)}
     assert placed(df.limit(0), [F.asc("k")]).count() == 0
+
+
+def test_years_to_ingest_are_read_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries_files.ingest, "ingest", lambda units, mask, plan: seen.append(units) or spark.createDataFrame([], ingest.STATUS))
+    catalogue.queries()["src_20"](spark, SMALL)
+    assert len(seen) == 2 and all("l_shipdate" not in units._jdf.queryExecution().optimizedPlan().toString() for units in seen)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veldt.operators import sets, validate
 from veldt.operators.ranking import placed
 from veldt.sources import geotiff, ingest, netcdf, sinks, tables, xlsx
-from veldt.sources.scratch import scratch
+from veldt.sources.scratch import scratch, written
 
 from .adapt import Tables
 from .catalogue import query
@@ -74,23 +74,23 @@ def cube_files(t: Tables, variables: tuple[str, ...]) -> tuple[str, DataFrame]:
 @query("src_04", f"SELECT * FROM ({CUBE}) q WHERE variable = 'daily_rain' AND year IN (1995, 1996) AND value IS NOT NULL", "lat lon value")
 def cube_scan(t: Tables) -> DataFrame:
     """Two years of one variable; the other files stay closed."""
-    folder, written = cube_files(t, ("daily_rain", "max_temp"))
-    written.count()
+    folder, files = cube_files(t, ("daily_rain", "max_temp"))
+    files.count()
     return netcdf.cube(t.spark, folder, missing="drop").filter("variable = 'daily_rain' AND year IN (1995, 1996)")
 
 
 @query("src_05", f"SELECT month(date)::INT AS month, lat, lon, avg(value) AS value FROM ({CUBE}) q WHERE variable = 'min_temp' AND year = 1996 GROUP BY ALL HAVING avg(value) IS NOT NULL", "lat lon value")
 def indicator_cube(t: Tables) -> DataFrame:
     """Monthly means of one file by name, as indicators read them."""
-    folder, written = cube_files(t, ("min_temp",))
-    written.count()
+    folder, files = cube_files(t, ("min_temp",))
+    files.count()
     return netcdf.cube_year(t.spark, folder, "min_temp", 1996).groupBy(F.month("date").alias("month"), "lat", "lon").agg(F.avg("value").alias("value")).dropna(subset=["value"])
 
 
 @query("snk_04", "SELECT variable || '/' || year(date) || '.' || variable || '.nc' AS file, count(DISTINCT date)::INT AS records FROM stacked JOIN cells USING (cell_id) WHERE variable IN ('daily_rain', 'max_temp') GROUP BY variable, year(date)")
 def cubes_written(t: Tables) -> DataFrame:
-    folder, written = cube_files(t, ("daily_rain", "max_temp"))
-    return written.select(F.substring_index("path", "/", -2).alias("file"), "records")
+    folder, files = cube_files(t, ("daily_rain", "max_temp"))
+    return files.select(F.substring_index("path", "/", -2).alias("file"), "records")
 
 
 INGESTED = ", ".join(f"('{v}', {a}, '{x}', '{y}')" for v, a, x, y in (("daily_rain", 1, "done", "already"), ("max_temp", 1, "done", "already"), ("min_temp", 1, "error", "done"), ("evap_pan", 0, "skipped", "skipped")))
@@ -100,10 +100,10 @@ MASKED = f"SELECT variable, count(*) AS present FROM ({CUBE}) q WHERE (lat, lon)
 @query("src_20", f"SELECT run::INT AS run, s.variable, CASE run WHEN 1 THEN first ELSE second END AS status, CASE WHEN all_years = 1 THEN (SELECT count(DISTINCT year(date)) FROM obs) ELSE 1 END AS units, CASE WHEN CASE run WHEN 1 THEN first ELSE second END = 'done' THEN present ELSE 0 END AS present FROM (VALUES {INGESTED}) s(variable, all_years, first, second) CROSS JOIN (VALUES (1), (2)) r(run) LEFT JOIN ({MASKED}) m ON m.variable = s.variable")
 def ingest_runs(t: Tables) -> DataFrame:
     """Two runs over the same units: what had not landed fails at first and is all that the second run does; a year before the variable's first is skipped."""
-    landed, written = cube_files(t, ("daily_rain", "max_temp"))
-    written.count()
+    landed, cubes = cube_files(t, ("daily_rain", "max_temp"))
+    cubes.count()
     plan = ingest.Ingest(landed, scratch(t.spark, "masked"), scratch(t.spark, "ingest-log"), {"evap_pan": 1970})
-    years = t.obs.select(F.year("date").alias("year")).distinct()
+    years = written(t.raw("lineitem").select(F.year("l_shipdate").alias("year")).distinct(), "years")
     units = years.select(F.explode(F.array(*map(F.lit, ("daily_rain", "max_temp", "min_temp")))).alias("variable"), "year")
     units = units.unionByName(t.spark.range(1).select(F.lit("evap_pan").alias("variable"), F.lit(1969).alias("year")))
     mask = t.cells.filter("cell_id % 10 >= 5")
@@ -128,8 +128,8 @@ def raster_files(t: Tables) -> tuple[str, DataFrame]:
 @query("src_13", f"SELECT code::DOUBLE AS value, count(*) AS pixels, sum(112 + (col + 5e-1) * 5e-1) AS x, sum(-10 - (\"row\" + 5e-1) * 25e-2) AS y FROM ({RASTER}) r WHERE code IS NOT NULL GROUP BY code", "value x y")
 def raster_histogram(t: Tables) -> DataFrame:
     """Codes counted over the blocks of tiled files, with the sums of their pixels' coordinates."""
-    folder, written = raster_files(t)
-    written.count()
+    folder, files = raster_files(t)
+    files.count()
     pixels = geotiff.raster_pixels(t.spark, folder, blocks=4).dropna(subset=["value"])
     return pixels.groupBy("value").agg(F.count("*").alias("pixels"), F.sum("x").alias("x"), F.sum("y").alias("y"))
 
@@ -139,15 +139,15 @@ RASTER_BANDS = f"SELECT \"row\" // {2 * RASTER_TILE} AS band, max(col) + 1 AS wi
 
 @query("src_14", f"SELECT 'EPSG:4326' AS crs, width::INT AS width, height::INT AS height, 1::INT AS count, 'uint8' AS dtype, 0e0 AS nodata, 112e0 AS west, -10 - band * {2 * RASTER_TILE} * 25e-2 AS north, 112 + width * 5e-1 AS east, -10 - (band * {2 * RASTER_TILE} + height) * 25e-2 AS south, 5e-1 AS res_x, 25e-2 AS res_y FROM ({RASTER_BANDS}) b", "nodata west north east south res_x res_y")
 def raster_files_described(t: Tables) -> DataFrame:
-    folder, written = raster_files(t)
-    written.count()
+    folder, files = raster_files(t)
+    files.count()
     return geotiff.raster_metadata(t.spark, folder).drop("path", "blocks")
 
 
 @query("snk_08", f"SELECT format('band-{{:06d}}.tif', band::INT) AS file, tiles::INT AS tiles FROM ({RASTER_BANDS}) b")
 def rasters_written(t: Tables) -> DataFrame:
-    folder, written = raster_files(t)
-    return written.select(F.substring_index("path", "/", -1).alias("file"), "tiles")
+    folder, files = raster_files(t)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), "tiles")
 
 
 UNAVAILABLE = ("000003", "000007")
