@@ -213,3 +213,18 @@ def test_points_that_repeat_keep_their_region(spark):
     points = spark.createDataFrame([(1, 3.0, 3.0), (2, 3.0, 3.0), (3, 1.5, 1.5), (4, None, 3.0)], "id int, lat double, lon double")
     found = {r["id"]: r["aagis_code"] for r in spatial.assign_regions(points, rings).collect()}
     assert found == {1: "a", 2: "a", 3: None, 4: None}
+
+
+def test_densified_makes_days_behind_the_join(spark):
+    """As a join of all made days gives it: rows of one day, days outside, keys without rows, keys that are NULL or stand twice."""
+    rows = [(1, "2000-01-03", 1.0), (1, "2000-01-03", 2.0), (1, "2000-01-07", None), (2, "2000-01-01", 3.0), (2, "2000-01-09", 4.0), (3, "1999-12-31", 5.0), (3, "2000-01-10", 6.0), (3, None, 7.0), (5, "2000-01-02", 8.0), (5, "2000-01-02", 8.5), (None, "2000-01-02", 9.0)]
+    df = spark.createDataFrame(rows, "k int, d string, v double").withColumn("d", F.col("d").cast("date"))
+    keys = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,), (5,), (None,)], "k int").coalesce(1)
+    first, last = F.lit(dt.date(2000, 1, 1)), F.lit(dt.date(2000, 1, 9))
+    got = timeseries.densified(df, keys, "d", first, last)
+    want = keys.withColumn("d", F.explode(F.sequence(first, last))).join(df, ["k", "d"], "left")
+    assert got.columns == want.columns and got.count() == want.count() == 7 * 9 + 3
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join LeftOuter")
+    assert "Exchange" not in got.groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString().split("Generate")[0]

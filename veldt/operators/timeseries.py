@@ -36,9 +36,28 @@ def longest_run(df: DataFrame, keys: list[str], day: str, condition: Column, nam
 
 
 def densified(df: DataFrame, keys: DataFrame, day: str, first: Column, last: Column) -> DataFrame:
-    """One row for each key and day between two dates, df's values where it has them."""
-    days = keys.withColumn(day, F.explode(F.sequence(first, last)))
-    return days.join(df, [*keys.columns, day], "left")
+    """One row for each key and day between two dates, df's values where it has them.
+
+    Keys meet df's rows first, and each row then makes the days up to the
+    key's next one. So df's rows are all that is sent and sorted, made days
+    never are, and what is grouped by the keys later finds them in place.
+    Keys that stand more than once have their rows as often. The number of
+    partitions is fixed, because Spark would merge those whose rows are few
+    before the days are made.
+    """
+    own, here = keys.columns, F.col("densified_day")
+    values = [c for c in df.columns if c not in (*own, day)]
+    held = df.filter(F.col(day).between(first, last)).withColumnRenamed(day, "densified_day")
+    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own)
+    met = dealt.groupBy(*own).agg(F.count("*").cast("int").alias("densified_copies")).join(held, own, "left")
+    along = Window.partitionBy(*own).orderBy("densified_day")
+    before, after = F.lag(here).over(along), F.lead(here).over(along)
+    # rows of one day: the last one makes the days behind it
+    until = F.when(F.col("densified_after").isNull(), last).otherwise(F.greatest(here, F.date_sub("densified_after", 1)))
+    days = F.sequence(F.when(F.col("densified_before").isNull(), first).otherwise(here), until)
+    copies = F.col("densified_copies")
+    made = met.withColumns({"densified_before": before, "densified_after": after}).withColumn(day, F.explode(F.when(copies > 1, F.flatten(F.array_repeat(days, copies))).otherwise(days)))
+    return made.select(*own, day, *[F.when(F.col(day) == here, F.col(v)).alias(v) for v in values])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
