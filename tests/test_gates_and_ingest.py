@@ -120,6 +120,13 @@ def test_places_over_many_ranges(spark):
     assert placed(df.limit(0), [F.asc("k")]).count() == 0
 
 
+@pytest.mark.parametrize("key", ["val_14", "join_18", "stat_11", "stat_12"])
+def test_months_are_made_once(spark, key):
+    """Fits and values read the same table of months, not the lines again."""
+    plan = catalogue.queries()[key](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "Relation" in plan
+
+
 def test_years_to_ingest_are_read_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(queries_files.ingest, "ingest", lambda units, mask, plan: seen.append(units) or spark.createDataFrame([], ingest.STATUS))

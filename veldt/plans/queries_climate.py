@@ -205,7 +205,8 @@ GAMMA_CDF = "CASE WHEN x <= 0 THEN 0e0 ELSE least(1e0, list_sum(list_transform(r
 
 @query("stat_11", f"SELECT cell_id, year, s.month, {GAMMA_CDF} AS cdf FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) p USING (cell_id, month) WHERE shape IS NOT NULL", "cdf")
 def gamma_probabilities(t: Tables) -> DataFrame:
-    sums = I.accumulated(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain", 3).join(spi_params(t), ["cell_id", "month"])
+    months = written(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain-months")
+    sums = I.accumulated(months, "rain", 3).join(I.fit_spi(months, "rain", 3, 1995, 1999), ["cell_id", "month"])
     from veldt.functions.scalars import gamma_cdf
 
     return sums.filter("shape IS NOT NULL").select("cell_id", "year", "month", gamma_cdf(F.col("accumulated"), F.col("shape"), F.col("scale")).alias("cdf"))
@@ -233,6 +234,12 @@ def spei_params(t: Tables) -> DataFrame:
     return I.fit_spei(I.water_balance(t.whole), "balance", 3, 1995, 2001)
 
 
+def balances_with_fits(t: Tables) -> DataFrame:
+    """Months are made once, for the sums and for the fits."""
+    months = written(I.water_balance(t.whole), "balance-months")
+    return I.accumulated(months, "balance", 3).join(I.fit_spei(months, "balance", 3, 1995, 2001), ["cell_id", "month"])
+
+
 @query("ind_06", SPEI_FIT, "alpha beta gamma")
 def spei_fit(t: Tables) -> DataFrame:
     return spei_params(t)
@@ -250,8 +257,7 @@ FISK = "CASE WHEN x > gamma THEN 1e0 / (1e0 + pow((x - gamma) / alpha, -beta)) E
 def loglogistic_probabilities(t: Tables) -> DataFrame:
     from veldt.functions.scalars import fisk_cdf
 
-    sums = I.accumulated(I.water_balance(t.whole), "balance", 3).join(spei_params(t), ["cell_id", "month"])
-    return sums.select("cell_id", "year", "month", fisk_cdf(F.col("accumulated"), F.col("alpha"), F.col("beta"), F.col("gamma")).alias("cdf"))
+    return balances_with_fits(t).select("cell_id", "year", "month", fisk_cdf(F.col("accumulated"), F.col("alpha"), F.col("beta"), F.col("gamma")).alias("cdf"))
 
 
 SPEI_VALUES = f"SELECT cell_id, year, month, CASE WHEN p IS NOT NULL THEN {normal_quantile_sql('p')} END AS spei FROM (SELECT cell_id, year, s.month, least(greatest({FISK}, 1e-6), 1e0 - 1e-6) * CASE WHEN x > gamma THEN 1 END AS p FROM ({BALANCE_SUMS.format(where='')}) s JOIN ({SPEI_FIT}) f USING (cell_id, month)) z"
@@ -265,7 +271,7 @@ def spei_values(t: Tables) -> DataFrame:
 
 @query("join_18", f"SELECT cell_id, year, s.month, x AS accumulated, alpha FROM ({BALANCE_SUMS.format(where='')}) s JOIN ({SPEI_FIT}) p USING (cell_id, month)", "accumulated alpha")
 def parameters_by_month(t: Tables) -> DataFrame:
-    return I.accumulated(I.water_balance(t.whole), "balance", 3).join(spei_params(t), ["cell_id", "month"]).select("cell_id", "year", "month", "accumulated", "alpha")
+    return balances_with_fits(t).select("cell_id", "year", "month", "accumulated", "alpha")
 
 
 @query("stat_13", f"SELECT p_partkey, {normal_quantile_sql('p')} AS z FROM (SELECT p_partkey, ((p_partkey * 7919) % 9973 + 5e-1) / 9973e0 AS p FROM part) q", "z")

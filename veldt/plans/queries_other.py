@@ -10,7 +10,7 @@ from veldt.operators import geometry, spatial, survey, timeseries, validate
 from veldt.operators import indicators as I
 from veldt.sources import sinks
 from veldt.sources import tables as sources
-from veldt.sources.scratch import scratch
+from veldt.sources.scratch import scratch, written
 
 from .adapt import Tables
 from .catalogue import query
@@ -188,8 +188,9 @@ def zones(t: Tables) -> DataFrame:
     f"SELECT unnest(['beta_share', 'mean', 'spread']) AS \"check\", unnest([(SELECT count(*) FILTER (beta > 1) / count(*)::DOUBLE >= 0.8 FROM ({SPEI_FIT}) f), (SELECT abs(avg(spei)) <= 0.5 FROM ({SPEI_VALUES}) v), (SELECT stddev_pop(spei) > 0.5 AND stddev_pop(spei) < 1.5 FROM ({SPEI_VALUES}) v)]) AS ok",
 )
 def spei_gates(t: Tables) -> DataFrame:
-    months = I.water_balance(t.whole)
-    params = I.fit_spei(months, "balance", 3, 1995, 2001)
+    """Months are made once, for the fits and for the values."""
+    months = written(I.water_balance(t.whole), "balance-months")
+    params = written(I.fit_spei(months, "balance", 3, 1995, 2001), "balance-fits")
     return validate.spei_gates(params, I.spei(months, params, "balance", 3))
 
 
