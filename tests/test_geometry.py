@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veldt.operators import geometry as G
 from veldt.operators import spatial
+from veldt.plans import catalogue
 
 SQUARE = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
 #: Rings, and what is right: areas of the repaired rings, holes negative.
@@ -113,3 +114,22 @@ def test_far_points_look_at_few_cells(spark):
     plan = spatial._nearest_by_descent(points, cells, "id")
     met = spatial._tiles_left(points, cells, "id").join(cells.select(*[F.floor((F.col(c) - low) / spatial.LEVELS[-1]).alias(n) for c, low, n in (("lon", -180.0, "tile_x"), ("lat", -90.0, "tile_y"))]), ["tile_x", "tile_y"]).count()
     assert plan.count() == 2 and met < 2000
+
+
+def test_few_sides_as_many(monkeypatch):
+    """Plain loops and arrays give the same rings, bit by bit."""
+    r = random.Random(5)
+    point = lambda: (float(r.randrange(9)), float(r.randrange(9))) if r.random() < 0.7 else (r.random() * 9, r.random() * 9)
+    drawn = [[[point() for _ in range(r.randrange(3, 9))] for _ in range(r.randrange(1, 4))] for _ in range(200)]
+    few = [(G.repaired(rings), G.is_sound([[*ring, ring[0]] for ring in rings])) for rings in drawn]
+    monkeypatch.setattr(G, "FEW", 0)
+    assert [(G.repaired(rings), G.is_sound([[*ring, ring[0]] for ring in rings])) for rings in drawn] == few
+
+
+def test_repair_is_dealt_over_tasks_and_done_once(spark):
+    square = "array(struct(0d AS x, 0d AS y), struct(id + 1d AS x, 0d AS y), struct(id + 1d AS x, 1d AS y), struct(0d AS x, 1d AS y))"
+    rings = spark.range(40).selectExpr("id AS aagis_code", "0 AS ring_id", f"{square} AS verts").coalesce(1)
+    for found in (G.repair(rings), G.soundness(rings)):
+        assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 40
+    plan = catalogue.queries()["dom_13"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from veldt.sources.stores import ship
 Point = tuple[float, float]
 #: Places after the point that crossings are rounded to: a tenth of a millimetre in degrees.
 PLACES = 9
+#: Up to so many sides of a region are compared by plain loops, which are faster there than arrays.
+FEW = 64
 
 REPAIRED = "ring_id int, shell_id int, hole boolean, verts array<struct<x: double, y: double>>"
 
@@ -49,25 +51,38 @@ def _meetings(a: Point, b: Point, c: Point, d: Point) -> list[Point]:
     return found
 
 
-def _cut(edges: list[tuple[Point, Point]]) -> tuple[list[tuple[Point, Point]], bool]:
-    """The sides cut where they meet others, and whether any was; a sweep by x compares those whose boxes overlap."""
+def _overlapping(edges: list[tuple[Point, Point]]) -> Iterator[tuple[int, int]]:
+    """Places of sides, sorted by x, whose boxes overlap: a sweep by x."""
+    boxes = [(min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])) for a, b in edges]
+    if len(edges) <= FEW:
+        for i, (_, right, low, high) in enumerate(boxes):
+            for j in range(i + 1, len(boxes)):
+                if boxes[j][0] > right:
+                    break
+                if boxes[j][2] <= high and boxes[j][3] >= low:
+                    yield i, j
+        return
     import numpy as np
 
-    if not edges:
-        return [], False
+    held = np.array(boxes)
+    ends = np.searchsorted(held[:, 0], held[:, 1], side="right")
+    for i in range(len(boxes)):
+        behind = held[i + 1 : ends[i]]
+        for j in np.flatnonzero((behind[:, 2] <= held[i, 3]) & (behind[:, 3] >= held[i, 2])).tolist():
+            yield i, i + 1 + j
+
+
+def _cut(edges: list[tuple[Point, Point]]) -> tuple[list[tuple[Point, Point]], bool]:
+    """The sides cut where they meet others, and whether any was."""
     edges = sorted(edges, key=lambda e: min(e[0][0], e[1][0]))
-    boxes = np.array([(min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])) for a, b in edges])
     cuts: dict[int, set[Point]] = defaultdict(set)
-    ends = np.searchsorted(boxes[:, 0], boxes[:, 1], side="right")
-    for i, (a, b) in enumerate(edges):
-        behind = boxes[i + 1 : ends[i]]
-        for j in np.flatnonzero((behind[:, 2] <= boxes[i, 3]) & (behind[:, 3] >= boxes[i, 2])).tolist():
-            c, d = edges[i + 1 + j]
-            for p in _meetings(a, b, c, d):
-                if p not in (a, b):
-                    cuts[i].add(p)
-                if p not in (c, d):
-                    cuts[i + 1 + j].add(p)
+    for i, j in _overlapping(edges):
+        (a, b), (c, d) = edges[i], edges[j]
+        for p in _meetings(a, b, c, d):
+            if p not in (a, b):
+                cuts[i].add(p)
+            if p not in (c, d):
+                cuts[j].add(p)
     out = []
     for i, (a, b) in enumerate(edges):
         chain = [a, *sorted(cuts.get(i, ()), key=lambda p: (p[0] - a[0]) ** 2 + (p[1] - a[1]) ** 2), b]
@@ -113,23 +128,42 @@ def _lookup(low, high):
     return lambda v: held[int(place(np.float64(v)))]
 
 
-def _left_inside(edges: list[tuple[Point, Point]]) -> list[tuple[Point, Point]]:
-    """The sides turned so that the inside is on their left: an odd number of sides stands below a side's middle, or not; west of it where the side is upright."""
+def _counts_before(edges: list[tuple[Point, Point]]) -> Callable[[int, int, float, float], int]:
+    """A function from a side, an axis and a point's coordinates on it and on the other one to the number of other sides met before the point."""
+    if len(edges) <= FEW:
+
+        def few(i: int, along: int, at: float, level: float) -> int:
+            across, n = 1 - along, 0
+            for j, (a, b) in enumerate(edges):
+                if j != i and (a[along] <= at) != (b[along] <= at):
+                    n += a[across] + (at - a[along]) * (b[across] - a[across]) / (b[along] - a[along]) < level
+            return n
+
+        return few
     import numpy as np
 
     a, b = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
     spans = [(np.minimum(a[:, i], b[:, i]), np.maximum(a[:, i], b[:, i])) for i in (0, 1)]
     near = [_lookup(*s) for s in spans]
+
+    def many(i: int, along: int, at: float, level: float) -> int:
+        across, others = 1 - along, near[along](at)
+        low, high = spans[along]
+        others = others[(low[others] <= at) & (high[others] > at) & (others != i)]
+        met = a[others, across] + (at - a[others, along]) * (b[others, across] - a[others, across]) / (b[others, along] - a[others, along])
+        return np.count_nonzero(met < level)
+
+    return many
+
+
+def _left_inside(edges: list[tuple[Point, Point]]) -> list[tuple[Point, Point]]:
+    """The sides turned so that the inside is on their left: an odd number of sides stands below a side's middle, or not; west of it where the side is upright."""
+    before = _counts_before(edges)
     out = []
     for i, (p, q) in enumerate(edges):
         upright = p[0] == q[0]
         along, across = (1, 0) if upright else (0, 1)  # the axis whose middle is fixed, and that on which sides are counted
-        at, level = (p[along] + q[along]) / 2, (p[across] + q[across]) / 2
-        others = near[along](at)
-        low, high = spans[along]
-        others = others[(low[others] <= at) & (high[others] > at) & (others != i)]
-        met = a[others, across] + (at - a[others, along]) * (b[others, across] - a[others, across]) / (b[others, along] - a[others, along])
-        inside_before = np.count_nonzero(met < level) % 2 == 1
+        inside_before = before(i, along, (p[along] + q[along]) / 2, (p[across] + q[across]) / 2) % 2 == 1
         forward = (p, q) if q[along] > p[along] else (q, p)
         # going up, west is on the left; going east, below is on the right
         out.append(forward if inside_before == upright else (forward[1], forward[0]))
@@ -217,6 +251,11 @@ def repaired(rings: Sequence[Sequence[Point]]) -> list[tuple[int, int, bool, lis
     return out
 
 
+def _regions(rings: DataFrame, code: str):
+    """Rings by region. The number of partitions is fixed: Spark would merge them by the size of their rows, which are few beside the work on them."""
+    return rings.repartition(int(rings.sparkSession.conf.get("spark.sql.shuffle.partitions")), code).groupBy(code)
+
+
 def repair(rings: DataFrame, code: str = "aagis_code") -> DataFrame:
     """code, ring_id, shell_id, hole, verts: the area of each region's rings as valid polygons.
 
@@ -243,7 +282,7 @@ def repair(rings: DataFrame, code: str = "aagis_code") -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ring_id", "verts"))), lambda r: r["verts"])
-    return rings.groupBy(code).agg(ordered.alias("parts")).mapInArrow(run, fields)
+    return _regions(rings, code).agg(ordered.alias("parts")).mapInArrow(run, fields)
 
 
 def _points(part: list[dict] | None) -> list[Point]:
@@ -273,7 +312,7 @@ def soundness(rings: DataFrame, code: str = "aagis_code") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pylist([{code: row[code], "sound": is_sound([_points(p) for p in row["parts"]])} for row in batch.to_pylist()], kinds)
 
-    return rings.groupBy(code).agg(F.collect_list("verts").alias("parts")).mapInArrow(run, fields)
+    return _regions(rings, code).agg(F.collect_list("verts").alias("parts")).mapInArrow(run, fields)
 
 
 def ring_area(verts: Column) -> Column:

@@ -484,9 +484,9 @@ def broken_regions(t: Tables) -> DataFrame:
 
 @query("dom_13", "SELECT c_custkey AS aagis_code, " + ", ".join(f"[{', '.join(str(right[i]) for _, right in BROKEN)}][c_custkey % 4 + 1] AS {name}" for i, name in enumerate(("shells", "holes", "corners"))) + f", [{', '.join(f'{right[3]}e0' for _, right in BROKEN)}][c_custkey % 4 + 1] AS area, c_custkey % 4 = 3 AS sound_before, true AS sound FROM customer", "area")
 def repaired_regions(t: Tables) -> DataFrame:
-    """Broken rings repaired: valid afterwards, their even-odd area kept."""
+    """Broken rings repaired once: valid afterwards, their even-odd area kept."""
     broken = broken_regions(t)
-    whole = geometry.repair(broken)
+    whole = written(geometry.repair(broken), "repaired")
     counts = whole.groupBy("aagis_code").agg(F.count_if(~F.col("hole")).cast("int").alias("shells"), F.count_if("hole").cast("int").alias("holes"), F.sum(F.size("verts")).cast("int").alias("corners"), F.sum(geometry.ring_area(F.col("verts"))).alias("area"))
     before = geometry.soundness(broken).withColumnRenamed("sound", "sound_before")
     return counts.join(before, "aagis_code").join(geometry.soundness(whole), "aagis_code")
