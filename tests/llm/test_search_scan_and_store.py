@@ -177,6 +177,26 @@ def test_toxicity_on_held_out_texts(spark):
     assert got[9000]["score"] == got[9001]["score"] < 0.5
 
 
+def test_toxicity_is_fitted_in_tasks(spark, monkeypatch):
+    """The model equals that of plain lists, and no text comes to the driver."""
+    rows = [(i, t.capitalize(), y) for i, t, y in toxic_corpus(300)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    collected, plain_collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(df.columns) or plain_collect(df))
+    model = toxicity.train(docs, labels)
+    assert collected and not any("text" in columns for columns in collected)
+    lists = [[t for i, t, y in rows if y == k and zlib.crc32(str(i).encode()) % 5] for k in (0, 1)]
+    half = [(len(own) + 1) // 2 for own in lists]
+    low = [[t.lower() for t in own[:n]] for own, n in zip(lists, half)]
+    assert model.toxic == toxicity.toxic_content(low[1], low[0], toxicity.Bounds().dictionary) != b""
+    assert model.ordinary == toxicity.ordinary_content([w for t in low[0] for w in toxicity._spread(t)])
+    x = np.array([toxicity.features(t, model.compressors()) for k in (1, 0) for t in lists[k][half[k] :]])
+    y = np.array([float(k) for k in (1, 0) for _ in lists[k][half[k] :]])
+    share = len(lists[1]) / (len(lists[0]) + len(lists[1]))
+    weights, bias = toxicity._logistic(x, y, np.where(y > 0, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y))
+    assert model.weights == pytest.approx(weights) and model.bias == pytest.approx(bias)
+
+
 def test_features_equal_a_plain_loop():
     """Every window compressed by itself with either dictionary."""
     r = random.Random(6)

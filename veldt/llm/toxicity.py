@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, written
 
 #: Below 64 bytes zstandard leaves literals as they are, so lengths show matches alone.
 WINDOW, STRIDE = 60, 40
@@ -33,6 +33,8 @@ LEAST_SHARE, RATIO = 0.02, 20.0
 #: zstandard looks for no match that begins in the last 8 bytes.
 PADDING = b" " * 12
 FEATURES = 5
+#: The sample is dealt to so many tasks; one sends on its counts when it holds so many pieces.
+TASKS, MOST_COUNTED = 32, 100_000
 
 
 @dataclass(frozen=True)
@@ -95,32 +97,24 @@ def _grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
-def toxic_content(toxic: list[str], ordinary: list[str], size: int) -> bytes:
-    """Dictionary content: the runs of letters that toxic texts have and ordinary ones lack.
+def _is_mark(ours, theirs, n_toxic: int, n_ordinary: int):
+    """Whether a gram of so many toxic and ordinary texts marks toxic text; of numbers or of columns."""
+    ratio = (ours + 0.5) * (n_ordinary + 1) / ((theirs + 0.5) * (n_toxic + 1))
+    return (ours >= max(2, LEAST_SHARE * n_toxic)) & (ratio >= RATIO)
 
-    A run is made of GRAM-letter grams that at least LEAST_SHARE of the toxic
-    texts contain, and RATIO times as large a share of them as of the ordinary
-    ones, both smoothed by half a text. The runs of most texts and letters
-    stand nearest to the end, where matches are cheapest.
-    """
-    ours, theirs = Counter(), Counter()
-    for text in toxic:
-        ours.update(_grams(text))
-    for text in ordinary:
-        theirs.update(g for g in _grams(text) if g in ours)
-    least = max(2, LEAST_SHARE * len(toxic))
-    ratio = lambda g: (ours[g] + 0.5) * (len(ordinary) + 1) / ((theirs[g] + 0.5) * (len(toxic) + 1))
-    marks = {g for g, n in ours.items() if n >= least and ratio(g) >= RATIO}
-    runs: Counter[str] = Counter()
-    for text in toxic:
-        own, start = set(), -1
-        for i in range(len(text) - GRAM + 2):
-            if text[i : i + GRAM] in marks:
-                start = i if start < 0 else start
-            elif start >= 0:
-                own.add(text[start : i + GRAM - 1])
-                start = -1
-        runs.update(own)
+
+def _runs(text: str, marks: set[str]) -> set[str]:
+    own, start = set(), -1
+    for i in range(len(text) - GRAM + 2):
+        if text[i : i + GRAM] in marks:
+            start = i if start < 0 else start
+        elif start >= 0:
+            own.add(text[start : i + GRAM - 1])
+            start = -1
+    return own
+
+
+def _joined(runs: dict[str, int], size: int) -> bytes:
     content = b""
     for run in sorted(runs, key=lambda r: (-runs[r] * len(r), r)):
         piece = run.encode()
@@ -132,15 +126,75 @@ def toxic_content(toxic: list[str], ordinary: list[str], size: int) -> bytes:
     return content
 
 
-def ordinary_content(ordinary: list[str], size: int = 8192) -> bytes:
+def toxic_content(toxic: list[str], ordinary: list[str], size: int) -> bytes:
+    """Dictionary content: the runs of letters that toxic texts have and ordinary ones lack.
+
+    A run is made of GRAM-letter grams that at least LEAST_SHARE of the toxic
+    texts contain, and RATIO times as large a share of them as of the ordinary
+    ones, both smoothed by half a text. The runs of most texts and letters
+    stand nearest to the end, where matches are cheapest.
+    """
+    ours = Counter(g for text in toxic for g in _grams(text))
+    theirs = Counter(g for text in ordinary for g in _grams(text) if g in ours)
+    marks = {g for g, n in ours.items() if _is_mark(n, theirs[g], len(toxic), len(ordinary))}
+    return _joined(Counter(r for text in toxic for r in _runs(text, marks)), size)
+
+
+def _counted(texts: DataFrame, pieces: Callable[[str], set[str]]) -> DataFrame:
+    """piece, and the number of toxic and of ordinary texts that have it; each task adds up its own first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(p, found[1][p], found[0][p]) for p in found[0].keys() | found[1].keys()], columns=["piece", "toxic", "ordinary"])
+            for counter in found:
+                counter.clear()
+            return out
+
+        for batch in batches:
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                found[toxic].update(pieces(text.lower()))
+                if len(found[0]) + len(found[1]) > MOST_COUNTED:
+                    yield flush()
+        yield flush()
+
+    parts = texts.select("toxic", "text").mapInPandas(count, "piece string, toxic long, ordinary long")
+    return parts.groupBy("piece").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def toxic_content_of(texts: DataFrame, n_toxic: int, n_ordinary: int, size: int) -> bytes:
+    """toxic_content of texts (toxic, text): grams and runs are counted in tasks; marks and runs come to the driver."""
+    counted = _counted(texts, _grams)
+    marks = {r["piece"] for r in counted.filter(_is_mark(F.col("toxic"), F.col("ordinary"), n_toxic, n_ordinary)).select("piece").collect()}
+    runs = _counted(texts.filter("toxic = 1"), lambda text: _runs(text, marks))
+    return _joined({r["piece"]: r["toxic"] for r in runs.select("piece", "toxic").collect()}, size)
+
+
+def _spread(text: str) -> list[bytes]:
+    data = text.encode()
+    return [w for i in range(0, len(data), 2048) if len(w := data[i : i + 256]) >= 64]
+
+
+def ordinary_content(windows: list[bytes], size: int = 8192) -> bytes:
     """Content of a dictionary trained on windows spread over ordinary texts."""
-    windows = [w for t in ordinary for data in [t.encode()] for i in range(0, len(data), 2048) if len(w := data[i : i + 256]) >= 64][:20_000]
     try:
         return zstandard.train_dictionary(size, windows).as_bytes()[-size * 3 // 4 :]
     except zstandard.ZstdError:  # too few windows to train on
         return b"".join(windows)[-size:]
 
 
+def ordinary_windows(texts: DataFrame, most: int = 20_000) -> list[bytes]:
+    """The first windows of texts (doc_id, text), in the order of doc_id."""
+
+    @F.pandas_udf("array<binary>")
+    def cut(column: pd.Series) -> pd.Series:
+        return column.map(lambda text: _spread(text.lower()))
+
+    windows = texts.select("doc_id", F.posexplode(cut("text")).alias("at", "window")).orderBy("doc_id", "at").limit(most)
+    return [bytes(r["window"]) for r in windows.collect()]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[float], float]:
     """Newton's method with a small ridge."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -157,24 +211,42 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[fl
     return w.tolist(), float(beta[-1] - w @ mean)
 
 
-def fit(toxic: list[str], ordinary: list[str], share: float, bounds: Bounds = Bounds()) -> ToxicityModel:
-    """Dictionaries from the first half of either list, thresholds from the second.
+def fit(texts: DataFrame, share: float, bounds: Bounds = Bounds()) -> ToxicityModel:
+    """Dictionaries from the first half of either class of texts (doc_id, toxic, text) by doc_id, thresholds from the second.
 
     share: of toxic texts among all labelled ones; the sample is weighted to
     it. Without texts of both classes every score is the share (0 if unknown).
+    Texts stay in the tasks: ids, marks, runs, windows and features come to
+    the driver.
     """
-    low = lambda texts: [t.lower() for t in texts]
-    half_toxic, half_ordinary = (len(toxic) + 1) // 2, (len(ordinary) + 1) // 2
-    model = ToxicityModel(toxic_content(low(toxic[:half_toxic]), low(ordinary[:half_ordinary]), bounds.dictionary), ordinary_content(low(ordinary[:half_ordinary])))
+    ids = {k: [] for k in (0, 1)}
+    for r in sorted(texts.select("doc_id", "toxic").collect()):  # at most bounds.toxic + bounds.ordinary rows
+        ids[r["toxic"]].append(r["doc_id"])
+    half = {k: (len(own) + 1) // 2 for k, own in ids.items()}
+    none, last = F.lit(False), {k: own[half[k] - 1] for k, own in ids.items() if own}
+    first, rest = none, none
+    for k, own in ids.items():
+        if own:
+            early = F.col("doc_id") <= last[k]
+            first |= (F.col("toxic") == k) & early
+            rest |= (F.col("toxic") == k) & (~early if len(own) > 1 else F.lit(True))  # a single text is in both
+    content = toxic_content_of(texts.filter(first), half[1], half[0], bounds.dictionary)
+    model = ToxicityModel(content, ordinary_content(ordinary_windows(texts.filter(first & (F.col("toxic") == 0)))))
     share = min(max(share, 1e-6), 1 - 1e-6)
-    rest = [toxic[half_toxic:] or toxic, ordinary[half_ordinary:] or ordinary]
-    if not all(rest):
+    if not all(ids.values()):
         model.bias = math.log(share / (1 - share))
         return model
-    compressors = model.compressors()
-    x = np.array([features(t, compressors) for texts in rest for t in texts])
-    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
-    weight = np.where(y > 0, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
+    @F.pandas_udf("array<double>")
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compressors = model.compressors()
+        for column in batches:
+            yield column.map(lambda text: features(text, compressors))
+
+    rows = sorted((1 - r["toxic"], r["doc_id"], r["features"]) for r in texts.filter(rest).select("toxic", "doc_id", measure("text").alias("features")).collect())
+    x = np.array([found for _, _, found in rows])
+    y = np.array([1.0 - ordinary for ordinary, _, _ in rows])
+    n_toxic = int(y.sum())
+    weight = np.where(y > 0, share / n_toxic, (1 - share) / (len(y) - n_toxic)) * len(y)
     model.weights, model.bias = _logistic(x, y, weight)
     return model
 
@@ -188,19 +260,19 @@ def train(documents: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) ->
     """Fits on labelled documents that are not held out.
 
     Rows with a null id or label teach nothing, nor do ids with both labels.
-    The sample is the ids of lowest hash in each class, so a run repeats it;
-    its bounds (see Bounds) also bound what comes to the driver.
+    The sample is the ids of lowest hash in each class, so a run repeats it.
+    Its texts are written for the passes of the fit, and none comes to the
+    driver.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     chosen = [usable.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, bounds.toxic), (0, bounds.ordinary))]
     sample = chosen[0].unionByName(chosen[1])  # at most bounds.toxic + bounds.ordinary ids
     texts = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= bounds.chars)).join(F.broadcast(sample), "doc_id")
-    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id, however often it stands
-    rows = sorted((r["toxic"], r["doc_id"], r["text"]) for r in texts.collect())
+    texts = texts.repartition(TASKS, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id, however often it stands
     total = sum(counts.values())
-    return fit([t for y, _, t in rows if y == 1], [t for y, _, t in rows if y == 0], counts.get(1, 0) / total if total else 0.0, bounds)
+    return fit(written(texts, "toxicity-sample"), counts.get(1, 0) / total if total else 0.0, bounds)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
