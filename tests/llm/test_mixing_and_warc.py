@@ -1,5 +1,6 @@
 """Mixing and WARC derivatives: brute force, SQL and edge cases."""
 
+import random
 import re
 
 import duckdb
@@ -98,6 +99,21 @@ def test_derivatives_equal_sql(spark):
     assert all(kinds == {"metadata", "conversion"} for kinds in by_source.values()) and len(by_source) == 4
 
 
+def test_texts_of_broken_pages_equal_sql_and_are_made_in_projections(spark):
+    random.seed(5)
+    parts = ["<script>", "</script>", "<Script a='<b>'>", "<style>", "</style >", "<noscript>", "</noscript>", "<template x>", "</TEMPLATE>", "<!--", "-->", "<p>", "</p", "<", ">", " ", "  ", "\n", "\t", "\r", "\xa0", "\x0b", "&#65;", "&#", "&amp;", "&nbsp;", "&lt;", "bé", "<title>", "</title>"]
+    pages = [(i, "u", "".join(random.choice(parts) for _ in range(random.randrange(40)))) for i in range(2000)]
+    pages.append((2000, "u", "<script>" + "<i>" * 3000 + "</script>a<style>b</style>" + "<b>" * 3000))
+    df = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    con = duckdb.connect()
+    table(con, "pages", pages, "page_id BIGINT, url VARCHAR, html VARCHAR")
+    want = con.execute(f"SELECT page_id, record_type, block FROM ({warc.ORACLE})").fetchall()
+    assert sorted(map(tuple, df.select("page_id", "record_type", "block").collect())) == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert generated and not any("regexp_replace" in line for line in generated)
+
+
 def test_records_are_well_formed(spark):
     pages = spark.createDataFrame(PAGES[:1], "page_id long, url string, html string")
     for r in warc.serialised(warc.derive(warc.responses(pages))).collect():
