@@ -228,3 +228,15 @@ def test_densified_makes_days_behind_the_join(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join LeftOuter")
     assert "Exchange" not in got.groupBy("k").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+
+
+def test_days_lines_are_dealt_before_they_are_reduced(spark, tmp_path):
+    """No task holds the groups of a whole split."""
+    from veldt.plans.adapt import Tables
+
+    lines = [(1, dt.date(2000, 1, 1), 3.0, 6000.0, 0.5, 0.25), (1, dt.date(2000, 1, 1), 4.0, 3000.0, 0.25, 0.0), (2, None, 1.0, 3000.0, 0.0, 0.0), (None, dt.date(2000, 1, 1), None, None, None, None)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate date, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    obs = Tables(spark, str(tmp_path)).obs
+    assert sorted(map(tuple, obs.collect()), key=str) == sorted([(1, dt.date(2000, 1, 1), 7.0, 75.0, 1.5, -11.0), (2, None, 1.0, 0.0, 1.0, 1.0), (None, dt.date(2000, 1, 1), None, None, None, None)], key=str)
+    steps = [line for line in obs._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line or "Repartition" in line or "Exchange" in line]
+    assert "Aggregate" not in steps[-1]

@@ -27,10 +27,14 @@ class Tables:
 
     @cached_property
     def obs(self) -> DataFrame:
-        """A cell's day: totals and means of its lines."""
+        """A cell's day: totals and means of its lines.
+
+        Few lines share a cell and day, so a split's lines would all be held by
+        the task that reads it; dealt first, they are shared by the partitions.
+        """
         price = F.avg("l_extendedprice") / 3000.0
-        by = self.raw("lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").cast("date").alias("date"))
-        return by.agg(F.sum("l_quantity").alias("daily_rain"), (F.lit(100.0) * F.sum("l_discount")).alias("evap_pan"), price.alias("max_temp"), (price - F.lit(100.0) * F.avg("l_tax")).alias("min_temp"))
+        lines = self.raw("lineitem").withColumns({"cell_id": F.col("l_suppkey"), "date": F.col("l_shipdate").cast("date")}).repartition("cell_id", "date")
+        return lines.groupBy("cell_id", "date").agg(F.sum("l_quantity").alias("daily_rain"), (F.lit(100.0) * F.sum("l_discount")).alias("evap_pan"), price.alias("max_temp"), (price - F.lit(100.0) * F.avg("l_tax")).alias("min_temp"))
 
     @cached_property
     def cells(self) -> DataFrame:
