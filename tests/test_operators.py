@@ -240,3 +240,14 @@ def test_days_lines_are_dealt_before_they_are_reduced(spark, tmp_path):
     assert sorted(map(tuple, obs.collect()), key=str) == sorted([(1, dt.date(2000, 1, 1), 7.0, 75.0, 1.5, -11.0), (2, None, 1.0, 0.0, 1.0, 1.0), (None, dt.date(2000, 1, 1), None, None, None, None)], key=str)
     steps = [line for line in obs._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line or "Repartition" in line or "Exchange" in line]
     assert "Aggregate" not in steps[-1]
+
+
+def test_days_have_a_fixed_number_of_partitions(spark, tmp_path):
+    """Spark would merge few rows into one task, whose load would then grow with the input."""
+    from veldt.plans.adapt import Tables
+
+    lines = [(k, dt.date(2000, 1, 1 + d), 3.0, 6000.0, 0.5, 0.25) for k in range(20) for d in range(5)]
+    spark.createDataFrame(lines, "l_suppkey long, l_shipdate date, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    obs = Tables(spark, str(tmp_path)).obs
+    assert obs.count() == 100
+    assert obs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

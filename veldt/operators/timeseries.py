@@ -35,6 +35,15 @@ def longest_run(df: DataFrame, keys: list[str], day: str, condition: Column, nam
     return runs.groupBy(*keys).agg(F.max("n").cast("int").alias(name), *([F.sum("values").alias("seen")] if seen else []))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in partitions by keys, as many as spark.sql.shuffle.partitions says.
+
+    The number is fixed: left to itself Spark merges partitions to one a core
+    or to a size, so a task's rows grow with the input's until all are full.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def densified(df: DataFrame, keys: DataFrame, day: str, first: Column, last: Column) -> DataFrame:
     """One row for each key and day between two dates, df's values where it has them.
 
@@ -48,8 +57,7 @@ def densified(df: DataFrame, keys: DataFrame, day: str, first: Column, last: Col
     own, here = keys.columns, F.col("densified_day")
     values = [c for c in df.columns if c not in (*own, day)]
     held = df.filter(F.col(day).between(first, last)).withColumnRenamed(day, "densified_day")
-    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own)
-    met = dealt.groupBy(*own).agg(F.count("*").cast("int").alias("densified_copies")).join(held, own, "left")
+    met = dealt(keys, *own).groupBy(*own).agg(F.count("*").cast("int").alias("densified_copies")).join(held, own, "left")
     along = Window.partitionBy(*own).orderBy("densified_day")
     before, after = F.lag(here).over(along), F.lead(here).over(along)
     # rows of one day: the last one makes the days behind it

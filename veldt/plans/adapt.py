@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veldt.functions.scalars import area_weight
 from veldt.operators import climatology, survey
-from veldt.operators.timeseries import densified
+from veldt.operators.timeseries import dealt, densified
 
 VARIABLES = ["daily_rain", "evap_pan", "max_temp", "min_temp"]
 
@@ -30,11 +30,12 @@ class Tables:
         """A cell's day: totals and means of its lines.
 
         Few lines share a cell and day, so a split's lines would all be held by
-        the task that reads it; dealt first, they are shared by the partitions.
+        the task that reads it; dealt first, they are shared by the partitions,
+        whose number is fixed.
         """
         price = F.avg("l_extendedprice") / 3000.0
-        lines = self.raw("lineitem").withColumns({"cell_id": F.col("l_suppkey"), "date": F.col("l_shipdate").cast("date")}).repartition("cell_id", "date")
-        return lines.groupBy("cell_id", "date").agg(F.sum("l_quantity").alias("daily_rain"), (F.lit(100.0) * F.sum("l_discount")).alias("evap_pan"), price.alias("max_temp"), (price - F.lit(100.0) * F.avg("l_tax")).alias("min_temp"))
+        lines = self.raw("lineitem").withColumns({"cell_id": F.col("l_suppkey"), "date": F.col("l_shipdate").cast("date")})
+        return dealt(lines, "cell_id", "date").groupBy("cell_id", "date").agg(F.sum("l_quantity").alias("daily_rain"), (F.lit(100.0) * F.sum("l_discount")).alias("evap_pan"), price.alias("max_temp"), (price - F.lit(100.0) * F.avg("l_tax")).alias("min_temp"))
 
     @cached_property
     def cells(self) -> DataFrame:
