@@ -251,3 +251,14 @@ def test_days_have_a_fixed_number_of_partitions(spark, tmp_path):
     obs = Tables(spark, str(tmp_path)).obs
     assert obs.count() == 100
     assert obs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_months_made_once_are_read_in_a_fixed_number_of_partitions(spark):
+    from veldt.plans.adapt import made_once
+
+    months = spark.createDataFrame([(k, m, float(k + m)) for k in range(20) for m in range(3)], "cell_id int, month int, rain double")
+    held = made_once(months, "rain-months")
+    assert held.exceptAll(months).count() == months.exceptAll(held).count() == 0
+    sums = held.groupBy("cell_id").agg(F.sum("rain"))
+    assert sums.count() == 20
+    assert sums.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

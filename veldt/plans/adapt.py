@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from veldt.functions.scalars import area_weight
 from veldt.operators import climatology, survey
 from veldt.operators.timeseries import dealt, densified
+from veldt.sources.scratch import written
 
 VARIABLES = ["daily_rain", "evap_pan", "max_temp", "min_temp"]
 
 
+def made_once(months: DataFrame, name: str) -> DataFrame:
+    """Months of cells as a table, for queries that use them twice; read in a fixed number of partitions by cell."""
+    return dealt(written(months, name), "cell_id")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")

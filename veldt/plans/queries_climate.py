@@ -13,7 +13,7 @@ from veldt.operators import timeseries as W
 from veldt.operators.quantiles import group_percentiles
 from veldt.sources.scratch import written
 
-from .adapt import VARIABLES, Tables
+from .adapt import VARIABLES, Tables, made_once
 from .catalogue import query
 
 SOUTHERN, SUMMER = I.GROWING_WINDOWS["southern_winter"], I.GROWING_WINDOWS["qld_summer"]
@@ -205,7 +205,7 @@ GAMMA_CDF = "CASE WHEN x <= 0 THEN 0e0 ELSE least(1e0, list_sum(list_transform(r
 
 @query("stat_11", f"SELECT cell_id, year, s.month, {GAMMA_CDF} AS cdf FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) p USING (cell_id, month) WHERE shape IS NOT NULL", "cdf")
 def gamma_probabilities(t: Tables) -> DataFrame:
-    months = written(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain-months")
+    months = made_once(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain-months")
     sums = I.accumulated(months, "rain", 3).join(I.fit_spi(months, "rain", 3, 1995, 1999), ["cell_id", "month"])
     from veldt.functions.scalars import gamma_cdf
 
@@ -218,7 +218,7 @@ SPI_P = f"least(greatest(CASE WHEN x <= 0 THEN prob_zero ELSE prob_zero + (1e0 -
 @query("ind_05", f"SELECT cell_id, year, month, {normal_quantile_sql('p')} AS spi FROM (SELECT cell_id, year, s.month, {SPI_P} AS p FROM ({RAIN_SUMS.format(where='')}) s JOIN ({SPI_FIT}) f USING (cell_id, month) WHERE shape IS NOT NULL) z", "spi")
 def spi_values(t: Tables) -> DataFrame:
     """Months are made once, for the fit and for the values: a thirtieth of the days."""
-    months = written(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain-months")
+    months = made_once(I.monthly_totals(t.whole, "daily_rain", "rain"), "rain-months")
     params = I.fit_spi(months, "rain", 3, 1995, 1999).filter("shape IS NOT NULL")
     return I.spi(months, params, "rain", 3).select("cell_id", "year", "month", "spi")
 
@@ -236,7 +236,7 @@ def spei_params(t: Tables) -> DataFrame:
 
 def balances_with_fits(t: Tables) -> DataFrame:
     """Months are made once, for the sums and for the fits."""
-    months = written(I.water_balance(t.whole), "balance-months")
+    months = made_once(I.water_balance(t.whole), "balance-months")
     return I.accumulated(months, "balance", 3).join(I.fit_spei(months, "balance", 3, 1995, 2001), ["cell_id", "month"])
 
 
@@ -265,7 +265,7 @@ SPEI_VALUES = f"SELECT cell_id, year, month, CASE WHEN p IS NOT NULL THEN {norma
 
 @query("ind_07", SPEI_VALUES, "spei")
 def spei_values(t: Tables) -> DataFrame:
-    months = written(I.water_balance(t.whole), "balance-months")
+    months = made_once(I.water_balance(t.whole), "balance-months")
     return I.spei(months, I.fit_spei(months, "balance", 3, 1995, 2001), "balance", 3).select("cell_id", "year", "month", "spei")
 
 

@@ -12,7 +12,7 @@ from veldt.sources import sinks
 from veldt.sources import tables as sources
 from veldt.sources.scratch import scratch, written
 
-from .adapt import Tables
+from .adapt import Tables, made_once
 from .catalogue import query
 from .queries_climate import SPEI_FIT, SPEI_VALUES
 
@@ -189,7 +189,7 @@ def zones(t: Tables) -> DataFrame:
 )
 def spei_gates(t: Tables) -> DataFrame:
     """Months are made once, for the fits and for the values."""
-    months = written(I.water_balance(t.whole), "balance-months")
+    months = made_once(I.water_balance(t.whole), "balance-months")
     params = written(I.fit_spei(months, "balance", 3, 1995, 2001), "balance-fits")
     return validate.spei_gates(params, I.spei(months, params, "balance", 3))
 
