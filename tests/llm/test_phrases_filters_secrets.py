@@ -7,6 +7,7 @@ import string
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -65,6 +66,37 @@ def test_collocations_of_nothing(spark):
         collocations.Mining(least=1000)
 
 
+def test_a_sketch_tells_rare_phrases_at_6_gb(spark):
+    """A 1024th of the words of 6 GB (1.6 10^9) on a 1024th of the cells: most pairs and triples stand once, and must not fill it."""
+    words = [f"w{i}" for i in range(2000)]
+    texts = spark.createDataFrame([("en", " ".join(R.choices(words, k=8000)).encode()) for _ in range(200)], "lang string, raw binary")
+    bits = collocations.sketch(texts, collocations.Mining(cell_bits=collocations.Mining().cell_bits - 10))
+    assert 0 < np.unpackbits(bits).mean() < 0.01
+
+
+def test_sketch_parts_add_up():
+    """Cells at the ends of blocks, parts of many sizes, cells that share a bit."""
+    mining = collocations.Mining(least=3, cell_bits=22, sent_bits=18)
+    ends = [x for b in (0, 1, 511, 1023) for x in (b << 12, (b << 12) + 4095)]
+    drawn = [np.array([*R.choices(ends, k=n // 5), *(R.randrange(1 << 22) for _ in range(n))], np.uint32) for n in (1, 40, 3000, 400_000)]
+    parts = pd.concat([collocations._packed([x, x[:5]], mining) for x in drawn]).sort_values("block")
+    got = np.zeros(1 << 18, bool)
+    for rows in (parts[parts["block"] < 500], parts[parts["block"] >= 500]):
+        for found in collocations._sketch_sum(mining)(iter([rows[:7], rows[7:]])):
+            for block, bits in zip(found["block"], found["bits"]):
+                got[block << 8 : (block + 1) << 8] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+    counted = np.bincount(np.concatenate([y for x in drawn for y in (x, x[:5])]), minlength=1 << 22)
+    assert (got == (counted >= 3).reshape(-1, 16).any(axis=1)).all() and 0 < got.mean() < 1
+
+
+def test_collocations_where_cells_share_bits(spark, monkeypatch):
+    """Also where a task sends its cells many times."""
+    monkeypatch.setattr(collocations, "GATHERED", 300)
+    df = spark.createDataFrame([(lang, t) for lang, t in TEXTS], "lang string, text string").repartition(3)
+    got = sorted(tuple(r) for r in collocations.collocations(df, collocations.Mining(cell_bits=24, sent_bits=16, piece_bytes=900)).collect())
+    assert got == plain_collocations(TEXTS) and len(got) >= 20
+
+
 def test_scores_pass_64_bits(spark):
     big = 10**14
     found = spark.createDataFrame([("en", b"x", 1, 3 * big), ("en", b"y", 1, 2 * big), ("en", b"x y", 2, big), ("en", b"", 0, 9 * big)], "lang string, phrase binary, size int, f long")

@@ -2,21 +2,26 @@
 
 A first pass makes one sketch of how often phrases occur: cells of saturating
 counters, so a cell's bit tells whether the phrases in it can reach the least
-count. A second pass compiles the phrases of each piece of the input that the
-sketch lets through into an automaton, and scans that piece with it; keys and
-text have a blank around every word, so only whole words match, and overlapping
-matches all count. The counts are summed and the thresholds applied.
+count. No task holds all cells: each sends those that it uses, and each block
+of cells is summed in one place. A second pass compiles the phrases of each
+piece of the input that the sketch lets through into an automaton, and scans
+that piece with it; in keys and text each word is two letters of two alphabets,
+so only whole words match, and overlapping matches all count. The counts are
+summed and the thresholds applied.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -28,8 +33,10 @@ from .common import written
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b for b in range(256))
 STOP = b"."
 
-#: Cells that are shuffled and kept together.
-BLOCK = 1 << 16
+#: log2 of the sketch's blocks; the cells of a block are shuffled and summed together.
+BLOCK_BITS = 10
+#: Occurrences that a task gathers before it sends their cells.
+GATHERED = 1 << 23
 #: Odd factors that mix the words of a phrase, by place.
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -38,9 +45,11 @@ _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uin
 class Mining:
     """least: occurrences of a candidate; longest: its words at most; inside: percent of a phrase's occurrences from which a longer one replaces it; top: rows of a language.
 
-    cell_bits: log2 of the sketch's cells. It bounds what a task holds (a byte
-    a cell) and what is sent to executors (a bit a cell: 8 MB). It decides how
-    many phrases too rare are counted in vain, and never a result.
+    cell_bits: log2 of the sketch's cells. A task that sums a block of them holds
+    a byte a cell (4 MB).
+    sent_bits: log2 of the bits that are sent to executors (32 MB); neighbouring
+    cells share one where there are more cells. Both decide how many phrases
+    too rare are counted in vain, and never a result.
     piece_bytes: text that one automaton is made for.
     """
 
@@ -48,12 +57,23 @@ class Mining:
     longest: int = 3
     inside: int = 50
     top: int = 2000
-    cell_bits: int = 26
+    cell_bits: int = 32
     piece_bytes: int = 4 << 20
+    sent_bits: int = 28
 
     def __post_init__(self) -> None:
-        if not (1 <= self.least <= 255 and self.longest == 3 and 16 <= self.cell_bits <= 30):
-            raise ValueError("a counter is one byte, phrases have up to three words, a sketch has 2^16 to 2^30 cells")
+        if not (1 <= self.least <= 255 and self.longest == 3 and 16 <= self.cell_bits <= 32 and 16 <= self.sent_bits <= 30):
+            raise ValueError("a counter is one byte, phrases have up to three words, a sketch has 2^16 to 2^32 cells and sends 2^16 to 2^30 bits")
+
+    @property
+    def block_cells(self) -> int:
+        """log2 of the cells of a block."""
+        return self.cell_bits - BLOCK_BITS
+
+    @property
+    def shared(self) -> int:
+        """log2 of the cells that share a bit."""
+        return max(0, self.cell_bits - self.sent_bits)
 
 
 def folded(raw: bytes) -> bytes:
@@ -80,6 +100,27 @@ def pieces(batch: pd.DataFrame, most: int) -> Iterator[tuple[str, bytes]]:
             yield lang, b" . ".join(kept)
 
 
+def distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct number, by number, and what place among them each number has."""
+    order = np.argsort(numbers)
+    ordered = numbers[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    back = np.empty(len(ordered), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def split(text: bytes) -> pa.Array:
+    """The words of a folded text."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = raw != 0x20
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    offsets = np.zeros(len(edges) // 2 + 1, np.int32)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+
+
 class Phrases:
     """The phrases of one piece of text: words as numbers, and a hash at every place.
 
@@ -88,85 +129,149 @@ class Phrases:
     """
 
     def __init__(self, lang: str, text: bytes, longest: int):
-        self.words = text.split()
-        self.numbers = numbers = {w: i for i, w in enumerate(dict.fromkeys(self.words))}
-        self.ids = np.fromiter(map(numbers.__getitem__, self.words), np.int64, len(self.words))
+        encoded = split(text).dictionary_encode()
+        self.words, self.ids = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+        self.uses = np.bincount(self.ids, minlength=len(self.words))
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in numbers), np.uint64, len(numbers))
-        plain = self.ids != numbers.get(STOP, -1)
+        hashed = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words.to_pylist()), np.uint64, len(self.words)) * _FACTORS[0]
+        self.stop = self.words.index(STOP).as_py()
+        plain = self.ids != self.stop
         self.n_words = int(plain.sum())
-        self.starts, self.hashes = [plain], [hashed[self.ids] * _FACTORS[0]]
+        self.hashed = hashed  # of each word, in the order of their numbers
+        self.starts, self.hashes = [plain], [hashed[self.ids]]
         for k in range(1, longest):
-            n = max(0, len(self.words) - k)
+            n = max(0, len(self.ids) - k)
             self.starts.append(self.starts[-1][:n] & plain[k:])
             mixed = self.hashes[-1][:n]
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * _FACTORS[k] + hashed[self.ids[k:]] * _FACTORS[0]
-            self.hashes.append(mixed)
-
-    def cells(self, k: int, bits: int) -> np.ndarray:
-        mixed = self.hashes[k]
-        return (((mixed ^ (mixed >> np.uint64(32))) * _FACTORS[1]) >> np.uint64(64 - bits)).astype(np.uint32)
-
-    def candidates(self, sketch: np.ndarray, bits: int) -> tuple[list[bytes], list[int], list[bytes]]:
-        """The distinct words that the sketch lets through with their counts, and the distinct phrases: all their words and shorter phrases pass as well."""
-        found, numbers, passing = [], self.ids, None
-        counts = np.bincount(self.ids, minlength=len(self.numbers))
-        for k, starts in enumerate(self.starts):
-            cells = self.cells(k, bits)
-            passes = starts & ((sketch[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
-            if passing is not None:
-                passes &= passing[:-1] & passing[1:]
-                # a phrase is known by its first words' number and its last word
-                numbers = numbers[: len(passes)] * len(self.words) + self.ids[k:]
-            at = np.flatnonzero(passes)
-            own, first, back = np.unique(numbers[at], return_index=True, return_inverse=True)
-            if k == 0:
-                words = [self.words[i] for i in at[first].tolist()], counts[own].tolist()
-            else:
-                found += [b" ".join(self.words[i : i + k + 1]) for i in at[first].tolist()]
-            numbers = np.zeros(len(passes), np.int64)
-            numbers[at] = back
-            passing = passes
-        return *words, found
+            self.hashes.append((mixed ^ (mixed >> np.uint64(29))) * _FACTORS[k] + self.hashes[0][k:])
+
+    def occurrences(self, mining: Mining) -> list[np.ndarray]:
+        """Cells of all phrases, each as often as it stands; those of words up to mining.least times, which a counter doesn't tell from more."""
+        times = np.minimum(self.uses, mining.least)
+        if self.stop >= 0:
+            times[self.stop] = 0
+        words = np.repeat(cells(self.hashed, mining.cell_bits), times)
+        return [words, *(cells(h[s], mining.cell_bits) for h, s in zip(self.hashes[1:], self.starts[1:]))]
+
+    def candidates(self, passes) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What the sketch lets through, as places where it stands: a number for each word (the most frequent first; -1 for others), and a place of each distinct phrase of 1, 2 ... words. All words and shorter phrases of a phrase pass as well."""
+        plain = np.flatnonzero(passes(self.hashed))
+        plain = plain[plain != self.stop]
+        plain = plain[np.argsort(-self.uses[plain], kind="stable")]
+        ranks = np.full(len(self.uses), -1)
+        ranks[plain] = np.arange(len(plain))
+        anywhere = np.empty(len(self.uses), np.int64)
+        anywhere[self.ids] = np.arange(len(self.ids))
+        ranked = ranks[self.ids]
+        found, numbers, passing = [anywhere[plain]], ranked, ranked >= 0
+        for k in range(1, len(self.starts)):
+            at = np.flatnonzero(passing[:-1] & passing[1:])
+            at = at[self.starts[k][at]]
+            at = at[passes(self.hashes[k][at])]
+            # a phrase is known by its first words' number and its last word
+            first, back = distinct(numbers[at] * len(plain) + ranked[at + k])
+            found.append(at[first])
+            numbers, passing = np.full(max(0, len(passing) - 1), -1), np.zeros(max(0, len(passing) - 1), bool)
+            numbers[at], passing[at] = back, True
+            if k == 1:
+                self.inside = np.zeros(len(self.ids), bool)  # words of some pair that passes
+                self.inside[at] = self.inside[at + 1] = True
+        return ranked, found
+
+    def counted(self, ranked: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+        """How often each phrase of found stands in the piece: words by their numbers, longer ones by an automaton.
+
+        A word is a letter of one alphabet and a letter of another, so a key
+        begins and ends with words; what stands in no pair that passes is a
+        stop, which no key holds. Children of a node are sought one after the
+        other, so both alphabets are small and frequent words come first.
+        """
+        uses = [self.uses[self.ids[found[0]]]]
+        if not len(found[1]):
+            return [*uses, *(np.zeros(0, np.int64) for _ in found[1:])]
+        side = isqrt(len(found[0])) + 1
+        kept = self.inside.copy()
+        kept[1:] |= self.inside[:-1]  # one stop after each run of words
+        place = np.cumsum(kept) - 1
+        here, inside = ranked[kept], self.inside[kept]
+        letters = np.zeros((len(here), 2), np.uint32)
+        letters[inside, 0] = 1 + here[inside] // side
+        letters[inside, 1] = 1 + side + here[inside] % side
+        text = letters.tobytes().decode("utf-32-le")
+        automaton = ahocorasick.Automaton()
+        begins = np.concatenate([2 * place[at] for at in found[1:]])
+        ends = begins + np.concatenate([np.full(len(at), 2 * (k + 2)) for k, at in enumerate(found[1:])])
+        for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
+            automaton.add_word(text[a:b], i)
+        automaton.make_automaton()
+        hits = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(begins))
+        return [*uses, *np.split(hits, np.cumsum([len(at) for at in found[1:-1]]))]
+
+    def spelled(self, found: list[np.ndarray]) -> pa.Array:
+        """The phrases that stand at the places of found, after an empty one."""
+        words = lambda at: self.words.take(pa.array(self.ids[at]))
+        phrases = [words(found[0]), *(pc.binary_join_element_wise(*(words(at + i) for i in range(k + 2)), b" ") for k, at in enumerate(found[1:]))]
+        return pa.concat_arrays([pa.array([b""]), *phrases])
+
+
+def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (((hashes ^ (hashes >> np.uint64(32))) * _FACTORS[1]) >> np.uint64(64 - bits)).astype(np.uint32)
+
+
+def _packed(gathered: list[np.ndarray], mining: Mining) -> pd.DataFrame:
+    """The cells of some occurrences by block: gaps between them by bytes of a kind, and counters, compressed."""
+    every = np.concatenate(gathered)
+    every.sort()
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    at = np.flatnonzero(new)
+    used, counters = every[at], np.minimum(np.diff(at, append=len(every)), mining.least).astype(np.uint8)
+    blocks, begins = np.unique(used >> np.uint32(mining.block_cells), return_index=True)
+    gaps = np.diff(used, prepend=np.uint32(0))
+    gaps[begins] = used[begins] & np.uint32((1 << mining.block_cells) - 1)
+    planes = np.vstack([gaps.view(np.uint8).reshape(-1, 4).T, counters])
+    pack = zstandard.ZstdCompressor(level=1)
+    packed = [pack.compress(planes[:, a:b].tobytes()) for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(used)])]
+    return pd.DataFrame({"block": blocks.astype(np.int32), "counters": packed})
 
 
 def _sketch_part(mining: Mining):
-    """One task's cells, as compressed blocks of saturating counters."""
+    """One task's cells, as compressed parts of blocks of saturating counters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = None
+        gathered, size = [], 0
         for batch in batches:
             for lang, text in pieces(batch, mining.piece_bytes):
-                phrases = Phrases(lang, text, mining.longest)
-                if cells is None:
-                    cells = np.zeros(1 << mining.cell_bits, np.uint8)
-                for k, starts in enumerate(phrases.starts):
-                    own, n = np.unique(phrases.cells(k, mining.cell_bits)[starts], return_counts=True)
-                    cells[own] = np.minimum(cells[own] + n, mining.least)
-        if cells is None:
-            return
-        pack = zstandard.ZstdCompressor(level=1)
-        blocks = cells.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for at in range(0, len(used), 64):
-            some = used[at : at + 64].tolist()
-            yield pd.DataFrame({"block": some, "counters": [pack.compress(blocks[b].tobytes()) for b in some]})
+                own = Phrases(lang, text, mining.longest).occurrences(mining)
+                gathered += own
+                size += sum(map(len, own))
+                if size >= GATHERED:
+                    yield _packed(gathered, mining)
+                    gathered, size = [], 0
+        if size:
+            yield _packed(gathered, mining)
 
     return run
 
 
 def _sketch_sum(mining: Mining):
-    """The bits of each block: cells whose counters add up to the least count. Rows of a block stand in one task, and are added as they come."""
+    """The bits of each block: whether counters of the cells that share it add up to the least count. Rows come by block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
-        sums: dict[int, np.ndarray] = {}
+        counters = np.zeros(1 << mining.block_cells, np.uint8)
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counters in zip(batch["block"], batch["counters"]):
-                part = np.frombuffer(unpack.decompress(bytes(counters)), np.uint8)
-                have = sums.get(block)
-                sums[block] = part.copy() if have is None else np.minimum(have.astype(np.uint16) + part, mining.least).astype(np.uint8)
-        yield pd.DataFrame({"block": list(sums), "bits": [np.packbits(x >= mining.least, bitorder="little").tobytes() for x in sums.values()]})
+            for block, part in zip(batch["block"], batch["counters"]):
+                if block not in found:
+                    found[block] = np.zeros(1 << (mining.block_cells - mining.shared), bool)
+                    counters[:] = 0
+                planes = np.frombuffer(unpack.decompress(bytes(part)), np.uint8).reshape(5, -1)
+                at = np.ascontiguousarray(planes[:4].T).view(np.uint32).ravel().cumsum()
+                sums = np.minimum(counters[at].astype(np.uint16) + planes[4], mining.least).astype(np.uint8)
+                counters[at] = sums
+                found[block][at[sums >= mining.least] >> mining.shared] = True
+        yield pd.DataFrame({"block": list(found), "bits": [np.packbits(x, bitorder="little").tobytes() for x in found.values()]})
 
     return run
 
@@ -174,37 +279,35 @@ def _sketch_sum(mining: Mining):
 def sketch(texts: DataFrame, mining: Mining) -> np.ndarray:
     """Bits of the cells that reach mining.least; texts has lang and raw.
 
-    As large as mining.cell_bits says, whatever the input.
+    As large as mining.sent_bits says, whatever the input.
     """
     parts = texts.mapInPandas(_sketch_part(mining), "block int, counters binary")
-    n = min((1 << mining.cell_bits) // BLOCK, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = np.zeros((1 << mining.cell_bits) // 8, np.uint8)
-    rows = written(parts.repartition(n, "block").mapInPandas(_sketch_sum(mining), "block int, bits binary"), "phrase-sketch").collect()  # 2^cell_bits bits at most
-    for r in rows:
-        found[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    n = min(1 << BLOCK_BITS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    summed = parts.repartition(n, "block").sortWithinPartitions("block").mapInPandas(_sketch_sum(mining), "block int, bits binary")
+    size = 1 << (mining.block_cells - mining.shared - 3)
+    found = np.zeros(size << BLOCK_BITS, np.uint8)
+    for r in written(summed, "phrase-sketch").collect():  # 2^sent_bits bits at most
+        found[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return found
 
 
 def _scan(mining: Mining, sent):
     """Counts of each piece: of its candidates by an automaton, of their words, and, under an empty phrase, of all words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8)
+
+        def passes(hashes: np.ndarray) -> np.ndarray:
+            at = cells(hashes, mining.cell_bits) >> np.uint32(mining.shared)
+            return ((bits[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+
         for batch in batches:
-            for lang, text in pieces(batch, mining.piece_bytes):
+            for lang, text in pieces(batch.to_pandas(), mining.piece_bytes):
                 phrases = Phrases(lang, text, mining.longest)
-                words, uses, found = phrases.candidates(bits, mining.cell_bits)
-                counts = np.zeros(len(found), np.int64)
-                if found:
-                    automaton = ahocorasick.Automaton()
-                    for i, phrase in enumerate(found):
-                        automaton.add_word(f" {phrase.decode('latin-1')} ", i)  # a letter for each byte
-                    automaton.make_automaton()
-                    guarded = f" {b' '.join(phrases.words).decode('latin-1')} "
-                    hits = np.fromiter(map(itemgetter(1), automaton.iter(guarded)), np.int64)
-                    counts = np.bincount(hits, minlength=len(found))
-                sizes = [0, *[1] * len(words), *[p.count(b" ") + 1 for p in found]]
-                yield pd.DataFrame({"lang": lang, "phrase": [b"", *words, *found], "size": sizes, "f": [phrases.n_words, *uses, *counts.tolist()]})
+                ranked, found = phrases.candidates(passes)
+                f = np.concatenate([[phrases.n_words], *phrases.counted(ranked, found)])
+                sizes = np.repeat(np.arange(len(found) + 1, dtype=np.int32), [1, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(f)), phrases.spelled(found), pa.array(sizes), pa.array(f)], ["lang", "phrase", "size", "f"])
 
     return run
 
@@ -212,7 +315,7 @@ def _scan(mining: Mining, sent):
 def counts(texts: DataFrame, mining: Mining, bits: np.ndarray) -> DataFrame:
     """lang, phrase (bytes), size, f: exact counts of all phrases of mining.least occurrences or more; size 0 has the words of the language."""
     sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
-    parts = texts.mapInPandas(_scan(mining, sent), "lang string, phrase binary, size int, f long")
+    parts = texts.mapInArrow(_scan(mining, sent), "lang string, phrase binary, size int, f long")
     return parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("f") >= mining.least) | (F.col("size") == 0))
 
 
