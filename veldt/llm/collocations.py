@@ -36,7 +36,7 @@ STOP = b"."
 #: log2 of the sketch's blocks; the cells of a block are shuffled and summed together.
 BLOCK_BITS = 10
 #: Occurrences that a task gathers before it sends their cells.
-GATHERED = 1 << 23
+GATHERED = 1 << 22
 #: Odd factors that mix the words of a phrase, by place.
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -221,11 +221,14 @@ def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
 def _packed(gathered: list[np.ndarray], mining: Mining) -> pd.DataFrame:
     """The cells of some occurrences by block: gaps between them by bytes of a kind, and counters, compressed."""
     every = np.concatenate(gathered)
+    gathered.clear()
     every.sort()
     new = np.ones(len(every), bool)
     new[1:] = every[1:] != every[:-1]
-    at = np.flatnonzero(new)
-    used, counters = every[at], np.minimum(np.diff(at, append=len(every)), mining.least).astype(np.uint8)
+    used = every[new]
+    at = np.flatnonzero(new).astype(np.uint32)
+    counters = np.minimum(np.diff(at, append=np.uint32(len(every))), np.uint32(mining.least)).astype(np.uint8)
+    del every, new, at
     blocks, begins = np.unique(used >> np.uint32(mining.block_cells), return_index=True)
     gaps = np.diff(used, prepend=np.uint32(0))
     gaps[begins] = used[begins] & np.uint32((1 << mining.block_cells) - 1)
@@ -247,7 +250,7 @@ def _sketch_part(mining: Mining):
                 size += sum(map(len, own))
                 if size >= GATHERED:
                     yield _packed(gathered, mining)
-                    gathered, size = [], 0
+                    size = 0
         if size:
             yield _packed(gathered, mining)
 
